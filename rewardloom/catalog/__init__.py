@@ -3,6 +3,6 @@
 from rewardloom.catalog.registry import QUERIES, SQL
 
 # Importing the modules fills the registry.
-from rewardloom.catalog import rewards  # noqa: E402,F401
+from rewardloom.catalog import answers, mixing, rewards, sampling  # noqa: E402,F401
 
 __all__ = ["QUERIES", "SQL"]

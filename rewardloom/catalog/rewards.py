@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rewardloom.catalog.registry import SQL_SPACE as SP
 from rewardloom.catalog.registry import literal, register, table
 from rewardloom.catalog.standins import WITH_ROLLOUTS, rollouts
 from rewardloom.config import RewardConfig, RewardPlan
 from rewardloom.functions import equations, scorers
-from rewardloom.functions.text import SPACE_CLASS, round6
+from rewardloom.functions.text import round6
 from rewardloom.operators.groups import pair
 from rewardloom.plans.scoring import custom_reward, score, score_with_advantages, select_rewards
 
-SP = SPACE_CLASS
-
 
 def sql_strip(text: str) -> str:
     return f"regexp_replace({text}, '^{SP}+|{SP}+$', '', 'g')"

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardloom.catalog.registry import table
+from rewardloom.catalog.registry import table, text_table
 
 _NL = "chr(10)"
 _BS = "chr(92)"
@@ -86,7 +86,8 @@ def on_duckdb(text: str) -> str:
 
 def _frame(spark: SparkSession, folder: str, text: str) -> DataFrame:
     names = [n for n in ("documents", "labels", "lineitem") if "{" + n + "}" in text]
-    return spark.sql(text, **{n: table(spark, folder, n) for n in names})
+    read = {"documents": text_table}
+    return spark.sql(text, **{n: read.get(n, table)(spark, folder, n) for n in names})
 
 
 def rollouts(spark: SparkSession, folder: str) -> DataFrame:

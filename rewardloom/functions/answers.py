@@ -99,38 +99,42 @@ def number(canon: Column) -> Column:
     )
 
 
-def _reading(source: Column) -> Column:
-    """struct(canon, num) of one candidate, null without a candidate."""
-    return let(canonical(source), lambda c: F.when(c != "", F.struct(c.alias("canon"), number(c).alias("num"))))
+def _first_reading(*candidates: tuple[Column, bool]) -> Column:
+    """struct(canon, num) of the first candidate that gives one, null when none does.
 
+    A candidate marked True counts only when it is a number as a whole. All candidates pass through one lambda, so the
+    canonical form and the number grammar occur once in the plan.
+    """
+    listed = F.array(*[F.struct(src.alias("src"), F.lit(strict).alias("strict")) for src, strict in candidates])
 
-def _with_number_inside(source: Column) -> Column:
-    """A candidate that is not a number as a whole is read as its last number, if it holds one."""
-
-    def choose(whole: Column) -> Column:
-        return F.when(whole["num"].isNotNull(), whole).otherwise(F.coalesce(_reading(last_number(source)), whole))
+    def read(c: Column) -> Column:
+        return let(
+            canonical(c["src"]),
+            lambda canon: F.struct(canon.alias("canon"), number(canon).alias("num"), c["strict"].alias("strict")),
+        )
 
-    return let(_reading(source), choose)
+    given = F.filter(listed, lambda c: c["src"].isNotNull())
+    usable = F.filter(
+        F.transform(given, read), lambda r: (r["canon"] != "") & (~r["strict"] | r["num"].isNotNull())
+    )
+    return F.try_element_at(usable, F.lit(1))
 
 
 def read_answer(text: Column, mode: str = EXPRESSION, gold: bool = False) -> Column:
-    """struct(canon, num) of the answer a text gives, null when it gives none."""
+    """struct(canon, num, ..) of the answer a text gives, null when it gives none."""
+    box = (boxed(text), False)
     if mode == LATEX:
-        marked = last_match(text, SPAN if gold else ANNOUNCED, 1)
-        return _reading(F.coalesce(boxed(text), marked))
+        return _first_reading(box, (last_match(text, SPAN if gold else ANNOUNCED, 1), False))
     if mode != EXPRESSION:
         raise ValueError(f"mode must be {EXPRESSION} or {LATEX}")
-    span = last_match(text, SPAN, 1)
-    bare_latex = F.when(strip(text).startswith("\\"), text)
-    marked = F.coalesce(_reading(boxed(text)), _with_number_inside(between(text, "<answer>", "</answer>")))
+    tag = between(text, "<answer>", "</answer>")
+    # Tagged text is read as a number, else as the last number in it, else as text.
+    candidates = [box, (tag, True), (last_number(tag), False), (tag, False)]
     if gold:
-        marked = F.coalesce(marked, _reading(span), _reading(bare_latex), _whole_number(text))
-    return F.coalesce(marked, _reading(last_number(text)))
-
-
-def _whole_number(text: Column) -> Column:
-    """A short gold text that is a number as it stands (ratio, percentage)."""
-    return let(_reading(text), lambda r: F.when(r["num"].isNotNull(), r))
+        bare_latex = F.when(strip(text).startswith("\\"), text)
+        candidates += [(last_match(text, SPAN, 1), False), (bare_latex, False), (text, True)]
+    # The last number of a whole text is searched only when nothing marked was found.
+    return F.coalesce(_first_reading(*candidates), _first_reading((last_number(text), False)))
 
 
 def agree(answer: Column, gold: Column) -> Column:

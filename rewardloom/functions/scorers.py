@@ -20,6 +20,7 @@ from rewardloom.functions.text import (
     exactly_once,
     let,
     strip,
+    word_grams,
     words,
 )
 
@@ -148,10 +149,7 @@ def repetition_penalty_reward(text: Column, ngram_size: int = 3, max_penalty: fl
         return (F.lit(1.0) - F.size(F.array_distinct(grams)) / F.size(grams)) * F.lit(float(max_penalty))
 
     def score(w: Column) -> Column:
-        # Words hold no white space, so joining with one space keeps n-grams apart and lets distinct hash strings.
-        starts = F.sequence(F.lit(1), F.size(w) - F.lit(ngram_size - 1))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(w, i, ngram_size), " "))
-        return F.when(F.size(w) < ngram_size, F.lit(0.0)).otherwise(let(grams, scaled))
+        return F.when(F.size(w) < ngram_size, F.lit(0.0)).otherwise(let(word_grams(w, ngram_size), scaled))
 
     return let(words(F.lower(text)), score)
 

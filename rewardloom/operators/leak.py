@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardloom.functions.text import let, words
+from rewardloom.functions.text import let, word_grams, words
 
 GRAM_WORDS = 8
 
 
-def word_grams(text: Column, size: int = GRAM_WORDS) -> Column:
+def gram_digests(text: Column, size: int = GRAM_WORDS) -> Column:
     """Distinct digests of all runs of ``size`` lower-case words."""
 
-    def grams(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - F.lit(size - 1))
-        every = F.transform(starts, lambda i: F.md5(F.array_join(F.slice(w, i, size), " ")))
+    def digests(w: Column) -> Column:
+        every = F.transform(word_grams(w, size), F.md5)
         return F.when(F.size(w) >= size, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
-    return let(words(F.lower(text)), grams)
+    return let(words(F.lower(text)), digests)
 
 
 def leaked_ids(train: DataFrame, held_out: DataFrame, row_id: str, text: str, size: int = GRAM_WORDS) -> DataFrame:
@@ -28,8 +27,8 @@ def leaked_ids(train: DataFrame, held_out: DataFrame, row_id: str, text: str, si
     and a boilerplate gram held by a third of the training rows is a skewed partition of the left side, which adaptive
     execution may split. The planner broadcasts the held-out digests only while they are small.
     """
-    known = held_out.select(F.explode(word_grams(F.col(text), size)).alias("gram")).distinct()
-    grams = train.select(row_id, F.explode(word_grams(F.col(text), size)).alias("gram"))
+    known = held_out.select(F.explode(gram_digests(F.col(text), size)).alias("gram")).distinct()
+    grams = train.select(row_id, F.explode(gram_digests(F.col(text), size)).alias("gram"))
     return grams.join(known, "gram", "left_semi").select(row_id).distinct()
 
 

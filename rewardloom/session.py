@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BYTES_PER_TASK = 128 * 1024 * 1024  # Spark's default size of one scan partition
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "rewardloom") -> SparkSession:
@@ -22,6 +23,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config(CHECKPOINT_DIR, tempfile.mkdtemp(prefix="rewardloom-"))
         .getOrCreate()
     )
@@ -60,3 +62,15 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows of a small table with few row groups over the cores before work that is heavy per row.
+
+    A table larger than one scan partition per core already fills the cores and is returned as it is, so no large
+    table is ever moved by this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * BYTES_PER_TASK else df
