@@ -128,7 +128,7 @@ def render(
     if continue_final_message:
         body = let(known, lambda k: F.array_join(F.transform(k, lambda m, i: turn(m, i, F.size(k) - 1)), ""))
     else:
-        body = F.array_join(F.transform(known, turn), "")
+        body = F.array_join(F.transform(known, lambda m: turn(m)), "")
     parts = [F.lit(template.start)]
     if template.system_first:
         parts.append(_last_system(messages))

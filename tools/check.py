@@ -74,7 +74,7 @@ def main() -> int:
             expected = cur.fetchall()
             problem = compare(df.columns, rows, [d[0] for d in cur.description], expected)
         except Exception as error:  # noqa: BLE001
-            problem = f"error {type(error).__name__}: {str(error)[:1500]}"
+            problem = f"error {type(error).__name__}: {str(error)[:400]}"
             rows, t1 = [], time.time()
         bad += bool(problem)
         print(f"{'BAD ' if problem else 'ok   '} {name}: {len(rows)} rows, {t1 - t0:.1f}s {problem}", flush=True)
