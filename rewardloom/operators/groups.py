@@ -54,3 +54,13 @@ def incomplete_groups(df: DataFrame, size: int, group: str = "group_id") -> Data
 def pair(rollouts: DataFrame, tasks: DataFrame, on: str = "prompt_id") -> DataFrame:
     """Rollouts with their task's columns. Pass narrow sides: score and drop long texts first."""
     return rollouts.join(tasks, on)
+
+
+def weighted_reward_long(rewards: DataFrame, weights: dict[str, float], key: str = "rollout_id") -> DataFrame:
+    """The weighted sum over a long table ``(key, reward_name, value)``.
+
+    One weight row per reward function; the list comes from the configuration, so it is always small enough to send.
+    """
+    rows = rewards.sparkSession.createDataFrame(list(weights.items()), "reward_name string, weight double")
+    joined = rewards.join(F.broadcast(rows), "reward_name")
+    return joined.groupBy(key).agg(F.sum(F.coalesce(F.col("value") * F.col("weight"), F.lit(0.0))).alias("reward"))
