@@ -3,6 +3,6 @@
 from rewardloom.catalog.registry import QUERIES, SQL
 
 # Importing the modules fills the registry.
-from rewardloom.catalog import answers, chats, mixing, reporting, rewards, sampling, tokens  # noqa: E402,F401
+from rewardloom.catalog import answers, chats, mixing, reporting, rewards, sampling, streams, tokens  # noqa: E402,F401
 
 __all__ = ["QUERIES", "SQL"]

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_LOCAL_DIRS: dict[str, str] = {}  # folders of local sessions that name none
 BYTES_PER_TASK = 128 * 1024 * 1024  # Spark's default size of one scan partition
 
 
@@ -40,9 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="rewardloom-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="rewardloom-")
+    return _LOCAL_DIRS[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
