@@ -117,7 +117,7 @@ def _agree(a: str, g: str) -> str:
 
 
 def _verdicts(spark: SparkSession, folder: str, mode: str) -> DataFrame:
-    df = rollouts(spark, folder)
+    df = rollouts(spark, folder, heavy=True)
     read = df.select(
         "rollout_id",
         A.read_answer(F.col("completion"), mode).alias("a"),
@@ -162,7 +162,7 @@ def answer_equivalence_latex(spark: SparkSession, folder: str) -> DataFrame:
     f"{READINGS} SELECT rollout_id, {sql_round(f'CASE WHEN cg IS NULL THEN 0.25 WHEN {_agree('ca', 'cg')} THEN 1.0 ELSE 0.0 END')} AS reward FROM paired",
 )
 def reward_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    scored = score(rollouts(spark, folder), ["accuracy"], keep=("rollout_id",))
+    scored = score(rollouts(spark, folder, heavy=True), ["accuracy"], keep=("rollout_id",))
     return scored.select("rollout_id", round6(F.col("accuracy")).alias("reward"))
 
 
@@ -173,7 +173,7 @@ _COSINE = f"""CASE WHEN lg IS NULL THEN 1.0
 
 @register("reward_cosine", f"{READINGS} SELECT rollout_id, {sql_round(_COSINE)} AS reward FROM paired")
 def reward_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    scored = score(rollouts(spark, folder), ["cosine"], RewardConfig(), keep=("rollout_id",))
+    scored = score(rollouts(spark, folder, heavy=True), ["cosine"], RewardConfig(), keep=("rollout_id",))
     return scored.select("rollout_id", round6(F.col("cosine")).alias("reward"))
 
 
@@ -189,7 +189,7 @@ _LENGTH = f"""CASE WHEN hi = lo THEN 0.0 WHEN lg IS NULL OR {_agree('la', 'lg')}
 )
 def reward_length(spark: SparkSession, folder: str) -> DataFrame:
     """Batch extremes are aggregated and joined back to the narrow scores."""
-    scored = score(rollouts(spark, folder), ["length"], keep=("rollout_id",))
+    scored = score(rollouts(spark, folder, heavy=True), ["length"], keep=("rollout_id",))
     return scored.select("rollout_id", round6(F.col("length")).alias("reward"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardloom.catalog.registry import SQL_SPACE as SP
-from rewardloom.catalog.registry import literal, register, table, text_table
+from rewardloom.catalog.registry import literal, register, table
 from rewardloom.catalog.rewards import sql_strip
 from rewardloom.catalog.standins import WITH_ROLLOUTS, rollouts
 from rewardloom.functions import chat
@@ -37,7 +37,7 @@ def messages(spark: SparkSession, folder: str, *extra: Column) -> DataFrame:
         )
         return F.struct(role.alias("role"), line.alias("content"))
 
-    docs = text_table(spark, folder, "documents")
+    docs = table(spark, folder, "documents")
     return docs.select("doc_id", F.transform(F.split("text", "\n"), turn).alias("messages"), *extra)
 
 
@@ -311,7 +311,7 @@ def _two_turns(system: str, user_sql: str) -> str:
 )
 def format_math(spark: SparkSession, folder: str) -> DataFrame:
     built = chat.math_messages(F.col("text"), _MATH_SYSTEM, _INSTRUCTION)
-    return text_table(spark, folder, "documents").select("doc_id", chat.render(built, CHATML).alias("prompt"))
+    return table(spark, folder, "documents").select("doc_id", chat.render(built, CHATML).alias("prompt"))
 
 
 @register(
@@ -321,7 +321,7 @@ def format_math(spark: SparkSession, folder: str) -> DataFrame:
 def format_math_appended(spark: SparkSession, folder: str) -> DataFrame:
     """The instruction follows the problem, without a system turn."""
     built = chat.math_messages(F.col("text"), None, " Think first.", append=True)
-    return text_table(spark, folder, "documents").select("doc_id", chat.render(built, CHATML).alias("prompt"))
+    return table(spark, folder, "documents").select("doc_id", chat.render(built, CHATML).alias("prompt"))
 
 
 _SOLUTION = "CASE doc_id % 3 WHEN 0 THEN ' <answer>' || text || '</answer>' || chr(10) ELSE text END"
@@ -333,7 +333,7 @@ _WRAPPED = (
 
 def _solved(spark: SparkSession, folder: str) -> DataFrame:
     tagged = F.concat(F.lit(" <answer>"), "text", F.lit("</answer>\n"))
-    docs = text_table(spark, folder, "documents")
+    docs = table(spark, folder, "documents")
     return docs.select("doc_id", "text", "source", F.when(F.col("doc_id") % 3 == 0, tagged).otherwise(F.col("text")).alias("s"))
 
 
@@ -390,7 +390,7 @@ _VISUAL_SYSTEM = f"coalesce(system, {literal(chat.VISUAL_SYSTEM)})"
 )
 def format_visual_sft(spark: SparkSession, folder: str) -> DataFrame:
     """Nested rows with an optional system text of their own, rendered with a generation prompt."""
-    docs = text_table(spark, folder, "documents")
+    docs = table(spark, folder, "documents")
     nested = docs.select(
         "doc_id",
         F.struct(

@@ -78,7 +78,7 @@ def map_and_drop_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """Only what the formatter emits remains."""
     text = F.col("text")
     return mix.map_rows(
-        text_table(spark, folder, "documents"),
+        table(spark, folder, "documents"),
         doc_id=F.col("doc_id"),
         prompt=F.concat(F.lit("Translate: "), text),
         solution=wrap_solution(text),
@@ -93,7 +93,7 @@ def map_and_drop_inputs(spark: SparkSession, folder: str) -> DataFrame:
 def fraction_head(spark: SparkSession, folder: str) -> DataFrame:
     """First share of every source in id order."""
     rows = table(spark, folder, "documents").select("doc_id", "source", "n_chars")
-    return mix.fraction_head(rows, "source", "doc_id", FRACTIONS)
+    return mix.fraction_head(rows, "source", "doc_id", FRACTIONS, id_bits=48)
 
 
 _HALVES = "CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END"

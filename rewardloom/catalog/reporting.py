@@ -186,7 +186,7 @@ _TAGS = " + ".join(sql_once("completion", tag, 0.25) for tag in scorers.THINK_TA
  {sql_round('avg(CASE WHEN reward > 0 THEN 1e0 ELSE 0e0 END)')} AS success_rate FROM scored GROUP BY ROLLUP (step, source)""",
 )
 def reward_summary(spark: SparkSession, folder: str) -> DataFrame:
-    scored = rollouts(spark, folder).select("step", "source", scorers.tag_count_reward(F.col("completion")).alias("reward"))
+    scored = rollouts(spark, folder, heavy=True).select("step", "source", scorers.tag_count_reward(F.col("completion")).alias("reward"))
     rows = metrics.reward_summary(scored)
     return rows.select(
         "step",
@@ -243,13 +243,13 @@ def _with_cases(spark: SparkSession, folder: str) -> DataFrame:
     def case(line: Column) -> Column:
         return F.struct(line.alias("input"), F.length(line).cast("string").alias("output"))
 
-    docs = text_table(spark, folder, "documents")
+    docs = table(spark, folder, "documents")
     return docs.select(F.col("doc_id").alias("rollout_id"), F.transform(F.split("text", "\n"), case).alias("test_cases"))
 
 
 def _results(spark: SparkSession, folder: str) -> DataFrame:
     """A table of execution results as a runner would leave it."""
-    rows = text_table(spark, folder, "documents").select(
+    rows = table(spark, folder, "documents").select(
         F.col("doc_id").alias("rollout_id"), F.posexplode(F.split("text", "\n")).alias("case_id", "line")
     )
     return rows.select(
@@ -384,7 +384,7 @@ def completions_table_unique_prompts(spark: SparkSession, folder: str) -> DataFr
 @register("distinct_prompts", "SELECT text AS prompt, min(doc_id) AS first_id, count(*) AS rows FROM documents GROUP BY text")
 def distinct_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Every prompt text once, with its first row."""
-    docs = text_table(spark, folder, "documents")
+    docs = table(spark, folder, "documents")
     first = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")
     )

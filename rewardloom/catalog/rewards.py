@@ -10,6 +10,7 @@ from rewardloom.catalog.registry import literal, register, table
 from rewardloom.catalog.standins import WITH_ROLLOUTS, rollouts
 from rewardloom.config import RewardConfig, RewardPlan
 from rewardloom.functions import equations, scorers
+from rewardloom.functions.chat import number_list
 from rewardloom.functions.text import round6
 from rewardloom.operators.groups import pair
 from rewardloom.plans.scoring import custom_reward, score, score_with_advantages, select_rewards
@@ -36,7 +37,7 @@ def reward_sql(value: str) -> str:
 
 
 def reward_frame(spark: SparkSession, folder: str, build) -> DataFrame:
-    return rollouts(spark, folder).select("rollout_id", round6(build(F.col("completion"))).alias("reward"))
+    return rollouts(spark, folder, heavy=True).select("rollout_id", round6(build(F.col("completion"))).alias("reward"))
 
 
 def simple_reward(name: str, build, value_sql: str) -> None:
@@ -211,7 +212,7 @@ def sql_normalized(text: str) -> str:
 def judge_text_match(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("completion")
     respaced = F.translate(text, "\n", "\t")
-    return rollouts(spark, folder).select(
+    return rollouts(spark, folder, heavy=True).select(
         "rollout_id",
         scorers.normalized_text(text).alias("normalized"),
         round6(scorers.text_match_reward(text, respaced)).alias("same_text"),
@@ -296,8 +297,6 @@ def join_completion_target_numbers(spark: SparkSession, folder: str) -> DataFram
         "rollout_id", F.col("group_id").alias("prompt_id"), (F.col("n1") + F.col("n2") - F.col("n3")).alias("value")
     )
     joined = pair(mine, tasks)
-    from rewardloom.functions.chat import number_list
-
     return joined.select(
         "rollout_id",
         round6(F.col("target")).alias("target"),
@@ -338,7 +337,7 @@ _STEPS = (
 def registry_plain_rewards(spark: SparkSession, folder: str) -> DataFrame:
     """Rewards picked by name from the registry; an unknown name is skipped."""
     names = ["format", "tag_count", "no_such_reward", "reasoning_steps", "countdown_equation"]
-    df = rollouts(spark, folder).withColumn("nums", _nums())
+    df = rollouts(spark, folder, heavy=True).withColumn("nums", _nums())
     known = [n for n in names if n != "no_such_reward"]
     scored = score(df, select_rewards(known), keep=("rollout_id",))
     return scored.select("rollout_id", *[round6(F.col(n)).alias(n) for n in known])
@@ -359,7 +358,7 @@ def registry_plain_rewards(spark: SparkSession, folder: str) -> DataFrame:
 def registry_configured_rewards(spark: SparkSession, folder: str) -> DataFrame:
     cfg = RewardConfig(repetition_n_grams=2, repetition_max_penalty=-0.5, code_language="bash")
     names = ["repetition_penalty", "code_format", "print"]
-    scored = score(rollouts(spark, folder), names, cfg, keep=("rollout_id",))
+    scored = score(rollouts(spark, folder, heavy=True), names, cfg, keep=("rollout_id",))
     return scored.select("rollout_id", *[round6(F.col(n)).alias(n) for n in names])
 
 
@@ -392,7 +391,7 @@ _FLAGSHIP_SQL = f"""{WITH_ROLLOUTS}, scored AS (
 def advantage_from_rewards(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: layout rewards, weighted sum, group-relative advantage."""
     plan = RewardPlan(("format", "tag_count"), (1.0, 0.5))
-    df = score_with_advantages(rollouts(spark, folder), plan)
+    df = score_with_advantages(rollouts(spark, folder, heavy=True), plan)
     return df.select(
         "rollout_id", "group_id", *[round6(F.col(c)).alias(c) for c in ("reward", "group_mean", "group_std", "advantage")]
     )

@@ -84,14 +84,15 @@ def on_duckdb(text: str) -> str:
     return text
 
 
-def _frame(spark: SparkSession, folder: str, text: str) -> DataFrame:
+def _frame(spark: SparkSession, folder: str, text: str, read_documents=table) -> DataFrame:
     names = [n for n in ("documents", "labels", "lineitem") if "{" + n + "}" in text]
-    read = {"documents": text_table}
-    return spark.sql(text, **{n: read.get(n, table)(spark, folder, n) for n in names})
+    readers = {"documents": read_documents}
+    return spark.sql(text, **{n: readers.get(n, table)(spark, folder, n) for n in names})
 
 
-def rollouts(spark: SparkSession, folder: str) -> DataFrame:
-    return _frame(spark, folder, ROLLOUTS)
+def rollouts(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
+    """``heavy`` marks work that is worth spreading a small table over the cores first."""
+    return _frame(spark, folder, ROLLOUTS, text_table if heavy else table)
 
 
 def sparse_rewards(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rewardloom.functions.scorers import flag
 from rewardloom.functions.text import SPACE_CLASS, strip
+from rewardloom.session import stage
 
 TOLERANCE = 1e-5
 ALLOWED = r"\A(?:[0-9+\-*/().]|" + SPACE_CLASS + r")+\z"
@@ -103,10 +104,11 @@ def countdown_equation_reward(text: Column, target: Column, nums: Column) -> Col
 def evaluate_distinct(df: DataFrame, equation: str = "equation", value: str = "equation_value") -> DataFrame:
     """Evaluate each distinct equation once and join the value back.
 
-    The distinct pass combines on the map side, so a text that fills a third of the table still ships one row per
-    task; the join back is an equi join whose hot partitions adaptive execution splits. Rows without an equation
-    take no part in the join.
+    ``df`` is narrow (ids, target, equation) and written once, so the texts it comes from are read once. The distinct
+    pass combines on the map side, so a text that fills a third of the table still ships one row per task; the join
+    back is an equi join whose hot partitions adaptive execution splits. Rows without an equation take no part in it.
     """
+    df = stage(df, "equations")
     known = df.where(F.col(equation).isNotNull())
     values = known.select(equation).distinct().withColumn(value, evaluate_equation(F.col(equation)))
     missing = df.where(F.col(equation).isNull()).withColumn(value, F.lit(None).cast("double"))

@@ -45,16 +45,21 @@ def word_grams(w: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(w) - F.lit(size)), run)
 
 
+def _bytes_removed(text: Column, needle: Column) -> Column:
+    """Bytes that go when ``needle`` is taken out; byte lengths are known without a scan."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, needle, F.lit("")))
+
+
 def exactly_once(text: Column, needle: str) -> Column:
-    """True when ``needle`` has one non-overlapping occurrence; two index scans, no copies of the text."""
-    first = F.instr(text, needle)
-    again = F.position(F.lit(needle), text, first + F.lit(len(needle)))
-    return (first > 0) & (again == 0)
+    """True when ``needle`` has one non-overlapping occurrence; texts without it are only searched."""
+    mark = F.lit(needle)
+    return F.contains(text, mark) & (_bytes_removed(text, mark) == len(needle.encode()))
 
 
 def occurrences(text: Column, needle: Column) -> Column:
     """Non-overlapping count of ``needle`` (not empty)."""
-    return ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("bigint")
+    counted = _bytes_removed(text, needle) / F.octet_length(needle)
+    return F.when(F.contains(text, needle), counted.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
 def before(text: Column, mark: str) -> Column:

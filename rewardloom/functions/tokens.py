@@ -81,31 +81,32 @@ def clipped_tokens(ratios: Column, advantage: Column, cfg: LossConfig) -> Column
     )
 
 
-def masked_sum(values: Column, kept: Column) -> Column:
-    """Sum over the kept prefix of a row; the end mask is always a prefix."""
-    return F.aggregate(F.slice(values, F.lit(1), kept.cast("int")), F.lit(0.0), lambda total, v: total + v)
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda t, v: t + v)
 
 
 def row_statistics(tokens: DataFrame, cfg: LossConfig, eos: int) -> DataFrame:
-    """Kept tokens and masked sums of loss, divergence and clipped tokens per rollout; arrays are dropped.
+    """Kept tokens and their sums of loss, divergence and clipped tokens per rollout; arrays are dropped.
 
-    Expects ``completion_ids, logps, old_logps, ref_logps, advantage``.
+    Expects ``completion_ids, logps, old_logps, ref_logps, advantage``. The end mask is always a prefix, so arrays are
+    cut to it first and nothing is computed for tokens that do not count.
     """
-    prepared = tokens.withColumn("kept", kept_length(F.col("completion_ids"), eos)).withColumn(
-        "_ratio", ratio(F.col("logps"), F.col("old_logps"))
+    arrays = ("logps", "old_logps", "ref_logps")
+    prepared = tokens.withColumn("kept", kept_length(F.col("completion_ids"), eos)).withColumns(
+        {a: F.slice(a, F.lit(1), F.col("kept").cast("int")) for a in arrays}
     )
     use_kl = cfg.beta != 0.0
-    kl = divergence(F.col("ref_logps"), F.col("logps")) if use_kl else None
+    measured = {"_ratio": ratio(F.col("logps"), F.col("old_logps"))}
     if use_kl:
-        prepared = prepared.withColumn("_kl", kl)
+        measured["_kl"] = divergence(F.col("ref_logps"), F.col("logps"))
+    prepared = prepared.withColumns(measured)
     loss = token_loss(F.col("_ratio"), F.col("advantage"), cfg, F.col("_kl") if use_kl else None)
     sums = {
-        "loss_sum": masked_sum(loss, F.col("kept")),
-        "kl_sum": masked_sum(F.col("_kl"), F.col("kept")) if use_kl else F.lit(None).cast("double"),
-        "clip_sum": masked_sum(clipped_tokens(F.col("_ratio"), F.col("advantage"), cfg), F.col("kept")),
+        "loss_sum": total(loss),
+        "kl_sum": total(F.col("_kl")) if use_kl else F.lit(None).cast("double"),
+        "clip_sum": total(clipped_tokens(F.col("_ratio"), F.col("advantage"), cfg)),
     }
-    dropped = [c for c in ("completion_ids", "logps", "old_logps", "ref_logps", "_ratio", "_kl")]
-    return prepared.withColumns(sums).drop(*dropped)
+    return prepared.withColumns(sums).drop("completion_ids", *arrays, *measured)
 
 
 def token_mean(sums: DataFrame, keys: list[str]) -> DataFrame:

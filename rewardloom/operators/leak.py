@@ -6,30 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.functions.text import let, word_grams, words
+from rewardloom.session import stage
 
 GRAM_WORDS = 8
+BROADCAST_GRAMS = 2_000_000  # 16 bytes each: at most about 32 MB per executor
 
 
-def gram_digests(text: Column, size: int = GRAM_WORDS) -> Column:
-    """Distinct digests of all runs of ``size`` lower-case words."""
+def grams(text: Column, size: int = GRAM_WORDS, hashed: bool = False) -> Column:
+    """All runs of ``size`` lower-case words, or their 64-bit hashes."""
 
-    def digests(w: Column) -> Column:
-        every = F.transform(word_grams(w, size), F.md5)
-        return F.when(F.size(w) >= size, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+    def runs(w: Column) -> Column:
+        every = word_grams(w, size)
+        empty = F.array().cast("array<string>")
+        if hashed:
+            every, empty = F.transform(every, lambda g: F.xxhash64(g)), F.array().cast("array<bigint>")
+        return F.when(F.size(w) >= size, every).otherwise(empty)
 
-    return let(words(F.lower(text)), digests)
+    return let(words(F.lower(text)), runs)
 
 
 def leaked_ids(train: DataFrame, held_out: DataFrame, row_id: str, text: str, size: int = GRAM_WORDS) -> DataFrame:
     """Distinct ids of training rows sharing a gram with a held-out text.
 
-    Only (id, digest) pairs move. The digests of the held-out side are distinct, so the semi join cannot multiply rows,
-    and a boilerplate gram held by a third of the training rows is a skewed partition of the left side, which adaptive
-    execution may split. The planner broadcasts the held-out digests only while they are small.
+    First pass: hashes of the training grams are looked up where they are made. The distinct held-out hashes are counted;
+    up to two million are broadcast, so no training gram moves at all, and beyond that the semi join shuffles hashes,
+    whose hot partitions adaptive execution may split. Second pass: the few rows found are checked on the words
+    themselves, so a hash collision cannot mark a row.
     """
-    known = held_out.select(F.explode(gram_digests(F.col(text), size)).alias("gram")).distinct()
-    grams = train.select(row_id, F.explode(gram_digests(F.col(text), size)).alias("gram"))
-    return grams.join(known, "gram", "left_semi").select(row_id).distinct()
+    known = stage(
+        held_out.select(F.explode(grams(F.col(text), size, hashed=True)).alias("gram")).distinct(), "held-out-grams"
+    )
+    if known.count() <= BROADCAST_GRAMS:
+        known = F.broadcast(known)
+    hashes = train.select(row_id, F.explode(grams(F.col(text), size, hashed=True)).alias("gram"))
+    suspects = stage(hashes.join(known, "gram", "left_semi").select(row_id).distinct(), "leak-suspects")
+    exact = held_out.select(F.explode(grams(F.col(text), size)).alias("gram")).distinct()
+    runs = train.join(suspects, row_id, "left_semi").select(row_id, F.explode(grams(F.col(text), size)).alias("gram"))
+    return runs.join(exact, "gram", "left_semi").select(row_id).distinct()
 
 
 def clean_rows(train: DataFrame, held_out: DataFrame, row_id: str, text: str, size: int = GRAM_WORDS) -> DataFrame:

@@ -31,13 +31,18 @@ def map_rows(df: DataFrame, **outputs: Column) -> DataFrame:
     return df.select(*[value.alias(name) for name, value in outputs.items()])
 
 
-def fraction_head(df: DataFrame, source: str, row_id: str, fractions: dict[str, float]) -> DataFrame:
-    """First ``int(fraction * rows)`` rows of every source in id order; sources without a fraction are dropped."""
+def fraction_head(
+    df: DataFrame, source: str, row_id: str, fractions: dict[str, float], id_bits: int = 64
+) -> DataFrame:
+    """First ``int(fraction * rows)`` rows of every source in id order; sources without a fraction are dropped.
+
+    ``id_bits`` below 64 promises non-negative ids of that many bits and saves passes; a larger id fails the job.
+    """
     bad = [name for name, f in fractions.items() if not 0.0 <= f <= 1.0]
     if bad:
         raise ValueError(f"fractions must lie in [0, 1]: {', '.join(bad)}")
     fraction = F.coalesce(*[F.when(F.col("_by") == name, F.lit(float(f))) for name, f in fractions.items()], F.lit(0.0))
-    return keep_first(df, id_key(row_id), F.floor(fraction * F.col("_rows")), by=F.col(source))
+    return keep_first(df, id_key(row_id, id_bits), F.floor(fraction * F.col("_rows")), by=F.col(source), digits=id_bits // 4)
 
 
 def debug_head(df: DataFrame, row_id: str, split: str = "split", rows: int = DEBUG_ROWS) -> DataFrame:

@@ -15,10 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEX_PER_LEVEL = 4  # 65,536 prefixes per level bound every offset table
-ID_LEVELS = 4  # four levels read all 64 bits of an id
-HASH_LEVELS = 2  # after two levels one prefix holds n / 2**32 rows
-
-_ALL = "_all"
+ID_DIGITS = 16  # four levels read all 64 bits of an id
+HASH_DIGITS = 8  # after two levels one prefix of a hash holds n / 2**32 rows
 
 
 def hash_key(seed: int, *columns: Column | str) -> Column:
@@ -26,10 +24,18 @@ def hash_key(seed: int, *columns: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c) if isinstance(c, str) else c for c in columns]))
 
 
-def id_key(column: Column | str) -> Column:
-    """Sixteen hexadecimal digits in the order of a signed 64-bit id."""
-    value = F.col(column) if isinstance(column, str) else column
-    return F.lpad(F.hex(value.cast("bigint").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+def id_key(column: Column | str, bits: int = 64) -> Column:
+    """Hexadecimal digits in the order of an integer id.
+
+    With fewer than 64 bits ids must be non-negative and fit, else the job fails.
+    """
+    value = (F.col(column) if isinstance(column, str) else column).cast("bigint")
+    if bits == 64:
+        return F.lpad(F.hex(value.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    if bits % 16 or not 0 < bits < 64:
+        raise ValueError("bits must be 16, 32, 48 or 64")
+    outside = F.raise_error(F.lit(f"an id does not fit into {bits} bits"))
+    return F.when((value < 0) | (value >= 2**bits), outside).otherwise(F.lpad(F.hex(value), bits // 4, "0"))
 
 
 def with_rank(df: DataFrame, key: Column, name: str = "rank") -> DataFrame:
@@ -48,58 +54,81 @@ def with_rank(df: DataFrame, key: Column, name: str = "rank") -> DataFrame:
     )
 
 
-def _narrow(keys: DataFrame, state: DataFrame | None, level: int, wanted: Column) -> DataFrame:
-    """One level: the prefix the k-th key lies in, and k counted inside it."""
+def _level(keys: DataFrame, parts: list[str], state: DataFrame | None, level: int, wanted: Column) -> DataFrame:
+    """One level: ``parts, _prefix, _k`` of the prefix the k-th key lies in, k counted inside it."""
     digit = F.substring("_key", level * HEX_PER_LEVEL + 1, HEX_PER_LEVEL).alias("_digit")
     if state is None:
-        counts = keys.groupBy("_by", digit).agg(F.count(F.lit(1)).alias("_n"))
-        counts = counts.withColumn("_prefix", F.lit(""))
-        total = F.sum("_n").over(Window.partitionBy("_by"))
-        counts = counts.withColumn("_rows", total).withColumn("_k", wanted.cast("bigint")).drop("_rows")
+        counts = keys.groupBy(*parts, digit).agg(F.count(F.lit(1)).alias("_n"))
+        rows = F.sum("_n").over(Window.partitionBy(*parts))
+        counts = counts.withColumn("_rows", rows).withColumn("_k", wanted.cast("bigint")).withColumn("_prefix", F.lit(""))
     else:
-        # One row per part of the mix, and the parts are named in the configuration.
-        inside = keys.join(F.broadcast(state), "_by").where(F.col("_key").startswith(F.col("_prefix")))
-        counts = inside.groupBy("_by", "_prefix", "_k", digit).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("_by").orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
+        inside = _inside(keys, parts, state)
+        counts = inside.groupBy(*parts, "_prefix", "_k", digit).agg(F.count(F.lit(1)).alias("_n"))
+    # Windows here run over counts: at most 65,536 rows per part, however large the table is.
+    earlier = Window.partitionBy(*parts).orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     hit = (F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n"))
     return counts.where(hit).select(
-        "_by", F.concat("_prefix", "_digit").alias("_prefix"), (F.col("_k") - F.col("_before")).alias("_k")
+        *parts, F.concat("_prefix", "_digit").alias("_prefix"), (F.col("_k") - F.col("_before")).alias("_k")
     )
 
 
-def cut_keys(df: DataFrame, key: Column, wanted: Column, by: Column | None = None, hashed: bool = False) -> DataFrame:
-    """Key of the k-th row per part: one row ``(_by, _cut)`` for every part that keeps any row.
+def _inside(keys: DataFrame, parts: list[str], state: DataFrame) -> DataFrame:
+    """Keys below the prefix reached so far, with the prefix and k beside them."""
+    if parts:
+        # One row per part of the mix, and the parts are named in the configuration.
+        keyed = keys.join(F.broadcast(state), parts)
+    else:
+        reached = state.select(F.struct("_prefix", "_k")).scalar()
+        keyed = keys.withColumn("_prefix", reached["_prefix"]).withColumn("_k", reached["_k"])
+    return keyed.where(F.col("_key").startswith(F.col("_prefix")))
+
+
+def cut_keys(
+    df: DataFrame,
+    key: Column,
+    wanted: Column,
+    by: Column | None = None,
+    hashed: bool = False,
+    digits: int = ID_DIGITS,
+) -> DataFrame:
+    """Key of the k-th row, one row per part that keeps any: ``_cut``, and ``_by`` when there are parts.
 
-    ``wanted`` is k as an expression over ``_by`` and ``_rows`` (rows of the part).
+    ``wanted`` is k as an expression over ``_rows`` (rows of the part) and ``_by``.
     """
-    part = F.lit(_ALL) if by is None else by.cast("string")
-    keys = df.select(part.alias("_by"), key.alias("_key"))
+    parts = [] if by is None else ["_by"]
+    keys = df.select(*([] if by is None else [by.cast("string").alias("_by")]), key.alias("_key"))
     state = None
-    for level in range(HASH_LEVELS if hashed else ID_LEVELS):
-        state = _narrow(keys, state, level, wanted)
+    for level in range((HASH_DIGITS if hashed else digits) // HEX_PER_LEVEL):
+        state = _level(keys, parts, state, level, wanted)
     if not hashed:
-        return state.select("_by", F.col("_prefix").alias("_cut"))
-    last = Window.partitionBy("_by").orderBy("_key")
-    inside = keys.join(F.broadcast(state), "_by").where(F.col("_key").startswith(F.col("_prefix")))
+        return state.select(*parts, F.col("_prefix").alias("_cut"))
+    last = Window.partitionBy(*parts, "_prefix").orderBy("_key")
     return (
-        inside.withColumn("_row", F.row_number().over(last))
+        _inside(keys, parts, state)
+        .withColumn("_row", F.row_number().over(last))
         .where(F.col("_row") == F.col("_k"))
-        .select("_by", F.col("_key").alias("_cut"))
+        .select(*parts, F.col("_key").alias("_cut"))
     )
 
 
 def flag_first(
-    df: DataFrame, key: Column, wanted: Column, by: Column | None = None, hashed: bool = False, name: str = "is_first"
+    df: DataFrame,
+    key: Column,
+    wanted: Column,
+    by: Column | None = None,
+    hashed: bool = False,
+    name: str = "is_first",
+    digits: int = ID_DIGITS,
 ) -> DataFrame:
     """Mark the first k rows of every part; the table is neither sorted nor moved."""
-    cuts = cut_keys(df, key, wanted, by, hashed)
-    part = F.lit(_ALL) if by is None else by.cast("string")
-    marked = df.withColumn("_by", part).join(F.broadcast(cuts), "_by", "left")
+    cuts = cut_keys(df, key, wanted, by, hashed, digits)
+    if by is None:
+        return df.withColumn(name, F.coalesce(key <= cuts.scalar(), F.lit(False)))
+    marked = df.withColumn("_by", by.cast("string")).join(F.broadcast(cuts), "_by", "left")
     return marked.withColumn(name, F.coalesce(key <= F.col("_cut"), F.lit(False))).drop("_by", "_cut")
 
 
-def keep_first(
-    df: DataFrame, key: Column, wanted: Column, by: Column | None = None, hashed: bool = False
-) -> DataFrame:
-    return flag_first(df, key, wanted, by, hashed, "_first").where("_first").drop("_first")
+def keep_first(df: DataFrame, key: Column, wanted: Column, **options) -> DataFrame:
+    """Keep the first k rows of every part; options as for ``flag_first``."""
+    return flag_first(df, key, wanted, name="_first", **options).where("_first").drop("_first")
