@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from rewardloom.catalog.registry import SQL_SPACE as SP
 from rewardloom.catalog.registry import register, table, text_table
 from rewardloom.config import MixConfig, TaskSource
-from rewardloom.functions.chat import wrap_solution
+from rewardloom.functions.chat import message, messages_of, wrap_solution
 from rewardloom.operators import leak, metrics, mix
+from rewardloom.plans.tasks import prepare_tasks
+from rewardloom.session import fresh_path
 from rewardloom.sources.datasets import load_mix, read_source
 
 SEED = 42
@@ -209,3 +211,36 @@ def leak_free_rows(spark: SparkSession, folder: str) -> DataFrame:
 def row_counts_per_split(spark: SparkSession, folder: str) -> DataFrame:
     split = F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train")
     return metrics.row_counts(table(spark, folder, "documents").select(split.alias("split")))
+
+
+@register(
+    "prepared_tasks",
+    """WITH kept AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM documents),
+ mixed AS (SELECT 'documents' AS source, doc_id AS row_id, lang, source AS topic FROM kept WHERE rn <= floor(0.5e0 * n)
+  UNION ALL SELECT 'pages', page_id, 'html', url FROM pages),
+ ordered AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || source || ':' || CAST(row_id AS VARCHAR))) AS rk, count(*) OVER () AS n FROM mixed)
+ SELECT source, row_id, CASE WHEN rk <= ceil(0.1e0 * n) THEN 'test' ELSE 'train' END AS split, 'user' AS role,
+ 'Name the topic of ' || lang || ': ' || topic AS content FROM ordered""",
+)
+def prepared_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole preparation: two sources by fraction, a test split, a formatter of the caller."""
+
+    def formatter(df: DataFrame) -> DataFrame:
+        asked = F.concat(F.lit("Name the topic of "), "lang", F.lit(": "), "topic")
+        return mix.map_rows(
+            df, source=F.col("source"), row_id=F.col("row_id"), split=F.col("split"), messages=messages_of(message("user", asked))
+        )
+
+    docs = table(spark, folder, "documents").select("doc_id", "lang", F.col("source").alias("topic"))
+    pages = table(spark, folder, "pages").select("page_id", F.lit("html").alias("lang"), F.col("url").alias("topic"))
+    root = fresh_path(spark, "mix")
+    docs.write.parquet(f"{root}/documents/train")
+    pages.write.parquet(f"{root}/pages/train")
+    sources = (
+        TaskSource("documents", f"{root}/documents", 0.5, "doc_id", ("train",)),
+        TaskSource("pages", f"{root}/pages", 1.0, "page_id", ("train",)),
+    )
+    cfg = MixConfig(sources, columns_to_keep=("lang", "topic"), seed=SEED)
+    rows = prepare_tasks(spark, cfg, formatter, test_size=0.1)
+    first = F.get("messages", F.lit(0))
+    return rows.select("source", "row_id", "split", first["role"].alias("role"), first["content"].alias("content"))

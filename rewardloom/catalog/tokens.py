@@ -7,12 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardloom.catalog.registry import register, text_table
-from rewardloom.catalog.rewards import sql_round
-from rewardloom.config import LossConfig
+from rewardloom.catalog.rewards import _TAGS, sql_round
+from rewardloom.catalog.standins import WITH_ROLLOUTS, rollouts
+from rewardloom.config import LossConfig, RewardPlan
 from rewardloom.functions import tokens as tk
 from rewardloom.functions.text import round6
 from rewardloom.operators import metrics
 from rewardloom.operators.groups import with_aggregates
+from rewardloom.plans.scoring import score_with_advantages
+from rewardloom.plans.step import step_metrics
 
 EOS, PAD, PROMPT_LENGTH, IMAGE_IDS = 11, 3, 64, (5, 13)
 CFG = LossConfig(beta=0.04, epsilon_low=0.2, epsilon_high=0.28)
@@ -243,3 +246,28 @@ def running_token_total(spark: SparkSession, folder: str) -> DataFrame:
         (tk.kept_length(ids, EOS) + F.least(F.size(ids), F.lit(PROMPT_LENGTH))).alias("n"),
     )
     return metrics.token_totals(rows, F.col("n"))
+
+
+@register(
+    "scoring_step_metrics",
+    f"""{WITH_ROLLOUTS}, scored AS (SELECT rollout_id, group_id, step, {_TAGS} AS reward FROM rollouts),
+ stats AS (SELECT *, avg(reward) OVER g AS m, stddev_samp(reward) OVER g AS s FROM scored WINDOW g AS (PARTITION BY step, group_id)),
+ rewarded AS (SELECT rollout_id, group_id, step, m, s, (reward - m) / (s + 0.0001e0) AS a FROM stats),
+ grouped AS (SELECT step, avg(m) AS reward, avg(s) AS reward_std FROM (SELECT DISTINCT step, group_id, m, s FROM rewarded) GROUP BY step),
+ {MEASURED},
+ priced AS (SELECT r.step, -least(ratio * a, clipped * a) + {CFG.beta}e0 * kl AS loss, kl,
+  CASE WHEN (ratio < {_LOW}e0 AND a < 0) OR (ratio > {_HIGH}e0 AND a > 0) THEN 1e0 ELSE 0e0 END AS clip
+  FROM measured t JOIN rewarded r ON t.doc_id = r.rollout_id WHERE i < kept),
+ means AS (SELECT step, count(*) AS tokens, avg(loss) AS loss, avg(kl) AS kl, avg(clip) AS clip FROM priced GROUP BY step)
+ SELECT g.step, {sql_round('g.reward')} AS reward, {sql_round('g.reward_std')} AS reward_std, tokens,
+ {sql_round('loss')} AS mean_loss, {sql_round('kl')} AS mean_kl, {sql_round('clip')} AS mean_clip FROM grouped g JOIN means m ON g.step = m.step""",
+)
+def scoring_step_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole step: texts are scored, token arrays reduced, and only numbers meet."""
+    scored = score_with_advantages(rollouts(spark, folder, heavy=True), RewardPlan(("tag_count",)))
+    arrays = token_rows(spark, folder).select(
+        F.col("doc_id").alias("rollout_id"), "completion_ids", "logps", "old_logps", "ref_logps"
+    )
+    rows = step_metrics(scored, arrays, CFG, EOS, ["step"])
+    names = ("reward", "reward_std", "mean_loss", "mean_kl", "mean_clip")
+    return rows.select("step", "tokens", *[round6(F.col(c)).alias(c) for c in names])

@@ -109,6 +109,39 @@ def row_statistics(tokens: DataFrame, cfg: LossConfig, eos: int) -> DataFrame:
     return prepared.withColumns(sums).drop("completion_ids", *arrays, *measured)
 
 
+def ratio_statistics(tokens: DataFrame, cfg: LossConfig, eos: int) -> DataFrame:
+    """What the loss needs of the token arrays when the advantage is not known yet: six numbers per rollout.
+
+    The clipped loss of a token is ``-A * min(c, clamp(c))`` for ``A >= 0`` and ``-A * max(c, clamp(c))`` below, so the
+    sums of both suffice. Arrays are reduced where they lie and never travel with a join.
+    """
+    arrays = ("logps", "old_logps", "ref_logps")
+    kept = tokens.withColumn("kept", kept_length(F.col("completion_ids"), eos)).withColumns(
+        {a: F.slice(a, F.lit(1), F.col("kept").cast("int")) for a in arrays}
+    )
+    measured = kept.withColumns(
+        {"_ratio": ratio(F.col("logps"), F.col("old_logps")), "_kl": divergence(F.col("ref_logps"), F.col("logps"))}
+    )
+    c = F.col("_ratio")
+    sums = {
+        "lower_sum": total(F.transform(c, lambda x: F.least(x, clamp(x, cfg)))),
+        "upper_sum": total(F.transform(c, lambda x: F.greatest(x, clamp(x, cfg)))),
+        "kl_sum": total(F.col("_kl")),
+        "below": F.size(F.filter(c, lambda x: x < 1.0 - cfg.epsilon_low)).cast("double"),
+        "above": F.size(F.filter(c, lambda x: x > 1.0 + cfg.upper)).cast("double"),
+    }
+    return measured.withColumns(sums).drop("completion_ids", *arrays, "_ratio", "_kl")
+
+
+def with_loss(statistics: DataFrame, cfg: LossConfig, advantage: str = "advantage") -> DataFrame:
+    """Loss and clip sums per rollout from ``ratio_statistics`` and an advantage column."""
+    a = F.col(advantage)
+    clipped = -a * F.when(a >= 0, F.col("lower_sum")).otherwise(F.col("upper_sum"))
+    loss = clipped + F.lit(cfg.beta) * F.col("kl_sum") if cfg.beta else clipped
+    clip = F.when(a < 0, F.col("below")).when(a > 0, F.col("above")).otherwise(F.lit(0.0))
+    return statistics.withColumns({"loss_sum": loss, "clip_sum": clip})
+
+
 def token_mean(sums: DataFrame, keys: list[str]) -> DataFrame:
     """Token means over whole batches: sums of sums over sums of kept tokens."""
     tokens = F.sum("kept")

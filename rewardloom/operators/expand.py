@@ -19,19 +19,18 @@ def repeat_plan(
     if min(copies, batch_size, repeats) < 1:
         raise ValueError("copies, batch_size and repeats must be at least 1")
     ids = prompts.select(F.col(prompt_id).alias("prompt_id"))
-    ranked = with_rank(ids, hash_key(seed, "prompt_id"))
+    ranked = with_rank(ids, hash_key(seed, "prompt_id"), total="rows")
     total = F.lit(batch_size)
-    rows = ids.agg(F.count(F.lit(1))).scalar()
     full = (
         ranked.withColumn("chunk", F.floor(F.col("rank") / total).cast("bigint"))
         .withColumn("slot", F.col("rank") % total)
-        .where((F.col("chunk") + 1) * total <= rows)
+        .where((F.col("chunk") + 1) * total <= F.col("rows"))
     )
 
     def counter(n: int):
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
-    expanded = full.withColumn("repeat_idx", counter(repeats)).withColumn("gen_idx", counter(copies)).drop("rank")
+    expanded = full.withColumn("repeat_idx", counter(repeats)).withColumn("gen_idx", counter(copies)).drop("rank", "rows")
     block = batch_size * copies
     position = (F.col("chunk") * repeats + F.col("repeat_idx")) * block + F.col("slot") * copies + F.col("gen_idx")
     return expanded.withColumn("position", position.cast("bigint"))

@@ -45,9 +45,9 @@ def fraction_head(
     return keep_first(df, id_key(row_id, id_bits), F.floor(fraction * F.col("_rows")), by=F.col(source), digits=id_bits // 4)
 
 
-def debug_head(df: DataFrame, row_id: str, split: str = "split", rows: int = DEBUG_ROWS) -> DataFrame:
+def debug_head(df: DataFrame, order: str | Column, split: str = "split", rows: int = DEBUG_ROWS) -> DataFrame:
     """First rows of each of the two splits, each a bounded top-k."""
-    heads = [df.where(F.col(split) == name).orderBy(row_id).limit(rows) for name in ("train", "test")]
+    heads = [df.where(F.col(split) == name).orderBy(order).limit(rows) for name in ("train", "test")]
     return reduce(DataFrame.unionByName, heads)
 
 

@@ -38,52 +38,54 @@ def id_key(column: Column | str, bits: int = 64) -> Column:
     return F.when((value < 0) | (value >= 2**bits), outside).otherwise(F.lpad(F.hex(value), bits // 4, "0"))
 
 
-def with_rank(df: DataFrame, key: Column, name: str = "rank") -> DataFrame:
-    """Zero-based position of every row in key order."""
+def with_rank(df: DataFrame, key: Column, name: str = "rank", total: str | None = None) -> DataFrame:
+    """Zero-based position of every row in key order, and the number of rows under the name ``total``."""
     keyed = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, HEX_PER_LEVEL))
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # At most 65,536 rows: one task may sum them, and broadcasting them is safe whatever the table holds.
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = counts.select(
+        "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"), F.sum("_n").over(Window.partitionBy()).alias("_rows")
+    )
     inside = Window.partitionBy("_bucket").orderBy("_key")
-    return (
+    ranked = (
         keyed.withColumn("_row", F.row_number().over(inside) - 1)
         .join(F.broadcast(offsets), "_bucket")
         .withColumn(name, (F.col("_row") + F.col("_offset")).cast("bigint"))
-        .drop("_key", "_bucket", "_row", "_offset")
     )
+    if total:
+        ranked = ranked.withColumn(total, F.col("_rows"))
+    return ranked.drop("_key", "_bucket", "_row", "_offset", "_rows")
+
+
+def _part(key: Column, by: Column | None) -> Column:
+    """The part of a row; without parts the empty prefix of its key, which all rows share."""
+    return F.substring(key, 1, 0) if by is None else by.cast("string")
+
 
+def _inside(keys: DataFrame, state: DataFrame) -> DataFrame:
+    """Keys below the prefix reached so far. The state has one row per part, and parts are named in a configuration."""
+    return keys.join(F.broadcast(state), "_by").where(F.col("_key").startswith(F.col("_prefix")))
 
-def _level(keys: DataFrame, parts: list[str], state: DataFrame | None, level: int, wanted: Column) -> DataFrame:
-    """One level: ``parts, _prefix, _k`` of the prefix the k-th key lies in, k counted inside it."""
+
+def _level(keys: DataFrame, state: DataFrame | None, level: int, wanted: Column) -> DataFrame:
+    """One level: ``_by, _prefix, _k`` of the prefix the k-th key lies in, k counted inside it."""
     digit = F.substring("_key", level * HEX_PER_LEVEL + 1, HEX_PER_LEVEL).alias("_digit")
     if state is None:
-        counts = keys.groupBy(*parts, digit).agg(F.count(F.lit(1)).alias("_n"))
-        rows = F.sum("_n").over(Window.partitionBy(*parts))
+        counts = keys.groupBy("_by", digit).agg(F.count(F.lit(1)).alias("_n"))
+        rows = F.sum("_n").over(Window.partitionBy("_by"))
         counts = counts.withColumn("_rows", rows).withColumn("_k", wanted.cast("bigint")).withColumn("_prefix", F.lit(""))
     else:
-        inside = _inside(keys, parts, state)
-        counts = inside.groupBy(*parts, "_prefix", "_k", digit).agg(F.count(F.lit(1)).alias("_n"))
+        counts = _inside(keys, state).groupBy("_by", "_prefix", "_k", digit).agg(F.count(F.lit(1)).alias("_n"))
     # Windows here run over counts: at most 65,536 rows per part, however large the table is.
-    earlier = Window.partitionBy(*parts).orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_by").orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     hit = (F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n"))
     return counts.where(hit).select(
-        *parts, F.concat("_prefix", "_digit").alias("_prefix"), (F.col("_k") - F.col("_before")).alias("_k")
+        "_by", F.concat("_prefix", "_digit").alias("_prefix"), (F.col("_k") - F.col("_before")).alias("_k")
     )
 
 
-def _inside(keys: DataFrame, parts: list[str], state: DataFrame) -> DataFrame:
-    """Keys below the prefix reached so far, with the prefix and k beside them."""
-    if parts:
-        # One row per part of the mix, and the parts are named in the configuration.
-        keyed = keys.join(F.broadcast(state), parts)
-    else:
-        reached = state.select(F.struct("_prefix", "_k")).scalar()
-        keyed = keys.withColumn("_prefix", reached["_prefix"]).withColumn("_k", reached["_k"])
-    return keyed.where(F.col("_key").startswith(F.col("_prefix")))
-
-
 def cut_keys(
     df: DataFrame,
     key: Column,
@@ -92,23 +94,22 @@ def cut_keys(
     hashed: bool = False,
     digits: int = ID_DIGITS,
 ) -> DataFrame:
-    """Key of the k-th row, one row per part that keeps any: ``_cut``, and ``_by`` when there are parts.
+    """Key of the k-th row of every part that keeps any: one row ``_by, _cut`` per part.
 
     ``wanted`` is k as an expression over ``_rows`` (rows of the part) and ``_by``.
     """
-    parts = [] if by is None else ["_by"]
-    keys = df.select(*([] if by is None else [by.cast("string").alias("_by")]), key.alias("_key"))
+    keys = df.select(_part(key, by).alias("_by"), key.alias("_key"))
     state = None
     for level in range((HASH_DIGITS if hashed else digits) // HEX_PER_LEVEL):
-        state = _level(keys, parts, state, level, wanted)
+        state = _level(keys, state, level, wanted)
     if not hashed:
-        return state.select(*parts, F.col("_prefix").alias("_cut"))
-    last = Window.partitionBy(*parts, "_prefix").orderBy("_key")
+        return state.select("_by", F.col("_prefix").alias("_cut"))
+    last = Window.partitionBy("_by").orderBy("_key")
     return (
-        _inside(keys, parts, state)
+        _inside(keys, state)
         .withColumn("_row", F.row_number().over(last))
         .where(F.col("_row") == F.col("_k"))
-        .select(*parts, F.col("_key").alias("_cut"))
+        .select("_by", F.col("_key").alias("_cut"))
     )
 
 
@@ -123,9 +124,7 @@ def flag_first(
 ) -> DataFrame:
     """Mark the first k rows of every part; the table is neither sorted nor moved."""
     cuts = cut_keys(df, key, wanted, by, hashed, digits)
-    if by is None:
-        return df.withColumn(name, F.coalesce(key <= cuts.scalar(), F.lit(False)))
-    marked = df.withColumn("_by", by.cast("string")).join(F.broadcast(cuts), "_by", "left")
+    marked = df.withColumn("_by", _part(key, by)).join(F.broadcast(cuts), "_by", "left")
     return marked.withColumn(name, F.coalesce(key <= F.col("_cut"), F.lit(False))).drop("_by", "_cut")
 
 

@@ -170,3 +170,25 @@ def test_leaks_beyond_the_broadcast_bound(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "z")], "id bigint, text string")
     held = spark.createDataFrame([("b c d e f g h i",)], "text string")
     assert [r.id for r in leak.leaked_ids(docs, held, "id", "text").collect()] == [1]
+
+
+def test_cuts_over_a_union(spark):
+    left = spark.range(50).select("id", F.lit("a").alias("source"), F.lit("train").alias("split"))
+    rows = mix.concatenate([left, left.withColumn("source", F.lit("b"))])
+    cut = mix.fraction_head(rows, "source", "id", {"a": 0.5, "b": 1.0})
+    split = mix.split_train_test(cut, 1, 0.1, "source", "id")
+    assert split.where("split = 'test'").count() == 8 and split.count() == 75
+    assert expand.repeat_plan(cut.select("id").distinct(), "id", 1, copies=2, batch_size=7).count() == 98
+
+
+def test_prepared_tasks(spark, tmp_path):
+    from rewardloom.plans.tasks import prepare_tasks
+
+    rows = spark.range(300).select("id", F.array(F.lit(3), F.col("id")).alias("nums"), (F.col("id") + 3).alias("target"))
+    rows.write.parquet(str(tmp_path / "c" / "train"))
+    cfg = MixConfig((TaskSource("c", str(tmp_path / "c"), 0.5, splits=("train",)),))
+    tasks = prepare_tasks(spark, cfg, "countdown", test_size=0.1).collect()
+    assert len(tasks) == 150 and sum(t.split == "test" for t in tasks) == 15
+    assert all(f"[3, {t.row_id}]" in t.prompt and t.target == t.row_id + 3 for t in tasks)
+    assert [t.row_id for t in tasks] != sorted(t.row_id for t in tasks)
+    assert prepare_tasks(spark, cfg, "countdown", debug=True).count() == 100
