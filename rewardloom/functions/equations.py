@@ -111,5 +111,6 @@ def evaluate_distinct(df: DataFrame, equation: str = "equation", value: str = "e
     df = stage(df, "equations")
     known = df.where(F.col(equation).isNotNull())
     values = known.select(equation).distinct().withColumn(value, evaluate_equation(F.col(equation)))
+    values = stage(values, "equation-values")
     missing = df.where(F.col(equation).isNull()).withColumn(value, F.lit(None).cast("double"))
     return known.join(values, equation, "left").select(*df.columns, value).unionByName(missing)

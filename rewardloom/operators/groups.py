@@ -1,8 +1,9 @@
 """Group-relative statistics and advantages.
 
 Statistics are grouped aggregates joined back to their rows, not windows: partial aggregates combine on the map side, so
-a group that holds a third of all rows ships a few numbers per task, and the join back is an equi join whose hot
-partitions adaptive execution splits.
+a group that holds a third of all rows ships a few numbers per task. The join back is an equi join between two shuffled
+tables, the shape whose hot partitions adaptive execution splits. It does not split a join that sits directly on an
+aggregate with the same keys, so the statistics, one short row per group, are written first.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rewardloom.session import stage
+
 STD_FLOOR = 1e-4  # fixed value added to the spread of a group
 
 
@@ -25,7 +28,7 @@ def weighted_reward(names: list[str] | tuple[str, ...], weights: list[float] | t
 def with_aggregates(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """Add aggregates of each row's group to the row."""
     stats = df.groupBy(*keys).agg(*[value.alias(name) for name, value in aggregates.items()])
-    return df.join(stats, keys)
+    return df.join(stage(stats, "group-statistics"), keys)
 
 
 def with_advantages(scored: DataFrame, group: str = "group_id", reward: str = "reward", scale: bool = True) -> DataFrame:

@@ -53,17 +53,32 @@ def test_scoring_is_one_pass_without_exchange(spark):
     assert "Exchange" not in text and text.count("FileScan") == 1
 
 
-def test_group_statistics_combine_before_the_shuffle(spark, no_auto_broadcast):
-    df = spark.range(100).select((F.col("id") % 7).alias("group_id"), F.rand(1).alias("reward"))
-    text = plan(groups.with_advantages(df))
-    assert "partial_stddev_samp" in text and "Window" not in text
+def test_hot_groups_are_split_in_the_join_back(spark, no_auto_broadcast):
+    keys = {
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+    }
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        hot = F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") / 8).cast("bigint")
+        df = spark.range(400_000).select("id", hot.alias("group_id"), F.rand(1).alias("reward")).repartition(8)
+        rows = groups.with_advantages(df).agg(F.count(F.lit(1)).alias("n"), F.sum("advantage").alias("a"))
+        assert rows.collect()[0].n == 400_000
+        text = plan(rows)
+        assert "SortMergeJoin(skew=true)" in text and "Window" not in text
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_heads_do_not_move_the_table(spark):
     df = spark.range(1000).select("id", F.repeat(F.lit("x"), 100).alias("payload"), (F.col("id") % 3).cast("string").alias("s"))
     text = plan(mix.fraction_head(df, "s", "id", {"0": 0.5, "1": 0.1}))
     exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
-    assert exchanges and all(e.startswith("_by") for e in exchanges)
+    assert exchanges and all(e.startswith("_by") or e.startswith("s#") for e in exchanges)
     assert "Sort [id" not in text
 
 
