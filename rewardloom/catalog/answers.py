@@ -126,7 +126,7 @@ def _verdicts(spark: SparkSession, folder: str, mode: str) -> DataFrame:
 
     def shown(name: str) -> list[Column]:
         side = "answer" if name == "a" else "gold"
-        return [F.col(name)["canon"].alias(f"{side}_text"), round6(F.col(name)["num"]).alias(f"{side}_number")]
+        return [F.col(name)["canon"].alias(f"{side}_text"), (F.col(name)["num"] + F.lit(0.0)).alias(f"{side}_number")]
 
     return read.select(
         "rollout_id",
@@ -139,8 +139,8 @@ def _verdicts(spark: SparkSession, folder: str, mode: str) -> DataFrame:
 
 def _verdict_sql(a: str, g: str) -> str:
     return (
-        f"{READINGS} SELECT rollout_id, {a}.canon AS answer_text, {sql_round(a + '.num')} AS answer_number, "
-        f"{g}.canon AS gold_text, {sql_round(g + '.num')} AS gold_number, {g} IS NOT NULL AS gold_ok, "
+        f"{READINGS} SELECT rollout_id, {a}.canon AS answer_text, {a}.num + 0e0 AS answer_number, "
+        f"{g}.canon AS gold_text, {g}.num + 0e0 AS gold_number, {g} IS NOT NULL AS gold_ok, "
         f"{_agree(a, g)} AS correct FROM paired"
     )
 

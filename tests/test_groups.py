@@ -48,7 +48,7 @@ def test_group_checks(spark):
 def test_selection_of_rewards():
     with warnings.catch_warnings(record=True) as seen:
         warnings.simplefilter("always")
-        assert select_rewards(["format", "format_deepseek", "cosine"]) == ["format", "cosine"]
+        assert select_rewards(["format", "no_such_reward", "cosine"]) == ["format", "cosine"]
         assert select_rewards(["nothing"]) == ["accuracy"]
     assert len(seen) == 3
     assert len(REGISTRY) == 13
