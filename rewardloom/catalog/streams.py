@@ -73,7 +73,7 @@ def _points(spark: SparkSession, folder: str) -> DataFrame:
 @register(
     "stream_metric_windows",
     f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, 'rewards/' || event_type AS metric,
- {sql_round('avg(value)')} AS value, count(*) AS points FROM events
+ round(avg(value), 9) AS value, count(*) AS points FROM events
  WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2""",
 )
 def stream_metric_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,7 +82,7 @@ def stream_metric_windows(spark: SparkSession, folder: str) -> DataFrame:
     return means.select(
         F.date_format("window_start", _TIME).alias("window_start"),
         "metric",
-        round6(F.col("value")).alias("value"),
+        F.round("value", 9).alias("value"),
         "points",
     )
 
