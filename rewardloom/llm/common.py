@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +67,13 @@ def with_group_rank(df: DataFrame, group: list[str], level: str | None, salt: st
     joined = numbered.join(offsets, [*keys, salt])
     return joined.select(*df.columns, (F.col("_off") + F.col("_in") - 1).alias(rank))
 
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def arrow_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows of a task as one batch of a schema such as 'doc_id long, text string'. Null ids stay exact integers."""
+    names, kinds = zip(*[column.split() for column in schema.split(", ")])
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for c, k in zip(columns, kinds)], list(names))

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardloom.llm import chatparts, contentsort, mixture
+from rewardloom.llm import chatparts, contentsort, mixture, packing, tokenfile
 from rewardloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": lambda spark, folder: mixture.mix_report(documents(spark, folder)),
+    "op4_token_shards": lambda spark, folder: tokenfile.token_report(documents(spark, folder)),
     "op6_exact_dedup": lambda spark, folder: contentsort.duplicate_groups(documents(spark, folder)),
     "op7_chat_parts": lambda spark, folder: chatparts.chat_digest(spark.read.parquet(f"{folder}/conversations.parquet")),
+    "op9_best_fit_packing": lambda spark, folder: packing.pack(documents(spark, folder)),
 }
 
 SQL: dict[str, str] = {
