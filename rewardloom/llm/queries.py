@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardloom.llm import chatparts, contentsort, mixture, packing, tokenfile
+from rewardloom.llm import chatparts, contentsort, mixture, packing, simhash, tokenfile
 from rewardloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_groups": lambda spark, folder: simhash.near_duplicates(documents(spark, folder)),
     "op3_source_mixing": lambda spark, folder: mixture.mix_report(documents(spark, folder)),
     "op4_token_shards": lambda spark, folder: tokenfile.token_report(documents(spark, folder)),
     "op6_exact_dedup": lambda spark, folder: contentsort.duplicate_groups(documents(spark, folder)),
