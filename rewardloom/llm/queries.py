@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardloom.llm import chatparts, contentsort, fingerprint, language, mixture, packing, simhash, tokenfile
+from rewardloom.llm import chatparts, contentsort, fingerprint, language, mixture, packing, simhash, substring, tokenfile
 from rewardloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_groups": lambda spark, folder: simhash.near_duplicates(documents(spark, folder)),
     "op3_source_mixing": lambda spark, folder: mixture.mix_report(documents(spark, folder)),
     "op4_token_shards": lambda spark, folder: tokenfile.token_report(documents(spark, folder)),
+    "op5_automaton_dedup": lambda spark, folder: substring.remove_repeats(documents(spark, folder)),
     "op6_exact_dedup": lambda spark, folder: contentsort.duplicate_groups(documents(spark, folder)),
     "op7_chat_parts": lambda spark, folder: chatparts.chat_digest(spark.read.parquet(f"{folder}/conversations.parquet")),
     "op8_byte_language": lambda spark, folder: language.predict(documents(spark, folder)),
