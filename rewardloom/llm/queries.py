@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardloom.llm import chatparts, contentsort, fingerprint, language, mixture, packing, simhash, substring, tokenfile
+from rewardloom.llm import chatparts, contentsort, fingerprint, language, mixture, packing, simhash, substring, tokenfile, warc
 from rewardloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_parts": lambda spark, folder: chatparts.chat_digest(spark.read.parquet(f"{folder}/conversations.parquet")),
     "op8_byte_language": lambda spark, folder: language.predict(documents(spark, folder)),
     "op9_best_fit_packing": lambda spark, folder: packing.pack(documents(spark, folder)),
+    "op10_warc_derivatives": lambda spark, folder: warc.page_derivatives(spark.read.parquet(f"{folder}/pages.parquet")),
 }
 
 SQL: dict[str, str] = {
