@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardloom.llm.common import SPACES, id_salt, scan_tasks, whole_text
+from rewardloom.llm.common import SPACES, id_salt, key_text, packed, scan_tasks, whole_text
 from rewardloom.session import stage
 
 
@@ -55,6 +55,16 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     return rows.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
+def keep_distinct(docs: DataFrame) -> DataFrame:
+    """The rows that ``duplicate_groups`` keeps, columns unchanged; cases as there. Of fully equal rows one stays."""
+    kept = duplicate_groups(docs).where("kept").select(key_text("doc_id").alias("_key"), F.col("text_sha256").alias("_sha"))
+    rows = docs.select(packed(docs), key_text("doc_id").alias("_key"), F.sha2(normalised(), 256).alias("_sha"), F.length(whole_text()).alias("_chars"))
+    rows = rows.join(stage(kept, "content-kept"), ["_key", "_sha"], "left_semi")
+    # An id normally stands once; among rows of one id and content the longest text is the one that was kept.
+    same = Window.partitionBy("_key", "_sha").orderBy(F.col("_chars").desc())
+    return rows.withColumn("_place", F.row_number().over(same)).where("_place = 1").select("_row.*")
+
+
 DEDUP_SQL = r"""
 WITH rows AS (
  SELECT doc_id, length(coalesce(text, '')) AS chars,

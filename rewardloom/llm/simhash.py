@@ -7,10 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardloom.llm.common import arrow_batch, key_text, packed, whole_text
+from rewardloom.llm.common import key_text, packed, whole_text
 from rewardloom.llm.components import components
 from rewardloom.session import stage
 
@@ -194,16 +194,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component has other ids. Repeated rows: same values. Empty table: empty result. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(whole_text()).alias("fingerprint"))
-    return components_of(stage(rows, "simhash"))
+    rows = stage(rows, "simhash")
+    text = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
+    return rows.join(named_components(rows), "fingerprint").select("doc_id", text, "component_id")
+
 
+def named_components(rows: DataFrame) -> DataFrame:
+    """(fingerprint, first, root, component_id) of each distinct fingerprint of ``rows(doc_id, fingerprint)``.
 
-def components_of(rows: DataFrame) -> DataFrame:
-    """``rows(doc_id, fingerprint)``, a written table, with component_id and the fingerprint as text."""
+    ``first`` is the smallest id with that fingerprint, ``root`` names the component among fingerprints.
+    """
     firsts = stage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = stage(components(fingerprint_links(firsts.select("fingerprint"))), "simhash-roots")
     nodes = firsts.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     nodes = nodes.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     least = stage(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
-    named = stage(nodes.join(least, "root").select("fingerprint", "component_id"), "simhash-components")
-    text = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
-    return rows.join(named, "fingerprint").select("doc_id", text, "component_id")
+    return stage(nodes.join(least, "root"), "simhash-components")
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """One row of each component, the one whose id names it, columns unchanged; cases as for ``near_duplicates``."""
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("doc_id"), fingerprints(whole_text()).alias("fingerprint"))
+    named = named_components(stage(rows.select("doc_id", "fingerprint"), "simhash"))
+    chosen = named.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("fingerprint").alias("fingerprint"))
+    chosen = stage(chosen.select(key_text("component_id").alias("_key"), "fingerprint"), "simhash-kept")
+    rows = rows.withColumn("_key", key_text("doc_id")).join(chosen, ["_key", "fingerprint"], "left_semi")
+    same = Window.partitionBy("_key", "fingerprint").orderBy(F.xxhash64("_row.text"))  # an id normally stands once
+    return rows.withColumn("_place", F.row_number().over(same)).where("_place = 1").select("_row.*")
