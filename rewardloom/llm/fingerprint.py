@@ -23,9 +23,10 @@ _STAGED = "part int, edge int, text string, " + _COLUMNS
 
 
 def _fold(x: np.ndarray) -> np.ndarray:
-    """A residue in 0..PRIME of a product or sum below 2**62."""
+    """The residue of a product or sum below 2**62."""
     x = (x & PRIME) + (x >> 31)
-    return (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)  # at most PRIME + 1
+    return np.subtract(x, PRIME, out=x, where=x >= PRIME)
 
 
 class _Powers:
@@ -74,12 +75,10 @@ class PrefixHashes:
     def spans(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
         """Hashes of spans, a row per span base."""
         value = self.prefix.take(starts + lengths, 1) - self.prefix.take(starts, 1) + PRIME
-        value = _fold(value * self._powers.down.take(starts, 1))
-        value[value == PRIME] = 0
-        return value
+        return _fold(value * self._powers.down.take(starts, 1))
 
     def windows(self, length: int) -> np.ndarray:
-        """Hashes of all spans of one length under the first base; PRIME may stand for 0."""
+        """Hashes of all spans of one length under the first base."""
         n, sums = self.size - length + 1, self.prefix[0]
         return _fold((sums[length:] - sums[:n] + PRIME) * self._powers.down[0, :n])
 
@@ -136,7 +135,6 @@ def _shared_blocks(a: PrefixHashes, b: PrefixHashes, own: np.ndarray) -> tuple[n
     wanted = a.spans(own, BLOCK)
     marked = np.zeros(1 << 16, bool)
     marked[wanted[0] & 0xFFFF] = True
-    marked[int(PRIME) & 0xFFFF] |= marked[0]
     maybe = np.flatnonzero(marked[b.windows(BLOCK) & 0xFFFF])
     if not len(maybe):
         return maybe, maybe
