@@ -49,6 +49,32 @@ def unscored_rows(spark: SparkSession, folder: str) -> DataFrame:
     return groups.unscored(sparse_rewards(spark, folder), NAMES).select("rollout_id", "source")
 
 
+# Labels of a third of the documents have no group, some groups hold one row, and some rewards are not numbers.
+_GAPPY = "CASE WHEN rollout_id % 3 <> 0 THEN group_id END AS group_id, CASE WHEN rollout_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE quality END AS reward"
+
+
+@register(
+    "group_advantage_with_gaps",
+    f"""{WITH_SPARSE}, gappy AS (SELECT rollout_id, {_GAPPY} FROM sparse),
+ valued AS (SELECT rollout_id, group_id, CASE WHEN isnan(reward) THEN NULL ELSE reward END AS reward FROM gappy),
+ stats AS (SELECT *, avg(reward) OVER g AS m, stddev_samp(reward) OVER g AS s FROM valued WINDOW g AS (PARTITION BY group_id))
+ SELECT rollout_id, group_id, {sql_round('m')} AS group_mean, {sql_round('(reward - m) / (s + 0.0001e0)')} AS advantage FROM stats""",
+)
+def group_advantage_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without a group form one, no row is lost, and what is not a number takes no part."""
+    rows = sparse_rewards(spark, folder).selectExpr("rollout_id", *_GAPPY.replace("CASE WHEN rollout_id % 7", "|CASE WHEN rollout_id % 7").split(", |"))
+    df = groups.with_advantages(rows)
+    return df.select("rollout_id", "group_id", round6(F.col("group_mean")).alias("group_mean"), round6(F.col("advantage")).alias("advantage"))
+
+
+@register("weighted_rewards_not_numbers", f"{WITH_SPARSE} SELECT rollout_id, {sql_round('coalesce(toxic * 2e0, 0e0)')} AS reward FROM sparse")
+def weighted_rewards_not_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """A reward that is not a number does not count in the long layout either."""
+    rows = sparse_rewards(spark, folder).select("rollout_id", "toxic", F.lit(float("nan")).alias("broken"))
+    summed = groups.weighted_reward_long(rows.unpivot(["rollout_id"], ["toxic", "broken"], "reward_name", "value"), {"toxic": 2.0, "broken": 1.0})
+    return summed.select("rollout_id", round6(F.col("reward")).alias("reward"))
+
+
 _LINE_REWARD = "r_quantity * 0.1e0 + r_discount - r_tax * 2e0"
 
 

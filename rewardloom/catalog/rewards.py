@@ -263,6 +263,20 @@ def countdown_equation_values(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("rollout_id", round6(equations.evaluate_equation(F.col("equation"))).alias("equation_value"))
 
 
+@register(
+    "countdown_power_equations",
+    f"""{WITH_ROLLOUTS} SELECT rollout_id, CASE rollout_id % 4 WHEN 0 THEN CAST(1 + n1 AS DOUBLE)
+ WHEN 1 THEN CAST(CASE WHEN n1 % 2 = 0 THEN n2 ELSE -n2 END AS DOUBLE) WHEN 2 THEN CAST(pow(2, 1 + n1) + n2 AS DOUBLE) END AS equation_value,
+ rollout_id % 4 = 3 AS refused FROM rollouts""",
+)
+def countdown_power_equations(spark: SparkSession, folder: str) -> DataFrame:
+    """Powers of 1 and -1 with any exponent, quotients of large powers, and powers that are refused."""
+    texts = """CASE rollout_id % 4 WHEN 0 THEN concat('1**', 5000 + n1, '+', n1) WHEN 1 THEN concat('(-1)**', 4096 + n1, '*', n2)
+     WHEN 2 THEN concat('2**', 4097 + n1, '//2**4096+', n2) ELSE concat('9**9**', 9 + n1) END AS equation"""
+    valued = equations.evaluate_distinct(rollouts(spark, folder).selectExpr("rollout_id", texts))
+    return valued.select("rollout_id", round6(F.col("equation_value")).alias("equation_value"), F.col("equation_value_refused").alias("refused"))
+
+
 # ---- pairing joins --------------------------------------------------------------------------------------------
 
 
@@ -336,10 +350,9 @@ _STEPS = (
 )
 def registry_plain_rewards(spark: SparkSession, folder: str) -> DataFrame:
     """Rewards picked by name from the registry; an unknown name is skipped."""
-    names = ["format", "tag_count", "no_such_reward", "reasoning_steps", "countdown_equation"]
+    known = select_rewards(["format", "tag_count", "no_such_reward", "reasoning_steps", "countdown_equation"])
     df = rollouts(spark, folder, heavy=True).withColumn("nums", _nums())
-    known = [n for n in names if n != "no_such_reward"]
-    scored = score(df, select_rewards(known), keep=("rollout_id",))
+    scored = score(df, known, keep=("rollout_id",))
     return scored.select("rollout_id", *[round6(F.col(n)).alias(n) for n in known])
 
 
@@ -395,3 +408,24 @@ def advantage_from_rewards(spark: SparkSession, folder: str) -> DataFrame:
     return df.select(
         "rollout_id", "group_id", *[round6(F.col(c)).alias(c) for c in ("reward", "group_mean", "group_std", "advantage")]
     )
+
+
+@register(
+    "advantage_with_custom_reward",
+    f"""{WITH_ROLLOUTS}, scored AS (
+ SELECT rollout_id, group_id, CAST({_FORMAT} AS DOUBLE) AS f, CAST(length(solution) AS DOUBLE) / nullif(length(completion), 0) AS share,
+  CASE WHEN doc_id % 3 = 0 THEN CAST(n1 AS DOUBLE) / 50 END AS sparse FROM (SELECT *, rollout_id AS doc_id FROM rollouts)),
+ summed AS (SELECT *, f + share * 2e0 + coalesce(sparse * 0.5e0, 0e0) AS reward FROM scored),
+ stats AS (SELECT group_id, avg(reward) AS m, stddev_samp(reward) AS s FROM summed GROUP BY group_id)
+ SELECT rollout_id, {sql_round('share')} AS share, {sql_round('reward')} AS reward, {sql_round('(reward - m) / (s + 0.0001e0)')} AS advantage
+ FROM summed JOIN stats ON summed.group_id = stats.group_id""",
+)
+def advantage_with_custom_reward(spark: SparkSession, folder: str) -> DataFrame:
+    """A Python reward and a column of the caller, weighted and summed with a registered one."""
+    custom = {
+        "share": custom_reward(_share_of_answer, prompts="solution", completions="completion"),
+        "sparse": F.when(F.col("rollout_id") % 3 == 0, F.col("n1").cast("double") / 50),
+    }
+    plan = RewardPlan(("format",), (1.0, 2.0, 0.5), custom=("share", "sparse"))
+    df = score_with_advantages(rollouts(spark, folder), plan, custom=custom)
+    return df.select("rollout_id", *[round6(F.col(n)).alias(n) for n in ("share", "reward", "advantage")])

@@ -19,7 +19,7 @@ _FRACTION = (
     f"{_BS} || 'frac' || {_OPEN} || CAST(2 * ((doc_id * 7) % 100) AS STRING) || {_CLOSE} || {_OPEN} || '2' || {_CLOSE}"
 )
 
-# Rollouts: every document becomes one completion in one of fifteen layouts, eight to a group.
+# Rollouts: every document becomes one completion in one of seventeen layouts, eight to a group.
 ROLLOUTS = f"""
 SELECT rollout_id, group_id, gen_idx, batch_id, step, source, lang, n1, n2, n3, layout,
  CASE layout
@@ -37,6 +37,8 @@ SELECT rollout_id, group_id, gen_idx, batch_id, step, source, lang, n1, n2, n3,
   WHEN 11 THEN text || '</think>' || {_NL} || '<answer>0' || {_A} || ' + ' || {_B} || ' - ' || {_C} || '</answer>'
   WHEN 12 THEN text || '</think>' || {_NL} || '<answer>' || {_A} || ' / ' || {_B} || ' + ' || {_C} || '</answer>'
   WHEN 13 THEN text || ' Answer: $' || {_FRACTION} || '$'
+  WHEN 15 THEN '<reasoning>' || replace(text, {_NL}, ' ') || '</reasoning> ' || {_NL} || '<answer>' || {_S} || '</answer>' || {_NL} || text
+  WHEN 16 THEN '<think>' || {_NL} || text || {_NL} || '</think>' || {_NL} || '<answer>' || {_NL} || '```bash' || {_NL} || 'echo ' || {_S} || {_NL} || '```' || {_NL} || '</answer>'
   ELSE '<reasoning>' || {_NL} || replace(text, {_NL}, ' ') || {_NL} || '</reasoning>' || {_NL} || '<answer>' || {_NL} || {_S} || {_NL} || '</answer>' || {_NL}
  END AS completion,
  CASE doc_id % 5
@@ -55,7 +57,7 @@ FROM (SELECT doc_id, doc_id AS rollout_id, text, source, lang,
   CAST(floor(doc_id / 64.0) AS BIGINT) AS batch_id, CAST(floor(doc_id / 128.0) AS BIGINT) AS step,
   CAST(1 + doc_id % 50 AS BIGINT) AS n1, CAST(1 + (doc_id * 7) % 50 AS BIGINT) AS n2,
   CAST(1 + (doc_id * 13) % 50 AS BIGINT) AS n3,
-  CAST((doc_id * 7 + CAST(floor(doc_id / 8.0) AS BIGINT) * 3) % 15 AS BIGINT) AS layout
+  CAST((doc_id * 7 + CAST(floor(doc_id / 8.0) AS BIGINT) * 3) % 17 AS BIGINT) AS layout
  FROM {{documents}}) numbered
 """
 

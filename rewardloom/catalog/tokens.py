@@ -271,3 +271,40 @@ def scoring_step_metrics(spark: SparkSession, folder: str) -> DataFrame:
     rows = step_metrics(scored, arrays, CFG, EOS, ["step"])
     names = ("reward", "reward_std", "mean_loss", "mean_kl", "mean_clip")
     return rows.select("step", "tokens", *[round6(F.col(c)).alias(c) for c in names])
+
+
+def _means_sql(loss: str, kl: str, clip: str) -> str:
+    """Means over kept tokens where one device's rows have no advantage."""
+    return f"""WITH {MEASURED.replace("(doc_id * 7 % 11 - 5) / 5e0 AS adv", "CASE WHEN doc_id % 4 <> 1 THEN (doc_id * 7 % 11 - 5) / 5e0 END AS adv")},
+ priced AS (SELECT step, {loss} AS loss, {kl} AS kl, CASE WHEN adv IS NOT NULL THEN {clip} END AS clip FROM lossy WHERE i < kept)
+ SELECT step, count(*) AS tokens, {sql_round('avg(loss)')} AS mean_loss, {sql_round('avg(kl)')} AS mean_kl, {sql_round('avg(clip)')} AS mean_clip
+ FROM priced GROUP BY step"""
+
+
+def _partly_scored(spark: SparkSession, folder: str) -> DataFrame:
+    advantage = F.when(F.col("device") != 1, F.col("advantage"))
+    return token_rows(spark, folder).withColumn("advantage", advantage)
+
+
+@register("token_means_no_advantage", _means_sql("loss", "kl", "was_clipped"))
+def token_means_no_advantage(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of groups of one have no advantage: their tokens count for the divergence alone."""
+    sums = tk.row_statistics(_partly_scored(spark, folder), CFG, EOS)
+    return _rounded_means(tk.token_mean(sums, ["step"]), "step")
+
+
+@register("token_means_one_iteration", _means_sql(f"-adv + {CFG.beta}e0 * kl", "kl", "0e0"))
+def token_means_one_iteration(spark: SparkSession, folder: str) -> DataFrame:
+    """Every batch is used once, so there are no old log-probabilities and the ratio is 1."""
+    rows = _partly_scored(spark, folder)
+    numbers = tk.ratio_statistics(rows.drop("old_logps", "advantage"), CFG, EOS)
+    sums = tk.with_loss(numbers.join(rows.select("doc_id", "advantage"), "doc_id"), CFG)
+    return _rounded_means(tk.token_mean(sums, ["step"]), "step")
+
+
+@register("token_means_no_reference", _means_sql("-least(ratio * adv, clipped * adv)", "CAST(NULL AS DOUBLE)", "was_clipped"))
+def token_means_no_reference(spark: SparkSession, folder: str) -> DataFrame:
+    """Without a weight on the divergence no reference model is asked."""
+    cfg = LossConfig(beta=0.0, epsilon_low=CFG.epsilon_low, epsilon_high=CFG.epsilon_high)
+    sums = tk.row_statistics(_partly_scored(spark, folder).drop("ref_logps"), cfg, EOS)
+    return _rounded_means(tk.token_mean(sums, ["step"]), "step")

@@ -10,7 +10,11 @@ CODE_LANGUAGES = ("python", "javascript", "r", "java", "bash")
 
 @dataclass(frozen=True)
 class RewardConfig:
-    """Parameters of the configurable rewards."""
+    """Parameters of the configurable rewards.
+
+    ``max_power_bits`` bounds the integer powers an equation may compute; an equation that needs a larger one is not
+    evaluated, and its reward is null.
+    """
 
     cosine_min_value_wrong: float = 0.0
     cosine_max_value_wrong: float = -0.5
@@ -20,10 +24,13 @@ class RewardConfig:
     repetition_n_grams: int = 3
     repetition_max_penalty: float = -1.0
     code_language: str = "python"
+    max_power_bits: int = 1 << 20
 
     def __post_init__(self) -> None:
         if self.repetition_max_penalty > 0:
             raise ValueError(f"repetition_max_penalty {self.repetition_max_penalty} must not be positive")
+        if self.max_power_bits < 1:
+            raise ValueError("max_power_bits must be positive")
         if self.repetition_n_grams < 1:
             raise ValueError("repetition_n_grams must be at least 1")
         if self.cosine_max_len <= 0:
@@ -114,14 +121,15 @@ class LossConfig:
 
 @dataclass(frozen=True)
 class RewardPlan:
-    """Reward names and their weights."""
+    """Reward names and their weights. ``custom`` names the caller's own rewards; they come last, in weights as well."""
 
     names: tuple[str, ...]
     weights: tuple[float, ...] = field(default=())
+    custom: tuple[str, ...] = field(default=())
 
     def resolved_weights(self, used: list[str] | tuple[str, ...] | None = None) -> tuple[float, ...]:
         """One weight per reward in use, 1.0 each unless given; a wrong number of weights is an error."""
-        used = self.names if used is None else used
+        used = (*self.names, *self.custom) if used is None else used
         if not self.weights:
             return tuple(1.0 for _ in used)
         if len(self.weights) != len(used):

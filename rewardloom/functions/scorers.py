@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType
 
 from rewardloom.config import CODE_LANGUAGES, RewardConfig
 from rewardloom.functions.text import (
+    PY_SPACE,
     SPACE_CLASS,
     after,
     after_last,
@@ -113,15 +114,21 @@ def strict_format_reward(text: Column) -> Column:
 
 
 def soft_format_reward(text: Column) -> Column:
-    """Reasoning then answer block at the start, each on one line; white space between may hold line ends."""
-    rest = F.try_element_at(
-        F.split(F.substr(text, F.lit(len("<reasoning>") + 1)), "</reasoning>" + SPACE_CLASS + "*+<answer>", 2), F.lit(2)
-    )
-    # The reasoning body must not cross a line end, and so must the answer body; later pairs on the first line are
-    # reached by the pattern, which only runs on texts that pass the cheap tests.
-    pattern = r"(?d)\A<reasoning>[^\n]*?</reasoning>" + SPACE_CLASS + r"*+<answer>[^\n]*?</answer>"
-    cheap = text.startswith("<reasoning>") & F.contains(rest, F.lit("</answer>"))
-    return F.when(cheap, flag(text.rlike(pattern), 0.5)).otherwise(F.lit(0.0))
+    """Reasoning then answer block at the start, each on one line; white space between may hold line ends.
+
+    Either both blocks are on the first line, and then the first place where one ends and the other begins decides, as
+    every later one has less text after it; or the first line ends with the reasoning block.
+    """
+    first = F.substring_index(text, "\n", 1)
+    rest = F.substr(text, F.length(first) + F.lit(2))
+    body = F.substr(first, F.lit(len("<reasoning>") + 1))
+    inline = F.try_element_at(F.split(body, "</reasoning>" + SPACE_CLASS + "*+<answer>", 2), F.lit(2))
+    following = F.ltrim(rest, F.lit(PY_SPACE))
+    answer = F.substring_index(following, "\n", 1)
+    over_lines = F.rtrim(body, F.lit(PY_SPACE)).endswith("</reasoning>") & answer.startswith("<answer>") & F.contains(answer, F.lit("</answer>"))
+    found = F.coalesce(F.contains(inline, F.lit("</answer>")), F.lit(False)) | over_lines
+    cheap = text.startswith("<reasoning>") & F.contains(text, F.lit("</answer>"))
+    return F.when(cheap, flag(found, 0.5)).otherwise(F.lit(0.0))
 
 
 def xml_count_reward(text: Column) -> Column:

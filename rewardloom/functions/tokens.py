@@ -85,18 +85,26 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda t, v: t + v)
 
 
+def _arrays_of(tokens: DataFrame, cfg: LossConfig) -> tuple[str, ...]:
+    """The log-probability columns there are; a divergence with weight needs the reference."""
+    if cfg.beta and "ref_logps" not in tokens.columns:
+        raise ValueError("ref_logps are needed unless beta is 0")
+    return tuple(c for c in ("logps", "old_logps", "ref_logps") if c in tokens.columns)
+
+
 def row_statistics(tokens: DataFrame, cfg: LossConfig, eos: int) -> DataFrame:
     """Kept tokens and their sums of loss, divergence and clipped tokens per rollout; arrays are dropped.
 
-    Expects ``completion_ids, logps, old_logps, ref_logps, advantage``. The end mask is always a prefix, so arrays are
-    cut to it first and nothing is computed for tokens that do not count.
+    Expects ``completion_ids, logps, advantage``, with ``ref_logps`` unless ``cfg.beta`` is 0; without ``old_logps`` the
+    ratio is 1. The end mask is always a prefix, so arrays are cut to it first and nothing is computed for tokens that
+    do not count.
     """
-    arrays = ("logps", "old_logps", "ref_logps")
+    arrays = _arrays_of(tokens, cfg)
     prepared = tokens.withColumn("kept", kept_length(F.col("completion_ids"), eos)).withColumns(
         {a: F.slice(a, F.lit(1), F.col("kept").cast("int")) for a in arrays}
     )
     use_kl = cfg.beta != 0.0
-    measured = {"_ratio": ratio(F.col("logps"), F.col("old_logps"))}
+    measured = {"_ratio": ratio(F.col("logps"), F.col("old_logps") if "old_logps" in arrays else None)}
     if use_kl:
         measured["_kl"] = divergence(F.col("ref_logps"), F.col("logps"))
     prepared = prepared.withColumns(measured)
@@ -104,7 +112,7 @@ def row_statistics(tokens: DataFrame, cfg: LossConfig, eos: int) -> DataFrame:
     sums = {
         "loss_sum": total(loss),
         "kl_sum": total(F.col("_kl")) if use_kl else F.lit(None).cast("double"),
-        "clip_sum": total(clipped_tokens(F.col("_ratio"), F.col("advantage"), cfg)),
+        "clip_sum": F.when(F.col("advantage").isNotNull(), total(clipped_tokens(F.col("_ratio"), F.col("advantage"), cfg))),
     }
     return prepared.withColumns(sums).drop("completion_ids", *arrays, *measured)
 
@@ -113,24 +121,25 @@ def ratio_statistics(tokens: DataFrame, cfg: LossConfig, eos: int) -> DataFrame:
     """What the loss needs of the token arrays when the advantage is not known yet: six numbers per rollout.
 
     The clipped loss of a token is ``-A * min(c, clamp(c))`` for ``A >= 0`` and ``-A * max(c, clamp(c))`` below, so the
-    sums of both suffice. Arrays are reduced where they lie and never travel with a join.
+    sums of both suffice. Arrays are reduced where they lie and never travel with a join. ``old_logps`` and, where
+    ``cfg.beta`` is 0, ``ref_logps`` may be missing.
     """
-    arrays = ("logps", "old_logps", "ref_logps")
+    arrays = _arrays_of(tokens, cfg)
     kept = tokens.withColumn("kept", kept_length(F.col("completion_ids"), eos)).withColumns(
         {a: F.slice(a, F.lit(1), F.col("kept").cast("int")) for a in arrays}
     )
-    measured = kept.withColumns(
-        {"_ratio": ratio(F.col("logps"), F.col("old_logps")), "_kl": divergence(F.col("ref_logps"), F.col("logps"))}
-    )
+    old = F.col("old_logps") if "old_logps" in arrays else None
+    kl = total(divergence(F.col("ref_logps"), F.col("logps"))) if "ref_logps" in arrays else F.lit(None).cast("double")
+    measured = kept.withColumn("_ratio", ratio(F.col("logps"), old))
     c = F.col("_ratio")
     sums = {
         "lower_sum": total(F.transform(c, lambda x: F.least(x, clamp(x, cfg)))),
         "upper_sum": total(F.transform(c, lambda x: F.greatest(x, clamp(x, cfg)))),
-        "kl_sum": total(F.col("_kl")),
+        "kl_sum": kl,
         "below": F.size(F.filter(c, lambda x: x < 1.0 - cfg.epsilon_low)).cast("double"),
         "above": F.size(F.filter(c, lambda x: x > 1.0 + cfg.upper)).cast("double"),
     }
-    return measured.withColumns(sums).drop("completion_ids", *arrays, "_ratio", "_kl")
+    return measured.withColumns(sums).drop("completion_ids", *arrays, "_ratio")
 
 
 def with_loss(statistics: DataFrame, cfg: LossConfig, advantage: str = "advantage") -> DataFrame:
@@ -138,14 +147,19 @@ def with_loss(statistics: DataFrame, cfg: LossConfig, advantage: str = "advantag
     a = F.col(advantage)
     clipped = -a * F.when(a >= 0, F.col("lower_sum")).otherwise(F.col("upper_sum"))
     loss = clipped + F.lit(cfg.beta) * F.col("kl_sum") if cfg.beta else clipped
-    clip = F.when(a < 0, F.col("below")).when(a > 0, F.col("above")).otherwise(F.lit(0.0))
+    clip = F.when(a < 0, F.col("below")).when(a > 0, F.col("above")).when(a.isNotNull(), F.lit(0.0))
     return statistics.withColumns({"loss_sum": loss, "clip_sum": clip})
 
 
 def token_mean(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Token means over whole batches: sums of sums over sums of kept tokens."""
-    tokens = F.sum("kept")
-    return sums.groupBy(*keys).agg(
-        tokens.cast("bigint").alias("tokens"),
-        *[F.try_divide(F.sum(f"{m}_sum"), tokens).alias(f"mean_{m}") for m in ("loss", "kl", "clip")],
-    )
+    """Token means over whole batches: sums of sums over sums of kept tokens.
+
+    A row whose advantage is null (a group of one) has no loss and no clipped share; its tokens count for neither mean,
+    while its divergence counts for ``mean_kl``.
+    """
+
+    def mean(name: str) -> Column:
+        value = F.col(f"{name}_sum")
+        return F.try_divide(F.sum(value), F.sum(F.when(value.isNotNull(), F.col("kept")))).alias(f"mean_{name}")
+
+    return sums.groupBy(*keys).agg(F.sum("kept").cast("bigint").alias("tokens"), *[mean(m) for m in ("loss", "kl", "clip")])

@@ -26,18 +26,22 @@ def weighted_reward(names: list[str] | tuple[str, ...], weights: list[float] | t
 
 
 def with_aggregates(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
-    """Add aggregates of each row's group to the row."""
-    stats = df.groupBy(*keys).agg(*[value.alias(name) for name, value in aggregates.items()])
-    return df.join(stage(stats, "group-statistics"), keys)
+    """Add aggregates of each row's group to the row. Rows whose key is null form a group, as in GROUP BY; none is lost."""
+    stats = df.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(*[value.alias(name) for name, value in aggregates.items()])
+    stats = stage(stats, "group-statistics")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return df.join(stats, same).select(*df.columns, *aggregates)
 
 
 def with_advantages(scored: DataFrame, group: str = "group_id", reward: str = "reward", scale: bool = True) -> DataFrame:
     """Reward minus the group mean, over the sample spread of the group when scaled.
 
-    A group of one row has no spread: its scaled advantage is null.
+    A group of one row has no spread: its scaled advantage is null. A reward that is not a number counts as null: it
+    takes no part in its group, and its row has no advantage.
     """
-    joined = with_aggregates(scored, [group], group_mean=F.avg(reward), group_std=F.stddev_samp(reward))
-    advantage = F.col(reward) - F.col("group_mean")
+    value = F.nanvl(F.col(reward), F.lit(None))
+    joined = with_aggregates(scored, [group], group_mean=F.avg(value), group_std=F.stddev_samp(value))
+    advantage = value - F.col("group_mean")
     if scale:
         advantage = advantage / (F.col("group_std") + F.lit(STD_FLOOR))
     return joined.withColumn("advantage", advantage)
@@ -66,4 +70,4 @@ def weighted_reward_long(rewards: DataFrame, weights: dict[str, float], key: str
     """
     rows = rewards.sparkSession.createDataFrame(list(weights.items()), "reward_name string, weight double")
     joined = rewards.join(F.broadcast(rows), "reward_name")
-    return joined.groupBy(key).agg(F.sum(F.coalesce(F.col("value") * F.col("weight"), F.lit(0.0))).alias("reward"))
+    return joined.groupBy(key).agg(F.sum(F.coalesce(F.nanvl(F.col("value"), F.lit(None)) * F.col("weight"), F.lit(0.0))).alias("reward"))

@@ -46,7 +46,7 @@ REGISTRY: dict[str, Reward] = {
     "judge": Reward(lambda c, cfg: scorers.text_match_reward(c["text"], c["solution"])),
     "countdown_format": Reward(lambda c, cfg: scorers.countdown_format_reward(c["text"])),
     "countdown_equation": Reward(
-        lambda c, cfg: countdown_equation_reward(c["text"], c["target"], c["nums"])
+        lambda c, cfg: countdown_equation_reward(c["text"], c["target"], c["nums"], cfg.max_power_bits)
     ),
     "cosine": Reward(
         lambda c, cfg: scorers.cosine_reward(c["length"], c["correct"], c["gold_ok"], cfg), reads=LATEX
@@ -111,7 +111,7 @@ def score(
     All row-wise work happens in one pass before any exchange. Only the length reward needs its batch; the pass is
     then written once, narrow, and the batch extremes are aggregated and joined back.
     """
-    names = select_rewards(rewards)
+    names = select_rewards(rewards) if rewards or not custom else []
     df = rollouts.withColumn("_text", scorers.completion_text(rollouts.schema))
     for mode in sorted({REGISTRY[n].reads for n in names if REGISTRY[n].reads}):
         df = _with_readings(df, mode)
@@ -152,13 +152,20 @@ def score_with_advantages(
     cfg: RewardConfig = RewardConfig(),
     keep: tuple[str, ...] = ("rollout_id", "group_id", "step"),
     scale: bool = True,
+    custom: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Rewards, their weighted sum and the group advantage per rollout.
 
-    Texts are read once: the narrow scores are written to the shared folder, then grouped and joined.
+    ``custom`` holds a column (a builder's or ``custom_reward``'s) for every name in ``plan.custom``; these rewards are
+    weighted and summed like the registered ones. Texts are read once: the narrow scores are written to the shared
+    folder, then grouped and joined.
     """
-    names = select_rewards(plan.names)
+    custom = dict(custom or {})
+    if set(custom) != set(plan.custom):
+        raise ValueError(f"the plan names {sorted(plan.custom)}, columns are given for {sorted(custom)}")
+    registered = select_rewards(plan.names) if plan.names or not custom else []
+    names = [*registered, *plan.custom]
     weights = plan.resolved_weights(names)
-    scored = score(rollouts, names, cfg, keep=keep)
+    scored = score(rollouts, registered, cfg, {n: custom[n].cast("double") for n in plan.custom}, keep=keep)
     scored = scored.withColumn("reward", weighted_reward(names, weights))
     return with_advantages(stage(scored, "rewards"), scale=scale)

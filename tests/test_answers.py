@@ -1,10 +1,13 @@
 """Answer equivalence and countdown equations."""
 
+import random
+import warnings
+
 import pytest
 from pyspark.sql import functions as F
 
 from rewardloom.functions.answers import EXPRESSION, LATEX, agree, boxed, read_answer
-from rewardloom.functions.equations import arithmetic_value, countdown_equation_reward, evaluate_distinct
+from rewardloom.functions.equations import arithmetic, arithmetic_value, countdown_equation_reward, evaluate_distinct
 from rewardloom.functions.scorers import accuracy_reward, countdown_format_reward
 
 
@@ -57,8 +60,17 @@ def test_arithmetic():
     good = {"(1 + 2) / 3": 1.0, "7//2": 3.0, "2**10": 1024.0, "-3 + +4": 1.0, "1.5*2": 3.0}
     for text, value in good.items():
         assert arithmetic_value(text) == value
+    powers = {"1**5000+64": 65.0, "(1)**4097": 1.0, "2**4097//2**4096+63": 65.0, "(-1)**4097": -1.0, "0**99999": 0.0, "-2**2": -4.0, "2**-1**2": 0.5,
+              "2**3**2": 512.0, "7-2-1": 4.0, "-3//2*4": -8.0, "2*-3+1": -5.0, "00+.5+2.": 2.5, "07.5": 7.5}
+    for text, value in powers.items():
+        assert arithmetic_value(text) == value, text
+    assert arithmetic_value("+".join(["1"] * 5000)) == 5000.0
+    assert arithmetic_value("+".join(["1"] * 100_000)) == 100_000.0
+    assert arithmetic_value("(" * 150 + "2" + ")" * 150) == 2.0
+    assert arithmetic("9**9**9") == (None, True) and arithmetic("9**9**9+") == (None, False)
+    assert arithmetic("2**100", max_bits=50) == (None, True)
     for text in ["07+1", "1/0", "2(3)", "()", "...", "(-8)**0.5", "9**9**9", "a+1", "1 1", "(" * 5000, "1" * 400 + " / 3", "", None,
-                 "__import__('os')", "True", "1_0 if 1 else 2", "+".join(["1"] * 100_000)]:
+                 "__import__('os')", "True", "1_0 if 1 else 2", "1.2.3", "1+", "*1", "(1", "1)", "1 \n2", "(" * 201 + "1" + ")" * 201]:
         assert arithmetic_value(text) is None, text
 
 
@@ -115,3 +127,23 @@ def test_hot_equation_is_evaluated_once_and_joined_back(spark):
     df = spark.createDataFrame(rows, "i int, equation string")
     got = {r.i: r.equation_value for r in evaluate_distinct(df).collect()}
     assert got == {i: (None if e is None else float(eval(e))) for i, e in rows}
+
+
+def test_evaluator_agrees_with_python():
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choice(["1", "2", "3", "0", "7", "+", "-", "*", "/", "//", "**", "(", ")", ".", " "]) for _ in range(rng.randrange(1, 9)))
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                wanted = float(eval(text, {"__builtins__": {}}))  # noqa: S307
+        except Exception:  # noqa: BLE001
+            wanted = None
+        found, refused = arithmetic(text)
+        assert refused or found == wanted, text
+
+
+def test_refused_equations_are_null(spark):
+    df = spark.createDataFrame([("<answer>9**9**9</answer>", 1.0, [9, 9, 9]), ("<answer>9**9-9</answer>", 387420480.0, [9, 9, 9])], "text string, target double, nums array<bigint>")
+    got = df.select(countdown_equation_reward(F.col("text"), F.col("target"), F.col("nums")).alias("r")).collect()
+    assert [r.r for r in got] == [None, 1.0]

@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +221,9 @@ HOSTILE = [
     " " * 300_000 + "x" + " " * 300_000,
     "```python\n" * 20_000,
     "\\boxed{" * 20_000 + "}" * 20_000,
+    "</answer>\n" + "<answer>" * 25_000,
+    "<reasoning>" + "</reasoning><answer>" * 10_000 + "\n</answer>",
+    "<reasoning>" + "</reasoning> " * 20_000 + "\n" * 50_000 + "<answer>" * 20_000 + "\n</answer>",
 ]
 
 
@@ -234,4 +238,6 @@ def test_hostile_texts_neither_overflow_nor_stall(evaluate):
         scorers.normalized_text, answer_line, read_answer,
     ]
     for build in builders:
+        began = time.perf_counter()
         assert len(evaluate(build, HOSTILE)) == len(HOSTILE)
+        assert time.perf_counter() - began < 30, build
