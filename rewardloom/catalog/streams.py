@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +19,22 @@ from rewardloom.streaming import live
 _TIME = "yyyy-MM-dd HH:mm:ss"
 
 
-def _arriving(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return live.read_stream(spark, folder, table(spark, folder, name).schema, f"{name}.parquet")
+def _landings(spark: SparkSession, folder: str, name: str, second: Column) -> Iterator[tuple[DataFrame, bool]]:
+    """A table that lands in two parts: the stream to run after each, and whether it is the last one."""
+    rows, inbox = table(spark, folder, name), fresh_path(spark, f"inbox-{name}")
+    for last in (False, True):
+        rows.where(second if last else ~second).write.mode("append").parquet(inbox)
+        yield live.read_stream(spark, inbox, rows.schema), last
+
+
+def _documents(spark: SparkSession, folder: str) -> Iterator[tuple[DataFrame, bool]]:
+    """Documents of the later steps land last."""
+    middle = table(spark, folder, "documents").agg(F.max("doc_id")).first()[0] // 2
+    return _landings(spark, folder, "documents", F.col("doc_id") > middle)
 
 
-def _rollout_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(ROLLOUTS, documents=_arriving(spark, folder, "documents"))
+def _rollouts(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    return spark.sql(ROLLOUTS, documents=documents)
 
 
 def _step_time(step: Column) -> Column:
@@ -37,9 +49,9 @@ def _step_time(step: Column) -> Column:
 )
 def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     names = ["format", "tag_count", "reasoning_steps"]
-    scored = live.score_stream(
-        _rollout_stream(spark, folder), lambda df: score(df, names, keep=("rollout_id",))
-    )
+    home = fresh_path(spark, "live-scores")
+    for documents, _ in _documents(spark, folder):
+        scored = live.score_stream(_rollouts(spark, documents), lambda df: score(df, names, keep=("rollout_id",)), home)
     return scored.select("rollout_id", *[round6(F.col(n)).alias(n) for n in names])
 
 
@@ -48,37 +60,36 @@ def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     f"""{WITH_ROLLOUTS}, scored AS (SELECT rollout_id, group_id, step, {_TAGS} AS reward FROM rollouts),
  stats AS (SELECT step, group_id, avg(reward) AS m, stddev_samp(reward) AS s FROM scored GROUP BY step, group_id)
  SELECT rollout_id, r.group_id, {sql_round('reward')} AS reward, {sql_round('(reward - m) / (s + 0.0001e0)')} AS advantage
- FROM scored r JOIN stats t ON r.step = t.step AND r.group_id = t.group_id WHERE r.step < (SELECT max(step) FROM scored)""",
+ FROM scored r JOIN stats t ON r.step = t.step AND r.group_id = t.group_id""",
 )
 def stream_group_advantage(spark: SparkSession, folder: str) -> DataFrame:
-    """Groups of finished steps; the last step stays open until a later one arrives."""
-    scored = _rollout_stream(spark, folder).select(
-        "rollout_id",
-        "group_id",
-        _step_time(F.col("step")).alias("ts"),
-        scorers.tag_count_reward(F.col("completion")).alias("reward"),
-    )
-    done = live.group_advantage_stream(scored, "1 hour", "0 seconds")
+    """Groups of all steps: those the watermark closes in either run, and the open ones at the end."""
+    home = fresh_path(spark, "live-advantages")
+    for documents, last in _documents(spark, folder):
+        scored = _rollouts(spark, documents).select(
+            "rollout_id",
+            "group_id",
+            _step_time(F.col("step")).alias("ts"),
+            scorers.tag_count_reward(F.col("completion")).alias("reward"),
+        )
+        done = live.group_advantage_stream(scored, "1 hour", "0 seconds", home=home, last=last)
     return done.select(
         "rollout_id", "group_id", round6(F.col("reward")).alias("reward"), round6(F.col("advantage")).alias("advantage")
     )
 
 
-def _points(spark: SparkSession, folder: str) -> DataFrame:
-    return _arriving(spark, folder, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("rewards/"), "event_type").alias("metric"), "value"
-    )
-
-
 @register(
     "stream_metric_windows",
-    f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, 'rewards/' || event_type AS metric,
- round(avg(value), 9) AS value, count(*) AS points FROM events
- WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2""",
+    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, 'rewards/' || event_type AS metric,
+ round(avg(value), 9) AS value, count(*) AS points FROM events GROUP BY 1, 2""",
 )
 def stream_metric_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Hourly means of every metric, for the hours the watermark has closed."""
-    means = live.metric_windows(_points(spark, folder), "1 hour", "10 minutes", "metric")
+    """Hourly means of every metric, over two runs and an end."""
+    home, middle = fresh_path(spark, "live-metrics"), _middle(spark, folder)
+    for events, last in _landings(spark, folder, "events", F.col("ts") >= middle):
+        metric = F.concat(F.lit("rewards/"), "event_type").alias("metric")
+        points = events.select(F.col("ts").cast("timestamp").alias("ts"), metric, "value")
+        means = live.metric_windows(points, "1 hour", "10 minutes", "metric", home=home, last=last)
     return means.select(
         F.date_format("window_start", _TIME).alias("window_start"),
         "metric",
@@ -87,15 +98,21 @@ def stream_metric_windows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _middle(spark: SparkSession, folder: str):
+    return table(spark, folder, "events").agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("m")).first()["m"]
+
+
 @register(
     "stream_running_total",
     "SELECT CASE WHEN event_type = 'error' THEN 'eval' ELSE 'train' END AS mode, CAST(sum(user_id) AS BIGINT) AS total FROM events GROUP BY 1",
 )
 def stream_running_total(spark: SparkSession, folder: str) -> DataFrame:
-    """Running token totals per mode; user ids stand in for token counts."""
+    """Running token totals per mode over two runs; user ids stand in for token counts."""
+    home, middle = fresh_path(spark, "live-totals"), _middle(spark, folder)
     mode = F.when(F.col("event_type") == "error", "eval").otherwise("train")
-    points = _arriving(spark, folder, "events").select(mode.alias("mode"), "user_id")
-    return live.running_totals(points, F.col("user_id"), "mode")
+    for events, _ in _landings(spark, folder, "events", F.col("ts") >= middle):
+        totals = live.running_totals(events.select(mode.alias("mode"), "user_id"), F.col("user_id"), "mode", home=home)
+    return totals
 
 
 _LATE = """WITH marked AS (SELECT date_trunc('hour', ts) AS w, ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) AS first_run,
@@ -108,20 +125,17 @@ _LATE = """WITH marked AS (SELECT date_trunc('hour', ts) AS w, ts >= (SELECT min
 def stream_late_rollouts(spark: SparkSession, folder: str) -> DataFrame:
     """The later half of the events arrives first, the earlier half in a second run: what lies behind the watermark is
     dropped, the rest still counts."""
-    events = table(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"))
-    middle = events.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("m")).scalar()
-    inbox, counts, log = (fresh_path(spark, n) for n in ("late-inbox", "late-counts", "late-log"))
-    for half in (F.col("ts") >= middle, F.col("ts") < middle):
-        events.where(half).write.mode("append").parquet(inbox)
-        live.window_counts(live.read_stream(spark, inbox, events.schema), "1 hour", "20 days", counts, log)
-    done = live.read_window_counts(spark, counts)
+    home, middle = fresh_path(spark, "late-counts"), _middle(spark, folder)
+    for events, _ in _landings(spark, folder, "events", F.col("ts") < middle):
+        done = live.window_counts(events.select(F.col("ts").cast("timestamp").alias("ts")), "1 hour", "20 days", home)
     return done.select(F.date_format("window_start", _TIME).alias("window_start"), "points")
 
 
 @register("stream_distinct_prompts", "SELECT DISTINCT md5(text) AS prompt FROM documents")
 def stream_distinct_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """Every prompt once, as the stream first sees it."""
-    prompts = _arriving(spark, folder, "documents").select(
-        F.md5("text").alias("prompt"), _step_time(F.floor(F.col("doc_id") / 128)).alias("ts")
-    )
-    return live.distinct_stream(prompts, "1 day", "prompt").select("prompt")
+    """Every prompt once over two runs; the delay covers the whole table, so no key is forgotten."""
+    home = fresh_path(spark, "live-distinct")
+    for documents, _ in _documents(spark, folder):
+        prompts = documents.select(F.md5("text").alias("prompt"), _step_time(F.floor(F.col("doc_id") / 128)).alias("ts"))
+        done = live.distinct_stream(prompts, "36500 days", "prompt", home=home)
+    return done.select("prompt")

@@ -1,7 +1,9 @@
 """Rollouts as they arrive: stateless scoring, group advantages, metric windows, running totals, de-duplication.
 
-A query reads files as they land, runs until the available ones are read, and leaves its result in a table under the
-shared folder, so that the same code serves a scheduled job and a continuous one.
+Every function works in one folder, ``home``, which holds its result and its checkpoint. A run reads the files that have
+landed since the last one and stops, so a scheduled job that names the same folder goes on where it stopped; without a
+name a fresh folder is taken. A bounded input ends with ``last=True``: one mark far in the future moves the watermark
+past every row, so that the windows still open are finished. Rows that land afterwards are late.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from rewardloom.operators.groups import STD_FLOOR
 from rewardloom.session import fresh_path
 
 
+END = "9000-01-01 00:00:00"  # the time of an end mark
+
+
 def read_stream(
     spark: SparkSession, folder: str, schema: StructType, pattern: str | None = None, files_per_batch: int | None = None
 ) -> DataFrame:
@@ -27,10 +32,11 @@ def read_stream(
     return reader.parquet(folder)
 
 
-def append_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def append_available(stream: DataFrame, path: str, checkpoint: str, *partition_by: str) -> DataFrame:
     """Append all available results to a table and read it."""
     query = (
         stream.writeStream.format("parquet")
+        .partitionBy(*partition_by)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
@@ -54,6 +60,21 @@ def each_available(
     query.awaitTermination()
 
 
+def _home(spark: SparkSession, home: str | None, name: str) -> str:
+    return home.rstrip("/") if home else fresh_path(spark, name)
+
+
+def _with_end(stream: DataFrame, home: str, last: bool) -> DataFrame:
+    """The stream and a second source of end marks: rows with a time far in the future and nothing else."""
+    spark, marks = stream.sparkSession, f"{home}/end-marks"
+    empty = spark.createDataFrame([], stream.schema)
+    empty.coalesce(1).write.mode("append").parquet(marks)
+    if last:
+        end = [F.to_timestamp(F.lit(END)).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
+        spark.range(1).select(*end).coalesce(1).write.mode("append").parquet(marks)
+    return stream.unionByName(read_stream(spark, marks, stream.schema))
+
+
 def _write_epoch(path: str) -> Callable[[DataFrame, int], None]:
     """Idempotent: a repeated epoch overwrites its own folder."""
     return lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
@@ -64,72 +85,90 @@ def _read_epochs(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return spark.read.schema(with_epoch).option("basePath", path).parquet(path)
 
 
-def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Scores of all available rollouts; scoring is stateless, so batch and stream share the scorer."""
-    spark = stream.sparkSession
-    return append_available(scorer(stream), fresh_path(spark, "live-scores"), fresh_path(spark, "live-scores-log"))
+def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], home: str | None = None) -> DataFrame:
+    """Scores of all rollouts so far; scoring is stateless, so batch and stream share the scorer."""
+    home = _home(stream.sparkSession, home, "live-scores")
+    return append_available(scorer(stream), f"{home}/result", f"{home}/log")
 
 
 def group_advantage_stream(
-    scored: DataFrame, window: str, delay: str, group: str = "group_id", reward: str = "reward", scale: bool = True
+    scored: DataFrame,
+    window: str,
+    delay: str,
+    group: str = "group_id",
+    reward: str = "reward",
+    scale: bool = True,
+    home: str | None = None,
+    last: bool = False,
 ) -> DataFrame:
     """Advantages of the groups whose time window is complete.
 
     ``scored`` holds ``ts``, the group and the reward, and all rollouts of a step carry the step's time. Streaming state
-    is three numbers per group: rows are appended to a table as they come, the statistics of a finished window leave the
-    state once, and only then are joined to the rows of that window. A hot group is a skewed partition of that batch
-    join, never one value in the state.
+    is three numbers per group: rows are appended to a table as they come, partitioned by window; the statistics of a
+    finished window leave the state once, and only then are joined to the rows of the finished windows, the only ones
+    read. A hot group is a skewed partition of that batch join, never one value in the state.
     """
     spark = scored.sparkSession
+    home = _home(spark, home, "live-advantages")
     span = F.window("ts", window)
-    timed = scored.withColumn("window_start", span["start"])
-    rows_path, stats_path = fresh_path(spark, "live-rows"), fresh_path(spark, "live-advantages")
-    rows = append_available(timed, rows_path, fresh_path(spark, "live-rows-log"))
+    timed = scored.withColumn("window_at", F.unix_seconds(span["start"]))
+    rows = append_available(timed, f"{home}/rows", f"{home}/rows-log", "window_at")
 
-    arriving = spark.readStream.schema(timed.schema).parquet(rows_path)
+    arriving = _with_end(spark.readStream.schema(timed.schema).parquet(f"{home}/rows"), home, last)
     stats = (
         arriving.withWatermark("ts", delay)
         .groupBy(span.alias("span"), group)
         .agg(F.avg(reward).alias("group_mean"), F.stddev_samp(reward).alias("group_std"))
-        .select(F.col("span.start").alias("window_start"), group, "group_mean", "group_std")
+        .select(F.unix_seconds("span.start").alias("window_at"), F.col(group).alias("_group"), "group_mean", "group_std")
     )
 
     def finish(done: DataFrame, epoch: int) -> None:
-        joined = rows.join(done, ["window_start", group])
+        first, final = done.agg(F.min("window_at"), F.max("window_at")).first()
+        finished = rows.where(F.col("window_at").between(first, final)) if first is not None else rows.limit(0)
+        done = done.withColumnRenamed("window_at", "_at")
+        joined = finished.join(done, (F.col("window_at") == F.col("_at")) & F.col(group).eqNullSafe(F.col("_group")))
         gap = F.col(reward) - F.col("group_mean")
         value = gap / (F.col("group_std") + F.lit(STD_FLOOR)) if scale else gap
-        _write_epoch(stats_path)(joined.withColumn("advantage", value), epoch)
+        _write_epoch(f"{home}/result")(joined.withColumn("advantage", value).drop("_at", "_group"), epoch)
 
-    each_available(stats, finish, fresh_path(spark, "live-advantages-log"))
+    each_available(stats, finish, f"{home}/log")
     schema = StructType(rows.schema.fields)
     for name in ("group_mean", "group_std", "advantage"):
         schema = schema.add(name, "double")
-    return _read_epochs(spark, stats_path, schema).drop("epoch")
+    return _read_epochs(spark, f"{home}/result", schema).drop("epoch")
 
 
-def metric_windows(points: DataFrame, window: str, delay: str, *keys: str) -> DataFrame:
+def metric_windows(points: DataFrame, window: str, delay: str, *keys: str, home: str | None = None, last: bool = False) -> DataFrame:
     """Mean of a metric per tumbling window; windows behind the watermark are final and appended once."""
+    home = _home(points.sparkSession, home, "live-metrics")
     means = (
-        points.withWatermark("ts", delay)
+        _with_end(points, home, last)
+        .withWatermark("ts", delay)
         .groupBy(F.window("ts", window).alias("span"), *keys)
         .agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("points"))
     )
     flat = means.select(F.col("span.start").alias("window_start"), *keys, "value", "points")
-    spark = points.sparkSession
-    return append_available(flat, fresh_path(spark, "live-metrics"), fresh_path(spark, "live-metrics-log"))
+    return append_available(flat, f"{home}/result", f"{home}/log")
+
 
+def running_totals(points: DataFrame, amount: Column, *keys: str, home: str | None = None) -> DataFrame:
+    """Running sum per key; the state is one number per key and every trigger rewrites the small result.
 
-def running_totals(points: DataFrame, amount: Column, *keys: str) -> DataFrame:
-    """Running sum per key; the state is one number per key and every trigger rewrites the small result."""
+    Two slots take turns, so the result before is whole while the next one is written, and none older is kept.
+    """
     spark = points.sparkSession
+    home = _home(spark, home, "live-totals")
     totals = points.groupBy(*keys).agg(F.sum(amount).alias("total"))
-    path = fresh_path(spark, "live-totals")
-    each_available(totals, _write_epoch(path), fresh_path(spark, "live-totals-log"), mode="complete")
-    epochs = _read_epochs(spark, path, totals.schema)
-    return epochs.groupBy(*keys).agg(F.max_by("total", "epoch").alias("total"))
 
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{home}/result/slot={epoch % 2}")
+
+    each_available(totals, write, f"{home}/log", mode="complete")
+    slots = spark.read.schema(StructType(totals.schema.fields).add("epoch", "long").add("slot", "integer")).parquet(f"{home}/result")
+    return slots.groupBy(*keys).agg(F.max_by("total", "epoch").alias("total"))
 
-def window_counts(points: DataFrame, window: str, delay: str, path: str, checkpoint: str) -> None:
+
+def window_counts(points: DataFrame, window: str, delay: str, home: str) -> DataFrame:
     """Rows accepted per window so far. Rows whose window lies behind the watermark come too late and are dropped."""
     counts = (
         points.withWatermark("ts", delay)
@@ -137,17 +176,13 @@ def window_counts(points: DataFrame, window: str, delay: str, path: str, checkpo
         .agg(F.count(F.lit(1)).alias("points"))
         .select(F.col("span.start").alias("window_start"), "points")
     )
-    each_available(counts, _write_epoch(path), checkpoint, mode="update")
-
-
-def read_window_counts(spark: SparkSession, path: str) -> DataFrame:
-    schema = StructType().add("window_start", "timestamp").add("points", "long")
-    epochs = _read_epochs(spark, path, schema)
+    each_available(counts, _write_epoch(f"{home}/result"), f"{home}/log", mode="update")
+    epochs = _read_epochs(points.sparkSession, f"{home}/result", counts.schema)
     return epochs.groupBy("window_start").agg(F.max_by("points", "epoch").alias("points"))
 
 
-def distinct_stream(stream: DataFrame, delay: str, *keys: str) -> DataFrame:
-    """First arrival of every key; a key is remembered for the watermark delay."""
-    spark = stream.sparkSession
+def distinct_stream(stream: DataFrame, delay: str, *keys: str, home: str | None = None) -> DataFrame:
+    """First arrival of every key; a key is remembered for the watermark delay and may come again after it."""
+    home = _home(stream.sparkSession, home, "live-distinct")
     first = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
-    return append_available(first, fresh_path(spark, "live-distinct"), fresh_path(spark, "live-distinct-log"))
+    return append_available(first, f"{home}/result", f"{home}/log")

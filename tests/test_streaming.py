@@ -57,13 +57,13 @@ def test_running_totals_over_batches(spark, tmp_path):
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
-    folder, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    folder, home = (str(tmp_path / n) for n in ("in", "home"))
     at = lambda h, n: spark.range(n).select(F.timestamp_seconds(F.lit(h * 3600)).alias("ts"))
     schema = at(0, 1).schema
     for part in (at(100, 3), at(90, 2).union(at(99, 1)), at(101, 1)):
         _land(spark, folder, [part])
-        live.window_counts(live.read_stream(spark, folder, schema), "1 hour", "5 hours", out, log)
-    got = {int(r.window_start.timestamp()) // 3600: r.points for r in live.read_window_counts(spark, out).collect()}
+        counts = live.window_counts(live.read_stream(spark, folder, schema), "1 hour", "5 hours", home)
+    got = {int(r.window_start.timestamp()) // 3600: r.points for r in counts.collect()}
     assert sorted(got.values()) == [1, 1, 3] and len(got) == 3
 
 
@@ -75,3 +75,33 @@ def test_distinct_prompts_over_batches(spark, tmp_path):
     stream = live.read_stream(spark, folder, rows.schema, files_per_batch=1)
     got = live.distinct_stream(stream, "1 hour", "prompt").collect()
     assert sorted(r.prompt for r in got) == ["p0", "p1", "p2", "p3"]
+
+
+def test_runs_go_on_where_they_stopped(spark, tmp_path):
+    """Two runs over two landings equal one batch, and the end closes what is open."""
+    folder, home = str(tmp_path / "in"), str(tmp_path / "home")
+    rows = _scored(spark)
+    for k, last in ((0, False), (120, True)):
+        _land(spark, folder, [rows.where(F.col("rollout_id").between(k, k + 119))])
+        stream = live.read_stream(spark, folder, rows.schema)
+        got = live.group_advantage_stream(stream, "1 hour", "2 hours", home=home, last=last).collect()
+        points = stream.select("ts", F.lit("m").alias("metric"), F.col("reward").alias("value"))
+        means = live.metric_windows(points, "1 hour", "2 hours", "metric", home=home + "-means", last=last)
+        totals = live.running_totals(stream, F.col("rollout_id"), "group_id", home=home + "-totals")
+        first = live.distinct_stream(stream.select("ts", "reward"), "10 days", "reward", home=home + "-first")
+    batch = {r.rollout_id: r.advantage for r in with_advantages(rows).collect()}
+    assert len(got) == 240 and {r.rollout_id for r in got} == set(batch)
+    for r in got:
+        assert r.advantage == pytest.approx(batch[r.rollout_id])
+    assert means.count() == 10 and means.agg(F.sum("points")).first()[0] == 240
+    assert totals.count() == 30 and totals.agg(F.sum("total")).first()[0] == sum(range(240))
+    assert sorted(r.reward for r in first.collect()) == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+def test_finished_windows_alone_are_read(spark, tmp_path):
+    folder, home = str(tmp_path / "in"), str(tmp_path / "home")
+    rows = _scored(spark)
+    _land(spark, folder, [rows])
+    live.group_advantage_stream(live.read_stream(spark, folder, rows.schema), "1 hour", "0 seconds", home=home)
+    hours = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "home" / "rows").glob("window_at=*"))
+    assert len(hours) == 10 and hours[1] - hours[0] == 3600
