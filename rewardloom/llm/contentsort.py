@@ -9,6 +9,9 @@ from rewardloom.llm.common import SPACES, id_salt, key_text, packed, scan_tasks,
 from rewardloom.session import stage
 
 
+SPLITTER_CHARS = 64  # of a content that take part in range partitioning; the sort and the comparisons use all of it
+
+
 def normalised(column: str = "text") -> Column:
     """The text without the characters space, tab, line feed, vertical tab, form feed and carriage return."""
     return F.translate(whole_text(column), SPACES, "")
@@ -17,8 +20,9 @@ def normalised(column: str = "text") -> Column:
 def duplicate_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 
-    Rows are range-partitioned by normalised content and a salt of the id (splitters are sampled from the contents),
-    then sorted in each partition by content, salt, length and id; the sort spills to disk. Equal contents lie side by
+    Rows are range-partitioned by the start of the normalised content and a salt of the id (splitters are sampled from
+    these starts, which keeps the sample that Spark gathers small), then sorted in each partition by start, salt,
+    whole content, length and id; the sort spills to disk. Equal contents lie side by
     side, and a run ends where the full comparison with the neighbour differs. The salt cuts a run of copies that
     holds a large part of the table into up to 4,100 runs that range partitioning deals to different tasks. The head
     of a run carries its row count; heads of one content are brought together by its SHA-256, with partial sums first.
@@ -32,13 +36,15 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
         normalised().alias("_content"),
         id_salt("doc_id").alias("_salt"),
     )
-    rows = rows.repartitionByRange(scan_tasks(docs), "_content", "_salt")
-    run = Window.partitionBy("_content", "_salt").orderBy(F.col("_chars").desc(), F.col("doc_id").asc())
+    rows = rows.withColumn("_start", F.substring("_content", 1, SPLITTER_CHARS))
+    rows = rows.repartitionByRange(scan_tasks(docs), "_start", "_salt")
+    runs = Window.partitionBy("_start", "_salt", "_content")
+    run = runs.orderBy(F.col("_chars").desc(), F.col("doc_id").asc())
     rows = rows.select(
         "doc_id",
         "_chars",
         F.row_number().over(run).alias("_place"),
-        F.count(F.lit(1)).over(Window.partitionBy("_content", "_salt")).alias("_run"),
+        F.count(F.lit(1)).over(runs).alias("_run"),
         F.sha2(F.col("_content"), 256).alias("text_sha256"),
     )
     rows = stage(rows, "content-runs")
