@@ -433,8 +433,8 @@ def format_grade_school(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "judge_requests",
-    f"{WITH_ROLLOUTS} SELECT rollout_id, {literal(chat.JUDGE_RUBRIC)} AS system_text, 'Student answer: ' || completion || chr(10) || "
-    "'Correct solution: ' || solution || chr(10) || 'Output only 1.0 or 0.0:' AS user_text FROM rollouts",
+    f"{WITH_ROLLOUTS} SELECT rollout_id, {literal(chat.JUDGE_RUBRIC)} AS system_text, 'Given answer:' || chr(10) || completion || chr(10) || chr(10) || "
+    "'Reference:' || chr(10) || solution || chr(10) || chr(10) || 'Reply with 1.0 if they agree and 0.0 if they do not.' AS user_text FROM rollouts",
 )
 def judge_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Request rows for an external judge; the call itself is not made here."""

@@ -195,12 +195,12 @@ def eval_metric_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return named.groupBy("metric").agg(F.count(F.lit(1)).alias("points"))
 
 
-@register("metrics_sink", f"{_EVENTS} SELECT mode, step, metric, value FROM points WHERE mode = 'eval'")
+@register("metrics_sink", f"{_EVENTS} SELECT mode, step, metric, value FROM points")
 def metrics_sink(spark: SparkSession, folder: str) -> DataFrame:
-    """Metrics written by mode and read back; a filter on the mode reads one folder."""
+    """Metrics of all modes, written by mode and read back."""
     path = fresh_path(spark, "metrics")
     logs.write_metrics(_event_metrics(spark, folder), path)
-    return logs.read_metrics(spark, path).where(F.col("mode") == "eval")
+    return logs.read_metrics(spark, path)
 
 
 _TAGS = " + ".join(sql_once("completion", tag, 0.25) for tag in scorers.THINK_TAGS)

@@ -10,7 +10,7 @@ from rewardloom.catalog.registry import literal, register, table
 from rewardloom.catalog.standins import WITH_ROLLOUTS, rollouts
 from rewardloom.config import RewardConfig, RewardPlan
 from rewardloom.functions import equations, scorers
-from rewardloom.functions.chat import number_list
+from rewardloom.functions.chat import message, messages_of, number_list
 from rewardloom.functions.text import round6
 from rewardloom.operators.groups import pair
 from rewardloom.plans.scoring import custom_reward, score, score_with_advantages, select_rewards
@@ -180,6 +180,18 @@ def extract_code(spark: SparkSession, folder: str) -> DataFrame:
     return rollouts(spark, folder).select("rollout_id", scorers.extract_code(F.col("completion")).alias("code"))
 
 
+@register(
+    "extract_code_last_message",
+    rf"""{WITH_ROLLOUTS} SELECT rollout_id,
+ coalesce(list_extract(regexp_extract_all(completion, '(?s)```python\n(.*?)```', 1), -1), '') AS code FROM rollouts""",
+)
+def extract_code_last_message(spark: SparkSession, folder: str) -> DataFrame:
+    """Code of a conversational completion stands in its last message."""
+    said = messages_of(message("assistant", F.lit("```python\nfirst\n```")), message("assistant", F.col("completion")))
+    df = rollouts(spark, folder).withColumn("completion", said)
+    return df.select("rollout_id", scorers.extract_code(scorers.completion_text(df.schema, last=True)).alias("code"))
+
+
 @register(
     "reward_exact_answer",
     reward_sql(f"CASE WHEN {_LAST} IS NOT DISTINCT FROM answer THEN 2.0 ELSE 0.0 END"),
@@ -321,16 +333,16 @@ def join_completion_target_numbers(spark: SparkSession, folder: str) -> DataFram
 
 @register(
     "join_prompt_completion",
-    f"""{WITH_ROLLOUTS} SELECT r.rollout_id, b.item_id AS prompt_id, b.text || r.completion AS full_text
- FROM rollouts r JOIN benchmark b ON r.group_id = b.item_id""",
+    f"""{WITH_ROLLOUTS}, prompts AS (SELECT group_id AS prompt_id, 'Task of ' || source || ': ' || solution || chr(10) AS text FROM rollouts WHERE gen_idx = 0)
+ SELECT r.rollout_id, p.prompt_id, p.text || r.completion AS full_text FROM rollouts r JOIN prompts p ON r.group_id = p.prompt_id""",
 )
 def join_prompt_completion(spark: SparkSession, folder: str) -> DataFrame:
-    """Prompt and completion as one text; groups whose prompt is not among the items drop out."""
-    prompts = table(spark, folder, "benchmark").select(F.col("item_id").alias("prompt_id"), "text")
-    done = rollouts(spark, folder).select("rollout_id", F.col("group_id").alias("prompt_id"), "completion")
-    return pair(done, prompts).select(
-        "rollout_id", "prompt_id", F.concat("text", "completion").alias("full_text")
-    )
+    """Prompt and completion of every rollout as one text."""
+    df = rollouts(spark, folder)
+    text = F.concat(F.lit("Task of "), "source", F.lit(": "), "solution", F.lit("\n")).alias("text")
+    prompts = df.where("gen_idx = 0").select(F.col("group_id").alias("prompt_id"), text)
+    done = df.select("rollout_id", F.col("group_id").alias("prompt_id"), "completion")
+    return pair(done, prompts).select("rollout_id", "prompt_id", F.concat("text", "completion").alias("full_text"))
 
 
 # ---- registry -------------------------------------------------------------------------------------------------

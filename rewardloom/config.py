@@ -112,7 +112,6 @@ class LossConfig:
     beta: float = 0.04
     epsilon_low: float = 0.2
     epsilon_high: float | None = None
-    scale_rewards: bool = True
 
     @property
     def upper(self) -> float:

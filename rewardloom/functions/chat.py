@@ -319,15 +319,12 @@ def preference_texts(
     }
 
 
-# The judge's rubric is the caller's; this short one is our own.
+# Rubric and layout of the request are the caller's; these short ones are our own.
 JUDGE_RUBRIC = "Decide whether the student's answer and the correct solution state the same result."
+JUDGE_LAYOUT = "Given answer:\n{completion}\n\nReference:\n{solution}\n\nReply with 1.0 if they agree and 0.0 if they do not."
 
 
-def judge_request(completion: Column, solution: Column, rubric: str = JUDGE_RUBRIC) -> Column:
+def judge_request(completion: Column, solution: Column, rubric: str = JUDGE_RUBRIC, layout: str = JUDGE_LAYOUT) -> Column:
     """Request messages for an external judge, one request per completion."""
-    ask = fill(
-        "Student answer: {completion}\nCorrect solution: {solution}\nOutput only 1.0 or 0.0:",
-        completion=completion,
-        solution=solution,
-    )
+    ask = fill(layout, completion=completion, solution=solution)
     return messages_of(message("system", F.lit(rubric)), message("user", ask))

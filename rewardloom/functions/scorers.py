@@ -41,10 +41,13 @@ def flag(condition: Column, worth: float = 1.0) -> Column:
     return F.when(condition, F.lit(float(worth))).otherwise(F.lit(0.0))
 
 
-def completion_text(df_schema, name: str = "completion") -> Column:
-    """First message's content of a conversational completion, or the plain text; decided by type."""
+def completion_text(df_schema, name: str = "completion", last: bool = False) -> Column:
+    """One message's content of a conversational completion, or the plain text; decided by type.
+
+    Most rewards read the first message; code is read from the last one.
+    """
     if isinstance(df_schema[name].dataType, ArrayType):
-        return F.try_element_at(F.col(name), F.lit(1))["content"]
+        return F.try_element_at(F.col(name), F.lit(-1 if last else 1))["content"]
     return F.col(name)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rewardloom.session import stage
 
+BROADCAST_BYTES = 32 << 20  # of a written, compressed table
 STD_FLOOR = 1e-4  # fixed value added to the spread of a group
 
 
@@ -58,9 +59,16 @@ def incomplete_groups(df: DataFrame, size: int, group: str = "group_id") -> Data
     return counts.where(F.col("rows") != size)
 
 
-def pair(rollouts: DataFrame, tasks: DataFrame, on: str = "prompt_id") -> DataFrame:
-    """Rollouts with their task's columns. Pass narrow sides: score and drop long texts first."""
-    return rollouts.join(tasks, on)
+def pair(rollouts: DataFrame, tasks: DataFrame, on: str = "prompt_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rollouts with their task's columns.
+
+    Tasks are the small side. They are written first, and where the written table is at most ``broadcast_bytes`` it is
+    sent to the rollouts, whose long texts then stay where they are, however popular one prompt is. Larger tables meet
+    the rollouts in a shuffle join, whose hot partitions adaptive execution splits.
+    """
+    tasks = stage(tasks, "tasks")
+    size = int(tasks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rollouts.join(F.broadcast(tasks) if size <= broadcast_bytes else tasks, on)
 
 
 def weighted_reward_long(rewards: DataFrame, weights: dict[str, float], key: str = "rollout_id") -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
-
 _MESSAGES = "array<struct<role:string,content:string>>"
 
 TASKS = (
@@ -20,15 +17,3 @@ TOKENS = (
     "logps array<double>, old_logps array<double>, ref_logps array<double>"
 )
 METRICS = "mode string, step bigint, metric string, value double"
-
-
-def require_columns(df: DataFrame, schema: str, *names: str) -> DataFrame:
-    """Check at planning time that ``df`` holds the named columns of a canonical table with their types."""
-    wanted = {f.name: f.dataType for f in StructType.fromDDL(schema).fields}
-    held = {f.name: f.dataType for f in df.schema.fields}
-    for name in names or wanted:
-        if name not in held:
-            raise ValueError(f"column {name} is missing")
-        if held[name].simpleString() != wanted[name].simpleString():
-            raise ValueError(f"column {name} is {held[name].simpleString()}, not {wanted[name].simpleString()}")
-    return df

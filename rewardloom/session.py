@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _LOCAL_DIRS: dict[str, str] = {}  # folders of local sessions that name none
+_ONE_MACHINE = re.compile(r"local(\[[^\]]*\])?")  # not local-cluster, whose executors share no folder with the driver
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)  # folder of the run scope that is open
 BYTES_PER_TASK = 128 * 1024 * 1024  # Spark's default size of one scan partition
 
 
@@ -39,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not _ONE_MACHINE.fullmatch(spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
     application = spark.sparkContext.applicationId
     if application not in _LOCAL_DIRS:
@@ -47,8 +53,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[application]
 
 
+@contextmanager
+def run_scope(spark: SparkSession, name: str = "run", keep: bool = False) -> Iterator[str]:
+    """Everything staged inside goes to one folder, which is removed at the end unless it is to be kept.
+
+    Results read from staged tables have to be written or collected inside. Scopes may nest.
+    """
+    folder = fresh_path(spark, name)
+    before = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(before)
+        if not keep:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_RUN.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

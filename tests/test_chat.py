@@ -126,4 +126,6 @@ def test_judge_request(spark):
     df = spark.createDataFrame([("said", "gold")], "c string, s string")
     system, user = one(df, chat.judge_request(F.col("c"), F.col("s"), "rubric"))
     assert system.content == "rubric"
-    assert user.content == "Student answer: said\nCorrect solution: gold\nOutput only 1.0 or 0.0:"
+    assert user.content == "Given answer:\nsaid\n\nReference:\ngold\n\nReply with 1.0 if they agree and 0.0 if they do not."
+    _, user = one(df, chat.judge_request(F.col("c"), F.col("s"), layout="{solution}|{completion}"))
+    assert user.content == "gold|said"

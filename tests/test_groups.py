@@ -183,3 +183,34 @@ def test_pass_rate(spark):
     rows = [(1, 0, 0, " 4\n", "4"), (1, 1, 1, "4", "4"), (1, 2, 0, "5", "4"), (2, 0, 0, "x", "x")]
     df = spark.createDataFrame(rows, "rollout_id bigint, case_id bigint, return_code int, stdout string, expected string")
     assert {r.rollout_id: r.code_pass_rate for r in logs.pass_rate(df).collect()} == {1: pytest.approx(1 / 3), 2: 1.0}
+
+
+def test_run_scope_removes_what_was_staged(spark):
+    from pathlib import Path
+
+    from rewardloom.session import run_scope, stage
+
+    with run_scope(spark) as folder:
+        total = stage(spark.range(10), "numbers").count()
+        assert any(Path(folder).iterdir())
+    assert total == 10 and not Path(folder).exists()
+    with run_scope(spark, keep=True) as folder:
+        kept = stage(spark.range(10), "numbers")
+    assert kept.count() == 10 and Path(folder).exists()
+
+
+def test_local_cluster_needs_a_shared_folder():
+    from rewardloom.session import _ONE_MACHINE
+
+    assert all(_ONE_MACHINE.fullmatch(m) for m in ("local", "local[4]", "local[*]", "local[2, 3]"))
+    assert not any(_ONE_MACHINE.fullmatch(m) for m in ("local-cluster[2,1,1024]", "yarn", "spark://a:7077"))
+
+
+def test_popular_prompt_leaves_texts_in_place(spark):
+    from rewardloom.operators.groups import pair
+
+    rollouts = spark.range(300).selectExpr("id AS rollout_id", "IF(id % 3 = 0, 0, id) AS prompt_id", "repeat('x', 10) AS completion")
+    tasks = spark.range(300).selectExpr("id AS prompt_id", "concat('p', id) AS text")
+    assert "BroadcastHashJoin" in pair(rollouts, tasks)._jdf.queryExecution().executedPlan().toString()
+    shuffled = pair(rollouts, tasks, broadcast_bytes=0)
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, pair(rollouts, tasks).collect()))
