@@ -14,8 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rewardloom.session import stage
+
 HEX_PER_LEVEL = 4  # 65,536 prefixes per level bound every offset table
-ID_DIGITS = 16  # four levels read all 64 bits of an id
+ID_DIGITS = 16
+ID_STEP = 5  # digits of an id per pass; 1,048,576 counts per part at most
+FEW_ROWS = 1 << 20  # rows of one part that one task may number
 HASH_DIGITS = 8  # after two levels one prefix of a hash holds n / 2**32 rows
 
 
@@ -77,13 +81,41 @@ def _level(keys: DataFrame, state: DataFrame | None, level: int, wanted: Column)
         counts = counts.withColumn("_rows", rows).withColumn("_k", wanted.cast("bigint")).withColumn("_prefix", F.lit(""))
     else:
         counts = _inside(keys, state).groupBy("_by", "_prefix", "_k", digit).agg(F.count(F.lit(1)).alias("_n"))
-    # Windows here run over counts: at most 65,536 rows per part, however large the table is.
+    return _hit(counts).drop("_n")
+
+
+def _cut_ids(keys: DataFrame, wanted: Column, digits: int) -> DataFrame:
+    """Cut keys of ids, in three passes over the ids as a rule.
+
+    The first counts the rows of every part and finds its smallest and largest id, whose common leading digits need no
+    pass. Each further pass counts by the next ``ID_STEP`` digits; once the digit run that holds the k-th id has few
+    rows, these are numbered instead. So dense ids that span up to 40 bits and ids spread over any width take three passes.
+    What is written in between is one row per part.
+    """
+    low, high = F.min("_key").alias("_low"), F.max("_key").alias("_high")
+    bounds = stage(keys.groupBy("_by").agg(F.count(F.lit(1)).alias("_rows"), low, high), "id-bounds")
+    shared = F.filter(F.sequence(F.lit(1), F.lit(digits)), lambda i: F.substr("_low", F.lit(1), i) == F.substr("_high", F.lit(1), i))
+    prefix = F.substr("_low", F.lit(1), F.coalesce(F.array_max(shared), F.lit(0)))
+    state = bounds.select("_by", prefix.alias("_prefix"), wanted.cast("bigint").alias("_k"), F.col("_rows").alias("_n")).where("_k > 0")
+    while True:
+        most, depth = state.agg(F.max("_n"), F.min(F.length("_prefix"))).first()
+        if most is None or depth >= digits:
+            return state.select("_by", F.col("_prefix").alias("_cut"))
+        if most <= FEW_ROWS:
+            place = Window.partitionBy("_by").orderBy("_key")
+            numbered = _inside(keys, state).withColumn("_row", F.row_number().over(place))
+            return numbered.where(F.col("_row") == F.col("_k")).select("_by", F.col("_key").alias("_cut"))
+        digit = F.substr("_key", F.length("_prefix") + 1, F.lit(ID_STEP)).alias("_digit")
+        counts = _inside(keys, state).groupBy("_by", "_prefix", "_k", digit).agg(F.count(F.lit(1)).alias("_n"))
+        state = stage(_hit(counts), "id-cuts")
+
+
+def _hit(counts: DataFrame) -> DataFrame:
+    """The digit run of every part that holds the k-th key. Windows run over counts, a bounded number per part."""
     earlier = Window.partitionBy("_by").orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     hit = (F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n"))
-    return counts.where(hit).select(
-        "_by", F.concat("_prefix", "_digit").alias("_prefix"), (F.col("_k") - F.col("_before")).alias("_k")
-    )
+    return counts.where(hit).select("_by", F.concat("_prefix", "_digit").alias("_prefix"), (F.col("_k") - F.col("_before")).alias("_k"), "_n")
 
 
 def cut_keys(
@@ -99,11 +131,11 @@ def cut_keys(
     ``wanted`` is k as an expression over ``_rows`` (rows of the part) and ``_by``.
     """
     keys = df.select(_part(key, by).alias("_by"), key.alias("_key"))
+    if not hashed:
+        return _cut_ids(keys, wanted, digits)
     state = None
-    for level in range((HASH_DIGITS if hashed else digits) // HEX_PER_LEVEL):
+    for level in range(HASH_DIGITS // HEX_PER_LEVEL):
         state = _level(keys, state, level, wanted)
-    if not hashed:
-        return state.select("_by", F.col("_prefix").alias("_cut"))
     last = Window.partitionBy("_by").orderBy("_key")
     return (
         _inside(keys, state)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rewardloom.config import MixConfig, SamplingConfig, TaskSource
-from rewardloom.operators import expand, leak, mix
+from rewardloom.operators import expand, leak, mix, rank
 from rewardloom.operators.rank import hash_key, id_key, keep_first, with_rank
 from rewardloom.sources.datasets import load_mix, read_source
 
@@ -47,6 +47,25 @@ def test_keep_first_is_exact(spark, k):
     assert got == ids[:k]
 
 
+@pytest.mark.parametrize("few", [1 << 20, 3])
+@pytest.mark.parametrize("spread", [1, 10**15])
+def test_cut_of_ids_takes_three_passes(spark, monkeypatch, few, spread):
+    """Dense ids and ids over the whole range, by numbering a few rows and by digits alone."""
+    passes = []
+    staged = rank.stage
+    monkeypatch.setattr(rank, "FEW_ROWS", few)
+    monkeypatch.setattr(rank, "stage", lambda df, name: passes.append(name) or staged(df, name))
+    ids = [(k * 37 % 4000 - 2000) * spread + (10**12 if spread == 1 else 0) for k in range(4000)]
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in ids] + [(5, "one"), (7, None)], "v bigint, part string").repartition(5)
+    got = keep_first(df, id_key("v"), F.ceil(F.col("_rows") / 3), by=F.col("part")).collect()
+    wanted = {("one", 5)}
+    for part in ("a", "b"):
+        mine = sorted(i for i in ids if part == ("a" if i % 2 else "b"))
+        wanted |= {(part, i) for i in mine[: -(-len(mine) // 3)]}
+    assert {(r.part, r.v) for r in got} == wanted
+    assert len(passes) <= (2 if spread == 1 else 4)
+
+
 def test_fraction_head_with_a_dominant_source(spark):
     rows = [("hot" if i % 3 else f"s{i % 30}", i * 7) for i in range(3000)]
     df = spark.createDataFrame(rows, "source string, id bigint").repartition(9)
