@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardloom.catalog.registry import SQL_SPACE as SP
-from rewardloom.catalog.registry import register
+from rewardloom.catalog.registry import register, table
 from rewardloom.catalog.rewards import sql_round
 from rewardloom.catalog.standins import WITH_ROLLOUTS, rollouts
 from rewardloom.config import RewardConfig
@@ -50,10 +50,14 @@ def _canon(text: str) -> str:
         (r"\\(?:text|mathrm|textbf|mbox)\{([^{}]*)\}", r"\1"),
         (r"\^\{?\\circ\}?|degrees?", ""),
         (r"\\[dtc]frac", r"\\frac"),
+        (r"\\frac([0-9])([0-9])", r"\\frac{\1}{\2}"),
+        (r"\\frac([0-9])\{", r"\\frac{\1}{"),
+        (r"\\frac(\{[^{}]*\})([0-9])", r"\\frac\1{\2}"),
     ]
     for pattern, repl in steps:
         text = f"regexp_replace({text}, '{pattern}', '{repl}', 'g')"
-    return f"regexp_replace({text}, '\\.$', '')"
+    text = f"regexp_replace({text}, '\\.$', '')"
+    return rf"regexp_replace({text}, '^[A-Za-z](?:_\{{?[A-Za-z0-9]+\}}?)?=([^=]+)$', '\1')"
 
 
 _NUMBER = rf"""CASE
@@ -203,3 +207,37 @@ def batch_length_extremes(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.groupBy("batch_id").agg(
         F.min("n").alias("shortest"), F.max("n").alias("longest"), F.count(F.lit(1)).alias("rollouts")
     )
+
+
+# Gold and answer per form, made from two numbers of the row; the last entry says when they agree.
+_FORMS = (
+    ("concat('$x = ', a, '$')", "concat('It is ', b)", "a = b"),
+    ("concat(bs, 'frac', 1 + a % 9, 1 + b % 9)", "concat(bs, 'boxed{', 1 + a % 9, '/', 1 + b % 9, '}')", "TRUE"),
+    ("concat('$', a, 'e3$')", "concat(b, '000')", "a = b"),
+    ("concat('$', bs, 'sqrt{', a * a, '}$')", "concat(b)", "a = b"),
+    ("concat('$', 2 * a, bs, 'pi$')", "concat('<answer>', bs, 'frac{', 4 * b, bs, 'pi}{2}</answer>')", "a = b"),
+    ("concat('$(', a, ', ', b, ')$')", "concat(bs, 'boxed{(', a, '.0,', b, '.00)}')", "TRUE"),
+    ("concat('$', bs, '{', a, ',', b, bs, '}$')", "concat(bs, 'boxed{', bs, '{', b, ', ', a, bs, '}}')", "TRUE"),
+    ("concat('$(', a, ',', b, ')$')", "concat(bs, 'boxed{(', b, ',', a, ')}')", "a = b"),
+)
+
+
+@register(
+    "answer_equivalence_forms",
+    "SELECT l_orderkey, l_linenumber, form, CASE form "
+    + " ".join(f"WHEN {k} THEN {agrees}" for k, (_, _, agrees) in enumerate(_FORMS))
+    + f""" END AS correct FROM (SELECT l_orderkey, l_linenumber, l_partkey % {len(_FORMS)} AS form,
+  1 + l_suppkey % 4 AS a, 1 + l_linenumber % 4 AS b FROM lineitem) made""",
+)
+def answer_equivalence_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Two spellings of an answer per line item, in every wider form."""
+    made = table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", f"l_partkey % {len(_FORMS)} AS form", "1 + l_suppkey % 4 AS a", "1 + l_linenumber % 4 AS b", "chr(92) AS bs"
+    )
+
+    def side(index: int) -> str:
+        return "CASE form " + " ".join(f"WHEN {k} THEN {form[index]}" for k, form in enumerate(_FORMS)) + " END"
+
+    made = made.selectExpr("l_orderkey", "l_linenumber", "form", f"{side(0)} AS gold", f"{side(1)} AS answer")
+    verdict = A.agree(A.read_answer(F.col("answer")), A.read_answer(F.col("gold"), gold=True))
+    return made.select("l_orderkey", "l_linenumber", "form", verdict.alias("correct"))

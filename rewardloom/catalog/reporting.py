@@ -18,7 +18,7 @@ from rewardloom.catalog.standins import (
 from rewardloom.functions import equations, scorers
 from rewardloom.functions.text import round6
 from rewardloom.operators import groups, metrics
-from rewardloom.session import fresh_path
+from rewardloom.session import fresh_path, near_rows, stage
 from rewardloom.sources import logs
 
 SEED = 42
@@ -415,7 +415,8 @@ def distinct_prompts(spark: SparkSession, folder: str) -> DataFrame:
     first = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")
     )
-    return first.drop("digest").join(docs.select(F.col("doc_id").alias("first_id"), F.col("text").alias("prompt")), "first_id")
+    first = near_rows(stage(first.drop("digest"), "first-prompts"))
+    return docs.select(F.col("doc_id").alias("first_id"), F.col("text").alias("prompt")).join(first, "first_id").select("first_id", "rows", "prompt")
 
 
 @register(

@@ -1,8 +1,9 @@
 """Answer equivalence as columns: find the answer, bring it to a canonical form, compare.
 
 Supported forms: boxed answers with braces nested to any depth, ``$..$`` and ``\\(..\\)`` spans, fractions, decimals,
-percentages, thousands separators, unit words and spacing commands. Two answers agree when both have a number and the
-numbers agree, or when neither has one and the canonical texts agree. Symbolic algebra is out of scope: ``x+1`` and
+percentages, thousands separators, scientific notation, square roots of numbers, multiples of pi, the right side of an
+equation, unit words and spacing commands; tuples and sets are compared element by element. Two answers agree when both
+have a number and the numbers agree, or when neither has one and the canonical texts agree. Symbolic algebra is out of scope: ``x+1`` and
 ``1+x`` differ.
 
 Two readings of a text exist. ``EXPRESSION`` accepts any of the forms above and falls back to the last number of the
@@ -32,6 +33,12 @@ FRACTION_COMMANDS = r"\\[dtc]frac"
 FRACTION = r"\A([+-]?)\\frac\{(-?[0-9]+(?:\.[0-9]+)?)\}\{(-?[0-9]+(?:\.[0-9]+)?)\}\z"
 RATIO = r"\A([+-]?[0-9]+(?:\.[0-9]+)?)/([0-9]+(?:\.[0-9]+)?)\z"
 PERCENT = r"\A(" + PLAIN_NUMBER + r")\\?%\z"
+SCIENTIFIC = r"\A([+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+))(?:[eE]|(?:\\times|\\cdot)10\^\{?)([+-]?[0-9]{1,3})\}?\z"
+ROOT = r"\A([+-]?)([0-9]*(?:\.[0-9]+)?)\\sqrt\{?([0-9]+(?:\.[0-9]+)?)\}?\z"
+PI = r"\A([+-]?)(?:\\frac\{)?([0-9]*(?:\.[0-9]+)?)\\pi(?:(?:\}\{|/)([0-9]+)\}?)?\z"
+RIGHT_SIDE = r"\A[A-Za-z](?:_\{?[A-Za-z0-9]+\}?)?=([^=]+)\z"
+SHORT_FRACTIONS = ((r"\\frac([0-9])([0-9])", r"\\frac{$1}{$2}"), (r"\\frac([0-9])\{", r"\\frac{$1}{"), (r"\\frac(\{[^{}]*\})([0-9])", r"\\frac$1{$2}"))
+ELEMENTS = r"\A(\(|\[|\\?\{)([^()\[\]]*)(\)|\]|\})\z"
 ANNOUNCED = r"(?i)answer(?: is)?:? \$([^$]+)\$"
 SPAN = r"\$([^$]+)\$"
 NUMBER_RUN = r"[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
@@ -80,7 +87,20 @@ def canonical(answer: Column) -> Column:
     plain = F.regexp_replace(plain, WORD_COMMAND, "$1")
     plain = F.regexp_replace(plain, DEGREES, "")
     plain = F.regexp_replace(plain, FRACTION_COMMANDS, r"\\frac")
-    return F.regexp_replace(plain, r"\.\z", "")
+    for pattern, form in SHORT_FRACTIONS:
+        plain = F.regexp_replace(plain, pattern, form)
+    plain = F.regexp_replace(plain, r"\.\z", "")
+    return F.regexp_replace(plain, RIGHT_SIDE, "$1")
+
+
+def by_element(canon: Column) -> Column:
+    """A tuple, an interval or a set with every number in it in one form; the elements of a set in order."""
+    opening, body, closing = (F.regexp_extract(canon, ELEMENTS, i) for i in (1, 2, 3))
+    body = F.rtrim(body, F.lit("\\"))  # the one before a closing brace
+    elements = F.transform(F.split(body, ","), lambda e: let(number(e), lambda n: F.coalesce((n + F.lit(0.0)).cast("string"), e)))
+    elements = F.when(F.endswith(opening, F.lit("{")), F.array_sort(F.array_distinct(elements))).otherwise(elements)
+    written = F.concat(opening, F.array_join(elements, ","), closing)
+    return F.when(F.contains(canon, F.lit(",")) & canon.rlike(ELEMENTS), written).otherwise(canon)
 
 
 def number(canon: Column) -> Column:
@@ -96,9 +116,16 @@ def number(canon: Column) -> Column:
         .when(canon.rlike(FRACTION), F.try_divide(sign * group(FRACTION, 2), group(FRACTION, 3)))
         .when(canon.rlike(RATIO), F.try_divide(group(RATIO, 1), group(RATIO, 2)))
         .when(canon.rlike(PERCENT), group(PERCENT, 1) / F.lit(100.0))
+        .when(canon.rlike(SCIENTIFIC), F.concat(F.regexp_extract(canon, SCIENTIFIC, 1), F.lit("e"), F.regexp_extract(canon, SCIENTIFIC, 2)).try_cast("double"))
+        .when(canon.rlike(ROOT), _signed(canon, ROOT) * F.coalesce(group(ROOT, 2), F.lit(1.0)) * F.sqrt(group(ROOT, 3)))
+        .when(canon.rlike(PI), F.try_divide(_signed(canon, PI) * F.coalesce(group(PI, 2), F.lit(1.0)) * F.pi(), F.coalesce(group(PI, 3), F.lit(1.0))))
     )
 
 
+def _signed(canon: Column, pattern: str) -> Column:
+    return F.when(F.regexp_extract(canon, pattern, 1) == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
+
+
 def _first_reading(*candidates: tuple[Column, bool]) -> Column:
     """struct(canon, num) of the first candidate that gives one, null when none does.
 
@@ -142,5 +169,5 @@ def agree(answer: Column, gold: Column) -> Column:
     near = F.abs(answer["num"] - gold["num"]) <= F.lit(RELATIVE_TOLERANCE) * F.greatest(
         F.lit(1.0), F.abs(gold["num"])
     )
-    texts = answer["num"].isNull() & gold["num"].isNull() & (answer["canon"] == gold["canon"])
+    texts = answer["num"].isNull() & gold["num"].isNull() & (by_element(answer["canon"]) == by_element(gold["canon"]))
     return F.coalesce(F.when(answer["num"].isNotNull() & gold["num"].isNotNull(), near).otherwise(texts), F.lit(False))

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.functions.text import let, word_grams, words
-from rewardloom.session import stage
+from rewardloom.session import near_rows, stage
 
 GRAM_WORDS = 8
-BROADCAST_GRAMS = 2_000_000  # 16 bytes each: at most about 32 MB per executor
 
 
 def grams(text: Column, size: int = GRAM_WORDS, hashed: bool = False) -> Column:
@@ -36,14 +35,15 @@ def leaked_ids(train: DataFrame, held_out: DataFrame, row_id: str, text: str, si
     known = stage(
         held_out.select(F.explode(grams(F.col(text), size, hashed=True)).alias("gram")).distinct(), "held-out-grams"
     )
-    if known.count() <= BROADCAST_GRAMS:
-        known = F.broadcast(known)
-    hashes = train.select(row_id, F.explode(grams(F.col(text), size, hashed=True)).alias("gram"))
+    known = near_rows(known)
+    hashes = train.select(row_id, F.explode(F.array_distinct(grams(F.col(text), size, hashed=True))).alias("gram"))
     suspects = stage(hashes.join(known, "gram", "left_semi").select(row_id).distinct(), "leak-suspects")
     exact = held_out.select(F.explode(grams(F.col(text), size)).alias("gram")).distinct()
-    runs = train.join(suspects, row_id, "left_semi").select(row_id, F.explode(grams(F.col(text), size)).alias("gram"))
+    runs = train.join(near_rows(suspects), row_id, "left_semi").select(row_id, F.explode(grams(F.col(text), size)).alias("gram"))
     return runs.join(exact, "gram", "left_semi").select(row_id).distinct()
 
 
 def clean_rows(train: DataFrame, held_out: DataFrame, row_id: str, text: str, size: int = GRAM_WORDS) -> DataFrame:
-    return train.join(leaked_ids(train, held_out, row_id, text, size), row_id, "left_anti")
+    """Training rows that share no gram; up to two million leaked ids go to the texts, more meet them in a shuffle."""
+    leaked = stage(leaked_ids(train, held_out, row_id, text, size), "leaked")
+    return train.join(near_rows(leaked), row_id, "left_anti")

@@ -10,11 +10,13 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _LOCAL_DIRS: dict[str, str] = {}  # folders of local sessions that name none
 _ONE_MACHINE = re.compile(r"local(\[[^\]]*\])?")  # not local-cluster, whose executors share no folder with the driver
 _RUN: ContextVar[str | None] = ContextVar("run", default=None)  # folder of the run scope that is open
+NEAR_ROWS = 2_000_000  # keys of 16 bytes: about 32 MB per executor
 BYTES_PER_TASK = 128 * 1024 * 1024  # Spark's default size of one scan partition
 
 
@@ -89,6 +91,11 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def near_rows(keys: DataFrame) -> DataFrame:
+    """A staged table of keys, marked to be sent to the other side of a join while it has at most ``NEAR_ROWS`` rows."""
+    return F.broadcast(keys) if keys.count() <= NEAR_ROWS else keys
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread the rows of a small table with few row groups over the cores before work that is heavy per row.
 

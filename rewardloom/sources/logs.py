@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardloom.functions.text import strip
+from rewardloom.session import near_rows, stage
 
 LOG_SHARE = 0.1  # fixed value: share of batches or rows that are logged
 # Rules of the text files.
@@ -72,15 +73,16 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 def completions_table(scored: DataFrame, unique_prompts: bool = False) -> DataFrame:
     """``step, prompt, completion, reward``; with ``unique_prompts`` the first rollout of every prompt in a step.
 
-    First rows are found on (step, digest, id) alone with a map-side combined minimum; long texts are only filtered by
-    the ids that remain.
+    First rows are found on (step, digest, id) alone with a map-side combined minimum and written; up to two million of
+    them are sent to the texts, which then only pass a filter. More meet the texts in a shuffle join.
     """
     rows = scored
     if unique_prompts:
         first = scored.groupBy("step", F.sha2("prompt", 256).alias("_digest")).agg(
             F.min("rollout_id").alias("rollout_id")
         )
-        rows = scored.join(first.select("step", "rollout_id"), ["step", "rollout_id"], "left_semi")
+        first = near_rows(stage(first.select("step", "rollout_id"), "first-rollouts"))
+        rows = scored.join(first, ["step", "rollout_id"], "left_semi")
     return rows.select("rollout_id", F.col("step").cast("string").alias("step"), "prompt", "completion", "reward")
 
 

@@ -36,6 +36,15 @@ def test_equal_forms(spark):
         (r"\boxed{x+1}", "$x + 1$"),
         (r"\boxed{\text{none}}", r"\text{none}"),
         ("I think 12. No, 13", "13"),
+        ("5", "$x = 5$"),
+        ("0.5", r"\frac12"),
+        ("1000", "$1e3$"),
+        (r"\boxed{3.2\times 10^{4}}", "32000"),
+        ("2", r"\sqrt{4}"),
+        (r"\boxed{\frac{6\pi}{4}}", r"$1.5\pi$"),
+        (r"\boxed{(1, 2)}", "$(1.0,2)$"),
+        (r"\boxed{\{3, 1, 1\}}", r"$\{1,3.0\}$"),
+        (r"\boxed{[0, \frac{1}{2})}", "$[0,0.5)$"),
     ]
     assert verdicts(spark, pairs) == [1.0] * len(pairs)
 

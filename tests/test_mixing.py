@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from rewardloom import session
 from rewardloom.config import MixConfig, SamplingConfig, TaskSource
 from rewardloom.operators import expand, leak, mix, rank
 from rewardloom.operators.rank import hash_key, id_key, keep_first, with_rank
@@ -185,7 +186,7 @@ def test_leaks_found_over_whole_texts(spark):
 
 
 def test_leaks_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(leak, "BROADCAST_GRAMS", 0)
+    monkeypatch.setattr(session, "NEAR_ROWS", 0)
     docs = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "z")], "id bigint, text string")
     held = spark.createDataFrame([("b c d e f g h i",)], "text string")
     assert [r.id for r in leak.leaked_ids(docs, held, "id", "text").collect()] == [1]

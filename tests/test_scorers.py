@@ -221,6 +221,7 @@ HOSTILE = [
     " " * 300_000 + "x" + " " * 300_000,
     "```python\n" * 20_000,
     "\\boxed{" * 20_000 + "}" * 20_000,
+    "<answer>(" + "1," * 50_000 + "</answer>",
     "</answer>\n" + "<answer>" * 25_000,
     "<reasoning>" + "</reasoning><answer>" * 10_000 + "\n</answer>",
     "<reasoning>" + "</reasoning> " * 20_000 + "\n" * 50_000 + "<answer>" * 20_000 + "\n</answer>",
@@ -228,14 +229,14 @@ HOSTILE = [
 
 
 def test_hostile_texts_neither_overflow_nor_stall(evaluate):
-    from rewardloom.functions.answers import read_answer
+    from rewardloom.functions.answers import agree, read_answer
     from rewardloom.functions.equations import answer_line
 
     builders = [
         scorers.format_reward, scorers.tag_count_reward, scorers.reasoning_steps_reward, scorers.countdown_format_reward,
         scorers.code_format_reward, scorers.strict_format_reward, scorers.soft_format_reward, scorers.xml_count_reward,
         scorers.repetition_penalty_reward, scorers.extract_answer, scorers.last_answer, scorers.extract_code,
-        scorers.normalized_text, answer_line, read_answer,
+        scorers.normalized_text, answer_line, read_answer, lambda t: agree(read_answer(t), read_answer(t, gold=True)),
     ]
     for build in builders:
         began = time.perf_counter()
