@@ -36,6 +36,10 @@ HEADLINE = (
     "batch_token_means",
     "reflection_phrases",
     "completions_table_unique_prompts",
+    "distinct_prompts",
+    "leak_free_rows",
+    "join_prompt_completion",
+    "stream_scores",
 )
 
 

@@ -43,7 +43,10 @@ def id_key(column: Column | str, bits: int = 64) -> Column:
 
 
 def with_rank(df: DataFrame, key: Column, name: str = "rank", total: str | None = None) -> DataFrame:
-    """Zero-based position of every row in key order, and the number of rows under the name ``total``."""
+    """Zero-based position of every row in key order, and the number of rows under the name ``total``.
+
+    For keys of ``hash_key``, whose first digits spread; ids in order would meet under few prefixes.
+    """
     keyed = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, HEX_PER_LEVEL))
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # At most 65,536 rows: one task may sum them, and broadcasting them is safe whatever the table holds.
