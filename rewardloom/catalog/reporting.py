@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.catalog.registry import literal, register, table, text_table
+from rewardloom.catalog.registry import SQL, literal, register, table, text_table
 from rewardloom.catalog.rewards import sql_once, sql_round, sql_strip
 from rewardloom.catalog.standins import (
     WITH_LINES,
@@ -343,6 +343,14 @@ def rollout_log(spark: SparkSession, folder: str) -> DataFrame:
     return logs.rollout_log(rows, stamp, SEED)
 
 
+@register("rollout_log_file", f"SELECT value FROM ({SQL['rollout_log']}) logged")
+def rollout_log_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The rollout log written as text and read back block by block."""
+    path = fresh_path(spark, "rollout-log")
+    logs.write_text(rollout_log(spark, folder), path)
+    return logs.read_text(spark, path, logs.ROLLOUT_MARK)
+
+
 @register(
     "completion_samples",
     f"{WITH_ROLLOUTS} SELECT rollout_id, '<think>' || completion AS value FROM rollouts WHERE {_sampled_sql('rollout_id', 'sample')}",
@@ -430,6 +438,14 @@ def log_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return logs.log_blocks(_prompted(spark, folder), F.col("rollout_id") % 128 + 1)
 
 
+@register("log_blocks_file", f"SELECT value FROM ({SQL['log_blocks']}) logged")
+def log_blocks_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The Markdown log written as text and read back block by block."""
+    path = fresh_path(spark, "log-blocks")
+    logs.write_text(log_blocks(spark, folder), path)
+    return logs.read_text(spark, path, logs.BLOCK_MARK)
+
+
 @register("console_sample", f"{_PROMPTED} SELECT * FROM prompted ORDER BY rollout_id LIMIT 5")
 def console_sample(spark: SparkSession, folder: str) -> DataFrame:
     """The first rows of a step's table, for the console."""

@@ -44,6 +44,16 @@ def write_text(blocks: DataFrame, path: str) -> None:
     blocks.select("value").write.mode("append").text(path)
 
 
+ROLLOUT_MARK = "\n" + HEAVY_RULE + "\n["
+BLOCK_MARK = "### Sample "
+
+
+def read_text(spark: SparkSession, path: str, mark: str) -> DataFrame:
+    """The blocks of a log in which each block begins with ``mark``."""
+    pieces = spark.read.option("lineSep", mark).text(path).where(F.col("value") != "")
+    return pieces.select(F.concat(F.lit(mark), F.regexp_replace("value", r"(?d)\n\z", "")).alias("value"))
+
+
 # ---- completion samples ---------------------------------------------------------------------------------------
 
 
