@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import sys
 from array import array
+from types import ModuleType
 
 #: Characters that Python takes for white space and the tokenizers' patterns do not.
 _ODD = re.compile("[\x1c-\x1f]")
 _WITH_SPACE = re.compile(r"\s*\S+|\s+")
 _WITH_SPACE_ODD = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
 _NO_SPACE_ODD = re.compile("[\\S\x1c-\x1f]+")
-REMEMBERED = 300_000  # chunks whose ids a task keeps
+MARKS = frozenset(",.;:!?")
+REMEMBERED = 450_000  # chunks whose ids a worker keeps, and as many older ones
 LONGEST = 48  # code points of a chunk that is kept
 
 
@@ -22,29 +25,84 @@ def vocabulary_path(name: str) -> str:
 
 
 class _Chunks(dict):
-    """Ids of a chunk as bytes, made by the library's own steps the first time it is asked for."""
+    """Ids of a chunk as bytes, made the first time it is asked for.
+
+    A chunk that is one run of letters, perhaps after a space, is one piece for both kinds of tokenizer, and a
+    punctuation mark after it is the next piece; such chunks skip the library's pre-tokenizer, whose letters-to-symbols
+    table is asked for once per character. Every other chunk goes through the library's own steps.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
         self._normalizer, self._pre, self._model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
+        self._older: dict[str, bytes] = {}
+        self._symbols = _Symbols(tokenizer.pre_tokenizer)
 
     def __missing__(self, chunk: str) -> bytes:
-        text = self._normalizer.normalize_str(chunk) if self._normalizer else chunk
-        pieces = self._pre.pre_tokenize_str(text)
-        ids = array("I", [token.id for piece, _ in pieces for token in self._model.tokenize(piece)]).tobytes()
+        older = self._older
+        ids = older.get(chunk)
+        if ids is None:
+            if chunk[-1] in MARKS and self._letters(chunk[:-1]):
+                body = chunk[:-1]
+                seen = body in self or body in older
+                ids = self[body] + self[chunk[-1]]
+                if not seen:  # of a word that is met for the first time one form is kept
+                    return ids
+            else:
+                ids = self._make(chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self._older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
 
+    def _normal(self, text: str) -> str:
+        if self._normalizer is None:
+            return text
+        return text.lower() if text.isascii() else self._normalizer.normalize_str(text)
+
+    def _letters(self, chunk: str) -> bool:
+        """Whether the chunk is a run of letters, perhaps after a space, as the patterns see it."""
+        text = self._normal(chunk)
+        return (text[1:] if text[:1] == " " else text).isalpha()
+
+    def _make(self, chunk: str) -> bytes:
+        text = self._normal(chunk)
+        if (text[1:] if text[0] == " " else text).isalpha():
+            return array("I", [token.id for token in self._model.tokenize(text.translate(self._symbols))]).tobytes()
+        text = self._normalizer.normalize_str(chunk) if self._normalizer else chunk
+        pieces = self._pre.pre_tokenize_str(text)
+        return array("I", [token.id for piece, _ in pieces for token in self._model.tokenize(piece)]).tobytes()
+
+
+class _Symbols(dict):
+    """The symbols a pre-tokenizer writes for a character, by code point; a table for ``str.translate``."""
+
+    def __init__(self, pre_tokenizer):
+        super().__init__()
+        self._pre = pre_tokenizer
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(piece for piece, _ in self._pre.pre_tokenize_str(chr(code)))
+        return self[code]
+
+
+def kept_encoder(path: str, spaces: bool) -> Encoder:
+    """The encoder of this Python worker, so that the tasks it runs one after the other share what they remember."""
+    kept = sys.modules.setdefault("_rewardloom_encoders", ModuleType("_rewardloom_encoders")).__dict__
+    key = f"{path}|{spaces}"
+    if key not in kept:
+        kept[key] = Encoder(path, spaces)
+    return kept[key]
+
 
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers, the same as ``Tokenizer.encode``.
 
     Both kinds of tokenizer used here cut every text before white space that follows other text, and no rule looks
     across such a cut. So a text is cut there and each distinct chunk goes through the library's normalizer,
-    pre-tokenizer and model once per task, which saves most of the work. The strings of special tokens are ordinary
+    pre-tokenizer and model once, which saves most of the work. The strings of special tokens are ordinary
     text. ``spaces``: whether white space belongs to the chunk after it, or is dropped by the tokenizer.
     """
 

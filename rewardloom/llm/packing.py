@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.llm.common import arrow_batch, id_salt, whole_text, with_group_rank
-from rewardloom.llm.encoder import Encoder, vocabulary_path
+from rewardloom.llm.encoder import kept_encoder, vocabulary_path
 from rewardloom.session import stage
 
 CAPACITY = 4096
@@ -30,7 +30,7 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, step = Encoder(path, spaces=False), 4 * capacity
+        encoder, step = kept_encoder(path, spaces=False), 4 * capacity
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardloom.llm.common import arrow_batch, scan_tasks, whole_text
-from rewardloom.llm.encoder import Encoder, vocabulary_path
+from rewardloom.llm.encoder import kept_encoder, vocabulary_path
 from rewardloom.session import fresh_path, stage
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -44,7 +44,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(vocabulary, spaces=True)
+        encoder = kept_encoder(vocabulary, spaces=True)
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         end = np.array([end_id], "<u4").tobytes()
         ids, repeats, counts, payload = [], [], [], bytearray()
