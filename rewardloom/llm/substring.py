@@ -18,7 +18,7 @@ WINDOW = 50  # words of a passage
 GRAM = 12  # words of an anchor
 SPREAD = WINDOW - GRAM  # an anchor lies in windows that start up to this many words before it
 CHUNK = 4096  # words of a reference shard's part of its document
-SHARE = 4096  # anchor occurrences that one copy of a reference shard serves
+SHARE = 512  # anchor occurrences that one copy of a reference shard serves
 NO_ID = -(1 << 63)  # a null id is smaller than any other
 
 _ANCHORS = "doc_id long, tie long, place int, anchor long"
