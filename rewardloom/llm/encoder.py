@@ -102,19 +102,33 @@ class Encoder:
 
     Both kinds of tokenizer used here cut every text before white space that follows other text, and no rule looks
     across such a cut. So a text is cut there and each distinct chunk goes through the library's normalizer,
-    pre-tokenizer and model once, which saves most of the work. The strings of special tokens are ordinary
-    text. ``spaces``: whether white space belongs to the chunk after it, or is dropped by the tokenizer.
+    pre-tokenizer and model once, which saves most of the work. The strings of the file's added tokens have ids of
+    their own, and the text between them is encoded part by part. A file whose added tokens ask for more than their
+    plain string is left to the library. ``spaces``: whether white space belongs to the chunk after it, or is dropped
+    by the tokenizer.
     """
 
     def __init__(self, path: str, spaces: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self._spaces = spaces
         self._chunks = _Chunks(self.tokenizer)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self._plain = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self._added = {t.content: array("I", [k]).tobytes() for k, t in added.items()}
+        self._cuts = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
 
     def encode(self, text: str) -> bytes:
+        if not self._plain:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        for string in self._added:
+            if string in text:
+                parts = self._cuts.split(text)  # every second part is an added token
+                return b"".join([self._added[p] if k % 2 else self._ordinary(p) for k, p in enumerate(parts)])
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         odd = _ODD.search(text)
         if self._spaces:
             chunks = (_WITH_SPACE_ODD if odd else _WITH_SPACE).findall(text)

@@ -17,6 +17,22 @@ def test_encoder_gives_the_ids_of_the_library():
             assert np.frombuffer(mine.encode(text), "<u4").tolist() == whole.ids, ascii(text)
 
 
+def test_added_tokens_have_their_own_ids(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    rng = random.Random(2)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "a", " ", "  ", "\n", "b's", "é", "<|ENDOFTEXT|>", "\x1c", "endoftext"]
+    texts = ["a <|endoftext|> b", "", "<|endoftext|>"] + ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    odd = Tokenizer.from_file(encoder.vocabulary_path("byte_bpe_50k.json"))
+    odd.add_tokens([AddedToken("endoftext", lstrip=True, normalized=True), "b's"])
+    odd.save(str(tmp_path / "odd.json"))
+    paths = [(encoder.vocabulary_path("byte_bpe_50k.json"), True), (encoder.vocabulary_path("word_bpe_49k.json"), False), (str(tmp_path / "odd.json"), True)]
+    for path, spaces in paths:
+        mine, library = encoder.Encoder(path, spaces), Tokenizer.from_file(path)
+        for text in texts:
+            assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_encoder_forgets_and_stays_right(monkeypatch):
     monkeypatch.setattr(encoder, "REMEMBERED", 5)
     mine = encoder.Encoder(encoder.vocabulary_path("byte_bpe_50k.json"), True)
