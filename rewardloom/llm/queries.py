@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardloom.llm import chatparts, contentsort, fingerprint, language, mixture, packing, simhash, substring, tokenfile, warc
+from rewardloom.llm import chatparts, contentsort, fingerprint, language, merkle, mixture, packing, simhash, substring, tokenfile, warc
 from rewardloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_language": lambda spark, folder: language.predict(documents(spark, folder)),
     "op9_best_fit_packing": lambda spark, folder: packing.pack(documents(spark, folder)),
     "op10_warc_derivatives": lambda spark, folder: warc.page_derivatives(spark.read.parquet(f"{folder}/pages.parquet")),
+    "op11_merkle_manifest": lambda spark, folder: merkle.manifest_report(documents(spark, folder)),
 }
 
 SQL: dict[str, str] = {
     "op3_source_mixing": mixture.MIX_SQL,
     "op6_exact_dedup": contentsort.DEDUP_SQL,
     "op7_chat_parts": chatparts.CHAT_SQL,
+    "op11_merkle_manifest": merkle.MANIFEST_SQL,
 }

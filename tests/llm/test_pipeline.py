@@ -39,7 +39,7 @@ def test_run_and_registration(spark):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert out.count() > 0
     names = entry.queries()
-    assert "pipeline" in names and {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert "pipeline" in names and {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables are not here")
