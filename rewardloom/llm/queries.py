@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardloom.llm import chatparts, contentsort, fingerprint, language, merkle, mixture, packing, simhash, substring, tokenfile, warc
+from rewardloom.llm import alignment, chatparts, contamination, contentsort, fingerprint, language, merkle, mixture, packing, simhash, substring, tokenfile, warc
 from rewardloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": lambda spark, folder: packing.pack(documents(spark, folder)),
     "op10_warc_derivatives": lambda spark, folder: warc.page_derivatives(spark.read.parquet(f"{folder}/pages.parquet")),
     "op11_merkle_manifest": lambda spark, folder: merkle.manifest_report(documents(spark, folder)),
+    "op12_benchmark_contamination": lambda spark, folder: contamination.contamination_report(
+        documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")
+    ),
+    "op13_tokenizer_alignment": lambda spark, folder: alignment.align(documents(spark, folder)),
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +32,5 @@ SQL: dict[str, str] = {
     "op6_exact_dedup": contentsort.DEDUP_SQL,
     "op7_chat_parts": chatparts.CHAT_SQL,
     "op11_merkle_manifest": merkle.MANIFEST_SQL,
+    "op12_benchmark_contamination": contamination.CONTAMINATION_SQL,
 }
