@@ -15,7 +15,6 @@ import hashlib
 import heapq
 import re
 import sys
-from array import array
 from collections.abc import Iterator
 from types import ModuleType
 
@@ -33,7 +32,10 @@ VOCABULARY_B = "piece_bpe_32k.model"
 RECORDS = 2_000_000  # pair-document records a run gathers before it is cut
 DOCUMENTS = 50_000  # documents a run gathers at most
 MERGED = 1 << 15  # pairs of a run that are unpacked at once while heads are merged
-REMEMBERED = 24 << 20  # bytes of chunks, about, that a worker keeps
+TOGETHER = 1 << 20  # characters of the documents that are aligned at once, or more in one document
+REMEMBERED = 250_000  # stretches of text that a worker keeps, some 300 bytes each
+# Fixed value: where byte-level vocabularies of this kind cut a text.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _RUN = "run long, docs binary, radix array<int>, heads array<binary>, records array<binary>"
 _COUNTED = "run long, radix int, found binary"
 _DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -51,37 +53,14 @@ def _open(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-class Chunk:
-    """What a stretch of bytes that both tokenizers cut on its own gives: tokens, groups and linked pairs."""
-
-    __slots__ = ("exact", "groups", "n_a", "n_b", "n_groups", "pairs")
-
-    def __init__(self, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes], whole: bytes):
-        self.exact = b"".join(bytes_a) == whole and b"".join(bytes_b) == whole
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), 0
-        pairs, groups = array("q"), []
-        if self.exact:
-            ends_a, ends_b = np.cumsum([*map(len, bytes_a)]).tolist(), np.cumsum([*map(len, bytes_b)]).tolist()
-            i = j = first_a = first_b = 0
-            while i < len(a):
-                pairs.append(b[j] << 32 | a[i])
-                if ends_a[i] == ends_b[j]:
-                    i, j = i + 1, j + 1
-                    groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                    first_a, first_b = i, j
-                elif ends_a[i] < ends_b[j]:
-                    i += 1
-                else:
-                    j += 1
-        self.pairs, self.groups, self.n_groups = pairs, ";".join(groups), len(groups)
-
-
 class Aligner:
-    """Chunks of a text that starts with a space, kept while they fit ``REMEMBERED``.
+    """Tokens, groups and linked pairs of texts, worked out once per stretch that both tokenizers cut on its own.
 
-    A text is cut before every space that follows something other than white space. The first tokenizer starts a piece
-    there, and the second has no piece with a space behind another character, so neither has a token across a cut. If
-    that does not hold for a model, or a chunk's bytes do not come back, the text is taken whole.
+    A space is put before a text, and the whole is cut before every space that follows something other than white
+    space. The first tokenizer starts a piece there, and the second has no piece with a space behind another character,
+    so neither has a token across a cut. What a stretch gives is kept in arrays for the next ``REMEMBERED`` of them;
+    those that are new in some documents are encoded together. Where the second model does have such pieces, the first
+    file is of another kind, or a stretch's bytes do not come back, the text is one stretch.
     """
 
     _CUT = re.compile(r"(?<=\S)(?= )")
@@ -100,47 +79,140 @@ class Aligner:
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         single = re.compile("<0x([0-9A-F]{2})>")
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := single.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
-        self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.kept: dict[str, Chunk] = {}
-        self.size = 0
-
-    def chunk(self, text: str) -> Chunk:
-        """``text`` starts with a space, which the second tokenizer adds by itself."""
-        a = self.a.encode(text, add_special_tokens=False).ids
-        b = self.b.encode(text[1:], num_threads=1)
-        return Chunk(a, b, [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b], text.encode("utf-8", "surrogatepass"))
-
-    def __call__(self, text: str) -> list[Chunk]:
-        """The chunks of a space and the text; none where the tokens' bytes differ from it."""
-        if not text:
-            return []
-        whole = " " + text
-        found = []
-        if self.cuts:
-            parts = whole.split(" ")
-            words = parts[1:]
-            # Most texts have single spaces only; otherwise white space decides where a chunk may start.
-            rough = any(not w or w[-1].isspace() for w in words)
-            kept = self.kept
-            for text in self._CUT.split(whole) if rough else [" " + w for w in words]:
-                chunk = kept.get(text)
-                if chunk is None:
-                    chunk = self.chunk(text)
-                    self.remember(text, chunk)
-                found.append(chunk)
-            if all(c.exact for c in found):
-                return found
-        chunk = self.chunk(whole)
-        return [chunk] if chunk.exact else []
-
-    def remember(self, text: str, chunk: Chunk) -> None:
-        size = 400 + len(text) + 8 * len(chunk.pairs) + len(chunk.groups)
-        if size < 4096:
-            if self.size + size > REMEMBERED:
-                self.kept.clear()
-                self.size = 0
-            self.kept[text] = chunk
-            self.size += size
+        self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.names = [str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self._ranked = self._ranks()
+        self.cuts = self._ranked is not None and not any(re.search("[^▁]▁", p) for p in pieces)
+        self.forget()
+
+    def _ranks(self):
+        """The same byte-level merges in a faster library, where the file is of the plain kind and the results agree."""
+        import json
+
+        import tiktoken
+
+        kind = json.loads(self.a.to_str())
+        pre, special = kind["pre_tokenizer"] or {}, {t["id"] for t in kind["added_tokens"]}
+        if kind["model"]["type"] != "BPE" or kind["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space"):
+            return None
+        ranks = {token: k for k, token in enumerate(self.bytes_a) if k not in special}
+        if any(bytes([k]) not in ranks for k in range(256)):
+            return None
+        found = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        probe = " It's 1,234 words; ñandú  Straße 漢字\t😀 of the<|endoftext|> x_y\r\n antidisestablishmentarianism \u00a0\x1c."
+        return found if found.encode_ordinary(probe) == self.a.encode(probe, add_special_tokens=False).ids else None
+
+    def encode_a(self, text: str) -> list[int]:
+        return self._ranked.encode_ordinary(text) if self._ranked else self.a.encode(text, add_special_tokens=False).ids
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.n_a, self.n_b, self.n_groups, self.n_pairs = (np.zeros(0, np.int64) for _ in range(4))
+        self.pairs = np.zeros(0, np.int64)
+
+    def stretches(self, text: str) -> list[str]:
+        """The stretches of a text, each without the space it starts with."""
+        if not self.cuts:
+            return [text]
+        words = text.split(" ")
+        # Most texts have single spaces only; otherwise white space decides where a stretch may start.
+        if any([not w or w[-1].isspace() for w in words]):
+            return [w[1:] for w in self._CUT.split(" " + text)]
+        return words
+
+    def learn(self, new: list[str]) -> None:
+        """Add new stretches. They are aligned as one text, as both tokenizers end a token where each of them ends."""
+        raw = [(" " + w).encode("utf-8", "surrogatepass") for w in new]
+        many_b = self.b.encode(new, num_threads=1)
+        if not self.cuts or any(w[-1:].isspace() or not w for w in new):
+            many_a = [self.encode_a(" " + w) for w in new]
+            count_a = np.array([len(x) for x in many_a], np.int64)
+            a = np.fromiter((k for x in many_a for k in x), np.int64, int(count_a.sum()))
+        else:
+            a = np.array(self.encode_a(" " + " ".join(new)), np.int64)
+            ends = np.cumsum(self.length_a[a])
+            count_a = np.diff(np.r_[0, np.searchsorted(ends, np.cumsum([len(x) for x in raw])) + 1])
+        count_b = np.array([len(x) for x in many_b], np.int64)
+        b = np.fromiter((k for x in many_b for k in x), np.int64, int(count_b.sum()))
+        exact = np.ones(len(new), bool)
+        bytes_a, bytes_b = ([t[k] for k in ids.tolist()] for t, ids in ((self.bytes_a, a), (self.bytes_b, b)))
+        whole = b"".join(raw)
+        if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole or self._ends(self.length_b[b], count_b, raw):
+            at_a = at_b = 0
+            for k, (n, m, text) in enumerate(zip(count_a.tolist(), count_b.tolist(), raw)):
+                exact[k] = b"".join(bytes_a[at_a : at_a + n]) == text and b"".join(bytes_b[at_b : at_b + m]) == text
+                at_a, at_b = at_a + n, at_b + m
+            a, b = a[np.repeat(exact, count_a)], b[np.repeat(exact, count_b)]
+        sizes = np.where(exact, [len(x) for x in raw], 0)
+        self._add(new, exact, a, b, np.where(exact, count_a, -1), np.where(exact, count_b, 0), np.cumsum(sizes), sizes > 0)
+
+    @staticmethod
+    def _ends(lengths: np.ndarray, counts: np.ndarray, raw: list[bytes]) -> bool:
+        """Whether some stretch's tokens have another length than the stretch."""
+        total = np.r_[0, np.cumsum(lengths)]
+        return bool((np.diff(np.r_[0, total[np.cumsum(counts)]]) != [len(x) for x in raw]).any())
+
+    def _add(self, new, exact, a, b, count_a, count_b, stops, some) -> None:
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        borders = np.union1d(ends_a, ends_b)  # between two of these lies the overlap of one pair
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        pairs = b[np.searchsorted(ends_b, borders)] << 32 | a[np.searchsorted(ends_a, borders)]
+        edges = stops[some]
+        per_chunk = np.zeros((2, len(new)), np.int64)
+        for row, cut in zip(per_chunk, (borders, common)):
+            row[some] = np.diff(np.r_[0, np.searchsorted(cut, edges, "right")])
+        # Tokens in order of group, side and place, each with the mark that follows it.
+        group = np.concatenate([np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)])
+        last = np.concatenate([np.isin(ends_a, common, assume_unique=True), np.isin(ends_b, common, assume_unique=True)])
+        side = np.repeat([0, 1], [len(a), len(b)])
+        order = np.argsort(group * 2 + side, kind="stable")
+        names = self.names
+        marks = [",|", ",;"]
+        parts = [names[k] + marks[s][e] for k, s, e in zip(np.concatenate([a, b])[order].tolist(), side[order].tolist(), last[order].astype(int).tolist())]
+        text = "".join(parts)
+        lengths = np.cumsum([len(p) for p in parts])
+        begin = 0
+        tokens = np.cumsum(np.where(exact, count_a + count_b, 0))
+        for n in tokens.tolist():
+            end = int(lengths[n - 1]) if n else 0
+            self.groups.append(text[begin:end])
+            begin = end
+        self.known.update(zip(new, range(len(self.n_a), len(self.n_a) + len(new))))
+        self.n_a, self.n_b = np.r_[self.n_a, count_a], np.r_[self.n_b, count_b]
+        self.n_pairs, self.n_groups = np.r_[self.n_pairs, per_chunk[0]], np.r_[self.n_groups, per_chunk[1]]
+        self.pairs = np.r_[self.pairs, pairs]
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """Per text (n_a, n_b, n_groups, n_links, digest of groups); and of all linked pairs the text's number and the
+        pair, as B id * 2**32 + A id."""
+        cut = [self.stretches(t) if t else [] for t in texts]
+        new = set().union(*cut).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED and self.known:
+            self.forget()
+            new = set().union(*cut)
+        if new:
+            self.learn(sorted(new))
+        ids = [np.fromiter(map(self.known.__getitem__, c), np.int64, len(c)) for c in cut]
+        # A text with a stretch that does not come back is taken whole, and if that does not come back either, is empty.
+        lossy = [k for k, i in enumerate(ids) if len(i) and (self.n_a[i] < 0).any()]
+        if lossy:
+            wholes = sorted({texts[k] for k in lossy} - self.known.keys())
+            if wholes:
+                self.learn(wholes)
+            for k in lossy:
+                at = self.known[texts[k]]
+                ids[k] = np.array([at] if self.n_a[at] >= 0 else [], np.int64)
+        every = np.concatenate([*ids, np.zeros(0, np.int64)])
+        owner = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+        sums = [np.bincount(owner, weights=t[every], minlength=len(ids)).astype(np.int64) for t in (self.n_a, self.n_b, self.n_groups, self.n_pairs)]
+        groups = self.groups
+        digests = [hashlib.sha256("".join([groups[k] for k in i.tolist()])[:-1].encode()).hexdigest() if len(i) else "" for i in ids]
+        n = self.n_pairs[every]
+        begins = (np.cumsum(self.n_pairs) - self.n_pairs)[every]
+        at = np.arange(int(n.sum())) + np.repeat(begins - (np.cumsum(n) - n), n)
+        rows = list(zip(*(x.tolist() for x in sums), digests))
+        return rows, np.repeat(owner, n), self.pairs[at]
 
 
 def _byte_of_symbol() -> dict[str, int]:
@@ -161,23 +233,25 @@ def kept_aligner(path_a: str, path_b: str) -> Aligner:
 class _Run:
     """Documents and pair-document records that a task holds."""
 
-    def __init__(self):
+    def __init__(self, size_a: int):
+        self.size_a = size_a
         self.rows: list[tuple] = []
         self.keys: list[np.ndarray] = []
         self.slots: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, doc_id: int | None, chunks: list[Chunk]) -> None:
-        groups = hashlib.sha256(";".join([c.groups for c in chunks]).encode()).hexdigest() if chunks else ""
-        pairs = np.frombuffer(b"".join([c.pairs for c in chunks]), np.int64)
-        n = [sum([getattr(c, name) for c in chunks]) for name in ("n_a", "n_b", "n_groups")]
-        keys, times = np.unique(pairs, return_counts=True)
-        self.keys.append(keys)
-        self.slots.append(np.full(len(keys), len(self.rows), np.int32))
+    def add(self, ids: list[int | None], found: tuple[list[tuple], np.ndarray, np.ndarray]) -> None:
+        """Documents, and a record per document and distinct pair."""
+        rows, owner, pairs = found
+        # One number per record: document, B id, A id.
+        packed, times = np.unique((owner << 42) + (pairs >> 32) * self.size_a + (pairs & 0xFFFFFFFF), return_counts=True)
+        pair = packed & (1 << 42) - 1
+        self.keys.append(pair // self.size_a << 32 | pair % self.size_a)
+        self.slots.append(((packed >> 42) + len(self.rows)).astype(np.int32))
         self.times.append(times.astype(np.int32))
-        self.rows.append((doc_id, *n, len(pairs), 0, 0, groups))
-        self.held += len(keys)
+        self.rows += [(doc_id, *row[:4], 0, 0, row[4]) for doc_id, row in zip(ids, rows)]
+        self.held += len(pair)
 
     def cut(self, run: int, radixes: int) -> pa.RecordBatch:
         """The run: documents, and per radix part head and records."""
@@ -209,13 +283,21 @@ def write_runs(docs: DataFrame, path_a: str, path_b: str, radixes: int) -> DataF
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        align, number, held = kept_aligner(path_a, path_b), TaskContext.get().partitionId() << 32, _Run()
+        align, number = kept_aligner(path_a, path_b), TaskContext.get().partitionId() << 32
+        held, ids, texts, size = _Run(len(align.bytes_a)), [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                held.add(doc_id, align(text.as_py()))
-                if held.held >= RECORDS or len(held.rows) >= DOCUMENTS:
-                    yield held.cut(number, radixes)
-                    number, held = number + 1, _Run()
+                ids.append(doc_id)
+                texts.append(text.as_py())
+                size += len(texts[-1] or "")
+                if size >= TOGETHER or len(texts) >= TOGETHER >> 6:
+                    held.add(ids, align(texts))
+                    ids, texts, size = [], [], 0
+                    if held.held >= RECORDS or len(held.rows) >= DOCUMENTS:
+                        yield held.cut(number, radixes)
+                        number, held = number + 1, _Run(len(align.bytes_a))
+        if texts:
+            held.add(ids, align(texts))
         if held.rows:
             yield held.cut(number, radixes)
 

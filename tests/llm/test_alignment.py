@@ -90,11 +90,11 @@ def test_awkward_rows_over_many_runs(spark, tokenizers, hard, nothing, monkeypat
     check(spark, tokenizers, rows)
     assert alignment.align(nothing).collect() == []
     align = alignment.Aligner(vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
-    held, runs = alignment._Run(), []
+    held, runs = alignment._Run(len(align.bytes_a)), []
     for doc_id, text, *_ in rows:
-        held.add(doc_id, align(text or ""))
+        held.add([doc_id], align([text]))
         if held.held > 300:
-            runs, held = [*runs, held.cut(len(runs), 5)], alignment._Run()
+            runs, held = [*runs, held.cut(len(runs), 5)], alignment._Run(len(align.bytes_a))
     assert len(runs) > 10
     df = spark.createDataFrame([r for b in runs for r in b.to_pylist()], alignment._RUN)
     monkeypatch.setattr(alignment, "MERGED", 7)
@@ -114,10 +114,23 @@ def test_awkward_rows_over_many_runs(spark, tokenizers, hard, nothing, monkeypat
 
 
 def test_forgotten_chunks_change_nothing(spark, tokenizers, monkeypatch):
-    monkeypatch.setattr(alignment, "REMEMBERED", 5000)
+    monkeypatch.setattr(alignment, "REMEMBERED", 10)
     align = alignment.Aligner(vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
-    text = " ".join(f"word{k % 23}, and" for k in range(200))
-    want = expected(tokenizers, [text])[0]
-    for _ in range(2):
-        chunks = align(text)
-        assert sum(c.n_a for c in chunks) == want[0] and sum(len(c.pairs) for c in chunks) == want[3]
+    texts = [" ".join(f"word{k % 23 + j}, and" for k in range(200)) for j in range(5)] + odd_texts()[:50]
+    want = [(*w[:4], w[6]) for w in expected(tokenizers, texts)]
+    assert [align([t])[0][0] for t in texts + texts] == want + want
+    assert align(texts)[0] == want
+
+
+def test_other_files_take_the_library(tokenizers, tmp_path):
+    """A first tokenizer that is not of the plain byte-level kind, and a text that ends every way."""
+    from tokenizers import pre_tokenizers
+
+    a = tokenizers[0].from_file(vocabulary_path("byte_bpe_50k.json"))
+    a.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), a.pre_tokenizer])
+    a.save(str(tmp_path / "digits.json"))
+    align = alignment.Aligner(str(tmp_path / "digits.json"), vocabulary_path("piece_bpe_32k.model"))
+    assert align._ranked is None
+    a.encode_special_tokens = True
+    texts = ["in 1984 it was 12,345", "a  b\n", " x ", "1"]
+    assert align(texts)[0] == [(*w[:4], w[6]) for w in expected((a, tokenizers[1]), texts)]
