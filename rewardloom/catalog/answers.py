@@ -10,8 +10,9 @@ from rewardloom.catalog.registry import register, table
 from rewardloom.catalog.rewards import sql_round
 from rewardloom.catalog.standins import WITH_ROLLOUTS, rollouts
 from rewardloom.config import RewardConfig
+from rewardloom.functions import algebra
 from rewardloom.functions import answers as A
-from rewardloom.functions.text import round6
+from rewardloom.functions.text import between, round6
 from rewardloom.plans.scoring import score
 
 # ---- the same reading in SQL: one row per candidate, canonical form and number in steps ------------------------
@@ -241,3 +242,57 @@ def answer_equivalence_forms(spark: SparkSession, folder: str) -> DataFrame:
     made = made.selectExpr("l_orderkey", "l_linenumber", "form", f"{side(0)} AS gold", f"{side(1)} AS answer")
     verdict = A.agree(A.read_answer(F.col("answer")), A.read_answer(F.col("gold"), gold=True))
     return made.select("l_orderkey", "l_linenumber", "form", verdict.alias("correct"))
+
+
+# Gold and answer per algebraic form, made from two numbers of the row; the last entry says when they agree.
+_ALGEBRA = (
+    ("concat('$', bs, 'frac{', a, bs, 'sqrt{3}}{', b, '}$')", "concat(bs, 'boxed{', b, bs, 'sqrt{3}/', a, '}')", "a = b"),
+    ("concat('$', a, bs, 'frac{1}{2}$')", "concat('It is ', b, '.5')", "a = b"),
+    ("concat('$2^{', 10 * a, '}$')", "concat(bs, 'boxed{4^{', 5 * b, '}}')", "a = b"),
+    ("concat('$(x+', a, ')^2$')", "concat(bs, 'boxed{x^2 + ', 2 * b, 'x + ', a * a, '}')", "a = b"),
+    ("concat('$', a, 'x + ', b, '$')", "concat(bs, 'boxed{', b, '+', a, 'x}')", "TRUE"),
+    ("concat('$', bs, 'frac{', a, '}{', bs, 'sqrt{', 2 * b, '}}$')", "concat(bs, 'boxed{', bs, 'frac{', a, bs, 'sqrt{', 2 * b, '}}{', 2 * b, '}}')", "TRUE"),
+    ("concat('$', bs, '{x + ', a, ', ', b, bs, '}$')", "concat(bs, 'boxed{', bs, '{', b, ', ', b, ' + x', bs, '}}')", "a = b"),
+    ("concat('$2^{x + ', a, '}$')", "concat(bs, 'boxed{2^', b, bs, 'cdot 2^x}')", "a = b"),
+    ("concat('$y = ', a, 'x + ', b, '$')", "concat(bs, 'boxed{2y - ', 2 * a, 'x = ', 2 * a, '}')", "a = b"),
+    ("concat('$(-', bs, 'infty, ', a, ') ', bs, 'cup (', a + b, ', ', bs, 'infty)$')", "concat(bs, 'boxed{(', b, '+', a, ',', bs, 'infty)', bs, 'cup(-', bs, 'infty,', b, ')}')", "a = b"),
+    ("concat('$', bs, 'sin(', a, 't) + ', bs, 'pi r^2$')", "concat(bs, 'boxed{r', bs, 'cdot r', bs, 'pi + ', bs, 'sin(t + ', b - 1, 't)}')", "a = b"),
+)
+
+
+@register(
+    "answer_equivalence_algebra",
+    "SELECT l_orderkey, l_linenumber, form, CASE form "
+    + " ".join(f"WHEN {k} THEN {agrees}" for k, (_, _, agrees) in enumerate(_ALGEBRA))
+    + f""" END AS correct FROM (SELECT l_orderkey, l_linenumber, l_partkey % {len(_ALGEBRA)} AS form,
+  2 + l_suppkey % 4 AS a, 2 + l_linenumber % 4 AS b FROM lineitem) made""",
+)
+def answer_equivalence_algebra(spark: SparkSession, folder: str) -> DataFrame:
+    """Two expressions per line item that are equal, or not, by algebra only."""
+    made = table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", f"l_partkey % {len(_ALGEBRA)} AS form", "2 + l_suppkey % 4 AS a", "2 + l_linenumber % 4 AS b", "chr(92) AS bs"
+    )
+
+    def side(index: int) -> str:
+        return "CASE form " + " ".join(f"WHEN {k} THEN {form[index]}" for k, form in enumerate(_ALGEBRA)) + " END"
+
+    made = made.selectExpr("l_orderkey", "l_linenumber", "form", f"{side(0)} AS gold", f"{side(1)} AS answer")
+    read = made.withColumns({"answer": A.read_answer(F.col("answer")), "gold": A.read_answer(F.col("gold"), gold=True)})
+    return read.select("l_orderkey", "l_linenumber", "form", A.agree(F.col("answer"), F.col("gold")).alias("correct"))
+
+
+_S = "(rollout_id * 7) % 100"
+
+
+@register(
+    "answer_algebra_values",
+    f"""{WITH_ROLLOUTS} SELECT rollout_id, {sql_round(f"""CASE layout
+  WHEN 0 THEN {_S} WHEN 1 THEN {_S} WHEN 4 THEN n1 + n2 - n3 WHEN 9 THEN {_S} + 1 WHEN 10 THEN n1 * n2 - n3 WHEN 11 THEN n1 + n2 - n3
+  WHEN 12 THEN n1 / n2 + n3 WHEN 14 THEN {_S} WHEN 15 THEN {_S} END""")} AS value FROM rollouts""",
+)
+def answer_algebra_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Value of each rollout's tagged answer as an expression; null where it is none."""
+    df = rollouts(spark, folder, heavy=True)
+    canon = A.canonical(between(F.col("completion"), "<answer>", "</answer>"))
+    usable = F.when(~canon.rlike(A.PROSE), canon)
+    return df.select("rollout_id", round6(algebra.answer_value(usable)).alias("value"))

@@ -3,8 +3,8 @@
 Supported forms: boxed answers with braces nested to any depth, ``$..$`` and ``\\(..\\)`` spans, fractions, decimals,
 percentages, thousands separators, scientific notation, square roots of numbers, multiples of pi, the right side of an
 equation, unit words and spacing commands; tuples and sets are compared element by element. Two answers agree when both
-have a number and the numbers agree, or when neither has one and the canonical texts agree. Symbolic algebra is out of scope: ``x+1`` and
-``1+x`` differ.
+have a number and the numbers agree, or when neither has one and the canonical texts agree, or else, if both can be
+expressions, when these are algebraically equal (``functions/algebra.py``).
 
 Two readings of a text exist. ``EXPRESSION`` accepts any of the forms above and falls back to the last number of the
 text. ``LATEX`` accepts marked answers only: a boxed or ``$..$`` gold answer, and in a completion a boxed one or one
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rewardloom.functions.algebra import equal_answers
 from rewardloom.functions.text import SPACE_CLASS, after_last, between, let, strip
 
 EXPRESSION = "expression"
@@ -41,6 +42,8 @@ SHORT_FRACTIONS = ((r"\\frac([0-9])([0-9])", r"\\frac{$1}{$2}"), (r"\\frac([0-9]
 ELEMENTS = r"\A(\(|\[|\\?\{)([^()\[\]]*)(\)|\]|\})\z"
 ANNOUNCED = r"(?i)answer(?: is)?:? \$([^$]+)\$"
 SPAN = r"\$([^$]+)\$"
+PROSE = r"(?:\A|[^\\A-Za-z])[A-Za-z]{7,}|[`~@#?\"'&]"  # no name of a function is as long, and no expression has these
+OPERATION = r"[\\^*/+=<>|!_,-]|[0-9)][A-Za-z(]|[^\x00-\x7F]"
 NUMBER_RUN = r"[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
 
 
@@ -51,7 +54,7 @@ def boxed(text: Column) -> Column:
     opened as pieces were passed.
     """
 
-    def content(pieces: Column) -> Column:
+    def with_end(pieces: Column) -> Column:
         zero = F.struct(F.lit(0).alias("opened"), F.lit(0).alias("passed"), F.lit(0).alias("end"))
 
         def step(state: Column, piece: Column) -> Column:
@@ -65,11 +68,12 @@ def boxed(text: Column) -> Column:
 
         # The last piece has no closing brace after it.
         closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-        end = F.aggregate(closed, zero, step, lambda state: state["end"])
-        return let(end, lambda e: F.when(e > 0, F.array_join(F.slice(pieces, F.lit(1), e), "}")))
+        return F.struct(pieces.alias("pieces"), F.aggregate(closed, zero, step, lambda state: state["end"]).alias("end"))
 
-    tail = after_last(text, "\\boxed{")
-    return F.when(F.contains(text, F.lit("\\boxed{")), let(F.split(tail, r"\}"), content))
+    # One lambda after the other, none inside another: expressions of that kind can be the input of a Python step.
+    cut = let(F.split(after_last(text, "\\boxed{"), r"\}"), with_end)
+    content = let(cut, lambda c: F.when(c["end"] > 0, F.array_join(F.slice(c["pieces"], F.lit(1), c["end"]), "}")))
+    return F.when(F.contains(text, F.lit("\\boxed{")), content)
 
 
 def last_match(text: Column, pattern: str, group: int) -> Column:
@@ -97,7 +101,8 @@ def by_element(canon: Column) -> Column:
     """A tuple, an interval or a set with every number in it in one form; the elements of a set in order."""
     opening, body, closing = (F.regexp_extract(canon, ELEMENTS, i) for i in (1, 2, 3))
     body = F.rtrim(body, F.lit("\\"))  # the one before a closing brace
-    elements = F.transform(F.split(body, ","), lambda e: let(number(e), lambda n: F.coalesce((n + F.lit(0.0)).cast("string"), e)))
+    read = F.transform(F.split(body, ","), lambda e: F.struct(e.alias("text"), number(e).alias("num")))
+    elements = F.transform(read, lambda e: F.coalesce((e["num"] + F.lit(0.0)).cast("string"), e["text"]))
     elements = F.when(F.endswith(opening, F.lit("{")), F.array_sort(F.array_distinct(elements))).otherwise(elements)
     written = F.concat(opening, F.array_join(elements, ","), closing)
     return F.when(F.contains(canon, F.lit(",")) & canon.rlike(ELEMENTS), written).otherwise(canon)
@@ -129,21 +134,15 @@ def _signed(canon: Column, pattern: str) -> Column:
 def _first_reading(*candidates: tuple[Column, bool]) -> Column:
     """struct(canon, num) of the first candidate that gives one, null when none does.
 
-    A candidate marked True counts only when it is a number as a whole. All candidates pass through one lambda, so the
+    A candidate marked True counts only when it is a number as a whole. All candidates pass through the same lambdas, so the
     canonical form and the number grammar occur once in the plan.
     """
     listed = F.array(*[F.struct(src.alias("src"), F.lit(strict).alias("strict")) for src, strict in candidates])
 
-    def read(c: Column) -> Column:
-        return let(
-            canonical(c["src"]),
-            lambda canon: F.struct(canon.alias("canon"), number(canon).alias("num"), c["strict"].alias("strict")),
-        )
-
     given = F.filter(listed, lambda c: c["src"].isNotNull())
-    usable = F.filter(
-        F.transform(given, read), lambda r: (r["canon"] != "") & (~r["strict"] | r["num"].isNotNull())
-    )
+    canons = F.transform(given, lambda c: F.struct(canonical(c["src"]).alias("canon"), c["strict"].alias("strict")))
+    read = F.transform(canons, lambda c: F.struct(c["canon"].alias("canon"), number(c["canon"]).alias("num"), c["strict"].alias("strict")))
+    usable = F.filter(read, lambda r: (r["canon"] != "") & (~r["strict"] | r["num"].isNotNull()))
     return F.try_element_at(usable, F.lit(1))
 
 
@@ -170,4 +169,9 @@ def agree(answer: Column, gold: Column) -> Column:
         F.lit(1.0), F.abs(gold["num"])
     )
     texts = answer["num"].isNull() & gold["num"].isNull() & (by_element(answer["canon"]) == by_element(gold["canon"]))
-    return F.coalesce(F.when(answer["num"].isNotNull() & gold["num"].isNotNull(), near).otherwise(texts), F.lit(False))
+    numbers = answer["num"].isNotNull() & gold["num"].isNotNull()
+    plain = F.coalesce(F.when(numbers, near).otherwise(texts), F.lit(False))
+    # Python sees only pairs that differ as texts and that can be expressions.
+    either = answer["canon"].rlike(OPERATION) | gold["canon"].rlike(OPERATION)
+    open_ = ~numbers & (answer["canon"] != gold["canon"]) & either & ~answer["canon"].rlike(PROSE) & ~gold["canon"].rlike(PROSE)
+    return plain | equal_answers(F.when(open_, answer["canon"]), F.when(open_, gold["canon"]))
