@@ -22,6 +22,7 @@ _TIME = "yyyy-MM-dd HH:mm:ss"
 def _landings(spark: SparkSession, folder: str, name: str, second: Column) -> Iterator[tuple[DataFrame, bool]]:
     """A table that lands in two parts: the stream to run after each, and whether it is the last one."""
     rows, inbox = table(spark, folder, name), fresh_path(spark, f"inbox-{name}")
+    second = F.coalesce(second, F.lit(True))  # rows without an id or a time land last
     for last in (False, True):
         rows.where(second if last else ~second).write.mode("append").parquet(inbox)
         yield live.read_stream(spark, inbox, rows.schema), last
@@ -29,7 +30,7 @@ def _landings(spark: SparkSession, folder: str, name: str, second: Column) -> It
 
 def _documents(spark: SparkSession, folder: str) -> Iterator[tuple[DataFrame, bool]]:
     """Documents of the later steps land last."""
-    middle = table(spark, folder, "documents").agg(F.max("doc_id")).first()[0] // 2
+    middle = (table(spark, folder, "documents").agg(F.max("doc_id")).first()[0] or 0) // 2
     return _landings(spark, folder, "documents", F.col("doc_id") > middle)
 
 
@@ -124,13 +125,58 @@ _LATE = """WITH marked AS (SELECT date_trunc('hour', ts) AS w, ts >= (SELECT min
 @register("stream_late_rollouts", _LATE)
 def stream_late_rollouts(spark: SparkSession, folder: str) -> DataFrame:
     """The later half of the events arrives first, the earlier half in a second run: what lies behind the watermark is
-    dropped, the rest still counts."""
+    kept apart, the rest still counts."""
     home, middle = fresh_path(spark, "late-counts"), _middle(spark, folder)
     for events, _ in _landings(spark, folder, "events", F.col("ts") < middle):
         done = live.window_counts(events.select(F.col("ts").cast("timestamp").alias("ts")), "1 hour", "20 days", home)
     return done.select(F.date_format("window_start", _TIME).alias("window_start"), "points")
 
 
+@register(
+    "stream_late_table",
+    """WITH marked AS (SELECT *, date_trunc('hour', ts) AS w, ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) AS first_run,
+ (SELECT max(ts) FROM events) - INTERVAL 20 DAY AS mark FROM events)
+ SELECT event_id, event_type, value, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, 'window closed' AS reason FROM marked
+ WHERE NOT first_run AND w + INTERVAL 1 HOUR <= mark""",
+)
+def stream_late_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The events that came too late for their window, as rows with the reason, over the same two runs."""
+    home, middle = fresh_path(spark, "late-table"), _middle(spark, folder)
+    for events, _ in _landings(spark, folder, "events", F.col("ts") < middle):
+        points = events.select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+        live.split_late(points, "1 hour", "20 days", home)
+    late = live.late_rows(spark, home, points.schema)
+    window = F.date_format(F.timestamp_seconds("window_at"), _TIME).alias("window_start")
+    return late.select("event_id", "event_type", "value", window, "reason")
+
+
+@register(
+    "stream_late_advantage",
+    f"""{WITH_ROLLOUTS}, scored AS (SELECT rollout_id, group_id, step, {_TAGS} AS reward,
+  rollout_id > (SELECT max(doc_id) // 2 FROM documents) AS first_run FROM rollouts),
+ top AS (SELECT max(step) AS top FROM scored WHERE first_run),
+ marked AS (SELECT *, first_run OR step + 1 > top - 2 AS accepted FROM scored, top),
+ stats AS (SELECT step, group_id, avg(reward) AS m, stddev_samp(reward) AS s FROM marked WHERE accepted GROUP BY step, group_id)
+ SELECT rollout_id, r.group_id, CASE WHEN accepted THEN 'counted' ELSE 'window closed' END AS fate,
+  CASE WHEN accepted THEN {sql_round('(reward - m) / (s + 0.0001e0)')} END AS advantage
+ FROM marked r LEFT JOIN stats t ON r.step = t.step AND r.group_id = t.group_id""",
+)
+def stream_late_advantage(spark: SparkSession, folder: str) -> DataFrame:
+    """Later rollouts land first: each rollout has an advantage or is late with its reason, and none is missing."""
+    home, rows, inbox = fresh_path(spark, "late-advantages"), table(spark, folder, "documents"), fresh_path(spark, "inbox-late")
+    middle = (rows.agg(F.max("doc_id")).first()[0] or 0) // 2
+    for last in (False, True):
+        part = F.coalesce(F.col("doc_id") > middle, F.lit(False))
+        rows.where(~part if last else part).write.mode("append").parquet(inbox)
+        scored = _rollouts(spark, live.read_stream(spark, inbox, rows.schema)).select(
+            "rollout_id", "group_id", _step_time(F.col("step")).alias("ts"), scorers.tag_count_reward(F.col("completion")).alias("reward")
+        )
+        done = live.group_advantage_stream(scored, "1 hour", "2 hours", home=home, last=last)
+    counted = done.select("rollout_id", "group_id", F.lit("counted").alias("fate"), round6(F.col("advantage")).alias("advantage"))
+    late = live.late_rows(spark, home, scored.schema)
+    return counted.unionByName(late.select("rollout_id", "group_id", F.col("reason").alias("fate"), F.lit(None).cast("double").alias("advantage")))
+
+
 @register("stream_distinct_prompts", "SELECT DISTINCT md5(text) AS prompt FROM documents")
 def stream_distinct_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Every prompt once over two runs; the delay covers the whole table, so no key is forgotten."""

@@ -56,7 +56,7 @@ def test_running_totals_over_batches(spark, tmp_path):
     assert got == {"eval": sum(range(0, 30, 3)), "train": sum(i for i in range(30) if i % 3)}
 
 
-def test_late_rows_are_dropped(spark, tmp_path):
+def test_late_rows_are_kept_apart(spark, tmp_path):
     folder, home = (str(tmp_path / n) for n in ("in", "home"))
     at = lambda h, n: spark.range(n).select(F.timestamp_seconds(F.lit(h * 3600)).alias("ts"))
     schema = at(0, 1).schema
@@ -65,6 +65,52 @@ def test_late_rows_are_dropped(spark, tmp_path):
         counts = live.window_counts(live.read_stream(spark, folder, schema), "1 hour", "5 hours", home)
     got = {int(r.window_start.timestamp()) // 3600: r.points for r in counts.collect()}
     assert sorted(got.values()) == [1, 1, 3] and len(got) == 3
+    late = live.late_rows(spark, home, schema).collect()
+    assert [(r.reason, r.window_at, r.ts.timestamp()) for r in late] == [("window closed", 90 * 3600, 90 * 3600.0)] * 2
+
+
+def test_accepted_and_late_rows_are_all_rows(spark, tmp_path):
+    """Over four runs of shuffled rows, some without a time; what is accepted is exactly what a windowed aggregate keeps."""
+    folder, home = (str(tmp_path / n) for n in ("in", "home"))
+    rows = spark.range(400).select("id", F.when(F.col("id") % 50 != 7, F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 977 % 400 * 900)).alias("ts"))
+    for k in range(4):
+        _land(spark, folder, [rows.where(F.col("id") % 4 == k)])
+        stream = live.read_stream(spark, folder, rows.schema)
+        counts = live.window_counts(stream, "1 hour", "30 hours", home)
+    split = live.split_late(stream, "1 hour", "30 hours", home).collect()
+    assert sorted(r.id for r in split) == list(range(400))
+    late = live.late_rows(spark, home, rows.schema).collect()
+    assert {r.id for r in late if r.reason == live.NO_TIME} == set(range(7, 400, 50))
+    closed = {r.id for r in late if r.reason == live.WINDOW_CLOSED}
+    assert closed and not closed & set(range(0, 400, 4))
+    assert counts.agg(F.sum("points")).first()[0] == 400 - len(late)
+    times = {r.id: r.ts for r in rows.collect()}
+    mark = max(t for i, t in times.items() if t and i % 4 == 0).timestamp() - 30 * 3600
+    assert {i for i in closed if i % 4 == 1} == {i for i, t in times.items() if t and i % 4 == 1 and t.timestamp() // 3600 * 3600 + 3600 <= mark}
+
+
+def test_rows_after_the_end_are_late(spark, tmp_path):
+    folder, home = (str(tmp_path / n) for n in ("in", "home"))
+    rows = _scored(spark)
+    for part, last in ((rows.where("rollout_id < 120"), True), (rows.where("rollout_id >= 120"), False)):
+        _land(spark, folder, [part])
+        done = live.group_advantage_stream(live.read_stream(spark, folder, rows.schema), "1 hour", "2 hours", home=home, last=last)
+    assert sorted(r.rollout_id for r in done.collect()) == list(range(120))
+    assert sorted(r.rollout_id for r in live.late_rows(spark, home, rows.schema).collect()) == list(range(120, 240))
+
+
+def test_a_repeated_epoch_writes_its_rows_once(spark, tmp_path, monkeypatch):
+    folder, home = (str(tmp_path / n) for n in ("in", "home"))
+    rows = _scored(spark)
+    _land(spark, folder, [rows])
+    once = live.each_available
+
+    def twice(stream, sink, checkpoint, mode="append"):
+        once(stream, lambda batch, epoch: (sink(batch, epoch), sink(batch, epoch)), checkpoint, mode)
+
+    monkeypatch.setattr(live, "each_available", twice)
+    assert live.split_late(live.read_stream(spark, folder, rows.schema), "1 hour", "2 hours", home).count() == 240
+
 
 
 def test_distinct_prompts_over_batches(spark, tmp_path):
@@ -103,5 +149,5 @@ def test_finished_windows_alone_are_read(spark, tmp_path):
     rows = _scored(spark)
     _land(spark, folder, [rows])
     live.group_advantage_stream(live.read_stream(spark, folder, rows.schema), "1 hour", "0 seconds", home=home)
-    hours = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "home" / "rows").glob("window_at=*"))
+    hours = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "home" / "rows").glob("epoch=*/late=-/window_at=*"))
     assert len(hours) == 10 and hours[1] - hours[0] == 3600
