@@ -1,12 +1,19 @@
-"""Rollout logs, completion samples, completion tables and metrics: the files a run leaves behind."""
+"""Rollout logs, completion samples, completion tables and metrics: the files a run leaves behind.
+
+Every sink takes the name of the run it writes. A run that is written again replaces its earlier rows (``sources/runs.py``);
+without a name the rows are a run of their own. Readers see committed runs only, or a plain folder as it is.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardloom.functions.text import strip
 from rewardloom.session import near_rows, stage
+from rewardloom.sources.runs import read_runs, write_run
 
 LOG_SHARE = 0.1  # fixed value: share of batches or rows that are logged
 # Rules of the text files.
@@ -40,8 +47,8 @@ def rollout_log(rollouts: DataFrame, stamp: Column, seed: int, batch: str = "bat
     return rollouts.where(sampled(F.col(batch), seed)).select("rollout_id", block.alias("value"))
 
 
-def write_text(blocks: DataFrame, path: str) -> None:
-    blocks.select("value").write.mode("append").text(path)
+def write_text(blocks: DataFrame, path: str, run: str | None = None) -> None:
+    write_run(blocks.select("value"), path, run or uuid.uuid4().hex, lambda df, folder: df.write.text(folder))
 
 
 ROLLOUT_MARK = "\n" + HEAVY_RULE + "\n["
@@ -50,7 +57,7 @@ BLOCK_MARK = "### Sample "
 
 def read_text(spark: SparkSession, path: str, mark: str) -> DataFrame:
     """The blocks of a log in which each block begins with ``mark``."""
-    pieces = spark.read.option("lineSep", mark).text(path).where(F.col("value") != "")
+    pieces = read_runs(spark, path, spark.read.option("lineSep", mark).text, "value string").where(F.col("value") != "")
     return pieces.select(F.concat(F.lit(mark), F.regexp_replace("value", r"(?d)\n\z", "")).alias("value"))
 
 
@@ -65,15 +72,15 @@ def completion_samples(rollouts: DataFrame, seed: int, success: Column | None =
     return kept.where(sampled(F.col("rollout_id"), seed, salt=salt)).select("rollout_id", record.alias("value"))
 
 
-def write_samples(samples: DataFrame, path: str) -> None:
+def write_samples(samples: DataFrame, path: str, run: str | None = None) -> None:
     """Records each led by the sample mark, in text files."""
     marked = samples.select(F.concat(F.lit(SAMPLE_MARK), F.col("value")).alias("value"))
-    marked.write.mode("append").option("lineSep", "\n").text(path)
+    write_run(marked, path, run or uuid.uuid4().hex, lambda df, folder: df.write.option("lineSep", "\n").text(folder))
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """Records of a sample log; the empty piece before the first mark is dropped."""
-    pieces = spark.read.option("lineSep", SAMPLE_MARK).text(path)
+    pieces = read_runs(spark, path, spark.read.option("lineSep", SAMPLE_MARK).text, "value string")
     return pieces.select(F.regexp_replace("value", r"(?d)\n\z", "").alias("value")).where(F.col("value") != "")
 
 
@@ -117,14 +124,17 @@ def console_sample(scored: DataFrame, rows: int) -> DataFrame:
     return scored.orderBy("rollout_id").limit(rows)
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
+def write_metrics(metrics: DataFrame, path: str, run: str | None = None) -> None:
     """Metric rows ``(mode, step, metric, value)``, partitioned by mode."""
-    metrics.select("mode", "step", "metric", "value").write.mode("append").partitionBy("mode").parquet(path)
+    rows = metrics.select("mode", "step", "metric", "value")
+    write_run(rows, path, run or uuid.uuid4().hex, lambda df, folder: df.write.partitionBy("mode").parquet(folder))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     schema = "step bigint, metric string, value double, mode string"
-    return spark.read.schema(schema).parquet(path).select("mode", "step", "metric", "value")
+    read = spark.read.schema(schema).option("basePath", path)
+    rows = read_runs(spark, path, lambda folders: read.parquet(*folders), schema)
+    return rows.select("mode", "step", "metric", "value")
 
 
 # ---- execution results ----------------------------------------------------------------------------------------
