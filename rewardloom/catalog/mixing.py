@@ -9,7 +9,7 @@ from rewardloom.catalog.registry import SQL_SPACE as SP
 from rewardloom.catalog.registry import register, table, text_table
 from rewardloom.config import MixConfig, TaskSource
 from rewardloom.functions.chat import message, messages_of, wrap_solution
-from rewardloom.operators import leak, metrics, mix
+from rewardloom.operators import checks, leak, metrics, mix
 from rewardloom.plans.tasks import prepare_tasks
 from rewardloom.session import fresh_path
 from rewardloom.sources.datasets import load_mix, read_source
@@ -195,6 +195,12 @@ def leak_check(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaked_ids(text_table(spark, folder, "documents"), table(spark, folder, "benchmark"), "doc_id", "text")
 
 
+@register("leak_check_filtered", f"{_LEAKED} SELECT doc_id FROM leaked")
+def leak_check_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows by way of the filter that takes the place of the held-out grams when these are many."""
+    return leak.leaked_ids(text_table(spark, folder, "documents"), table(spark, folder, "benchmark"), "doc_id", "text", near=0)
+
+
 @register(
     "leak_free_rows",
     f"{_LEAKED} SELECT doc_id, source, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaked)",
@@ -244,3 +250,36 @@ def prepared_tasks(spark: SparkSession, folder: str) -> DataFrame:
     rows = prepare_tasks(spark, cfg, formatter, test_size=0.1)
     first = F.get("messages", F.lit(0))
     return rows.select("source", "row_id", "split", first["role"].alias("role"), first["content"].alias("content"))
+
+
+@register(
+    "mixer_checks",
+    """SELECT mix_id, count(source) AS sources, CASE WHEN count(source) = 0 THEN 'no source'
+  WHEN count(DISTINCT source) < count(source) THEN 'a source twice'
+  WHEN count(*) FILTER (source IS NOT NULL AND (fraction IS NULL OR fraction < 0 OR fraction > 1)) > 0 THEN 'a fraction outside [0, 1]'
+  WHEN count(config) FILTER (source IS NOT NULL) > 0 AND count(config) FILTER (source IS NOT NULL) < count(source) THEN 'configs for some sources only' END AS problem
+ FROM (SELECT o_custkey AS mix_id, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderpriority END AS source, (o_orderkey % 43) / 40e0 AS fraction,
+  CASE WHEN o_custkey % 3 = 0 OR o_orderstatus = 'F' THEN 'default' END AS config FROM orders) proposed GROUP BY mix_id""",
+)
+def mixer_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every customer's orders as a proposed mix: what the mixer would refuse, and what it accepts."""
+    proposed = table(spark, folder, "orders").selectExpr(
+        "o_custkey AS mix_id",
+        "CASE WHEN o_orderkey % 17 <> 0 THEN o_orderpriority END AS source",
+        "CAST(o_orderkey % 43 AS DOUBLE) / 40 AS fraction",
+        "CASE WHEN o_custkey % 3 = 0 OR o_orderstatus = 'F' THEN 'default' END AS config",
+    )
+    return checks.mix_problems(proposed, config="config")
+
+
+@register(
+    "weight_count_checks",
+    """SELECT l_orderkey AS plan_id, CASE WHEN weights <> 0 AND weights <> rewards THEN weights || ' weights for ' || rewards || ' rewards' END AS problem
+ FROM (SELECT l_orderkey, count(*) AS rewards, CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE max(l_linenumber) + l_orderkey % 2 END AS weights
+  FROM lineitem GROUP BY l_orderkey) planned""",
+)
+def weight_count_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order as a plan with a reward per line: the plans whose number of weights does not fit."""
+    planned = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("rewards"), F.max("l_linenumber").alias("top"))
+    weights = F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("top") + F.col("l_orderkey") % 2)
+    return planned.select(F.col("l_orderkey").alias("plan_id"), checks.weight_problem(F.col("rewards"), weights).alias("problem"))

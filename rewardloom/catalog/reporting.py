@@ -17,7 +17,8 @@ from rewardloom.catalog.standins import (
 )
 from rewardloom.functions import equations, scorers
 from rewardloom.functions.text import round6
-from rewardloom.operators import groups, metrics
+from rewardloom.operators import groups, metrics, moments
+from rewardloom.operators.keyindex import KeyIndex, key_digest
 from rewardloom.session import fresh_path, near_rows, stage
 from rewardloom.sources import logs
 
@@ -203,6 +204,16 @@ def metrics_sink(spark: SparkSession, folder: str) -> DataFrame:
     return logs.read_metrics(spark, path)
 
 
+@register("metrics_sink_repeated", f"{_EVENTS} SELECT mode, step, metric, value FROM points")
+def metrics_sink_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs, the second one written twice; every point is read once."""
+    path, points = fresh_path(spark, "metrics"), _event_metrics(spark, folder)
+    odd = F.coalesce(F.col("step") % 2 == 1, F.lit(False))
+    for run, rows in (("even", points.where(~odd)), ("odd", points.where(odd)), ("odd", points.where(odd))):
+        logs.write_metrics(rows, path, run)
+    return logs.read_metrics(spark, path)
+
+
 _TAGS = " + ".join(sql_once("completion", tag, 0.25) for tag in scorers.THINK_TAGS)
 
 
@@ -224,6 +235,50 @@ def reward_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# ---- the same metrics, grown by increments of steps ----------------------------------------------------------------
+
+
+def _grown(spark: SparkSession, name: str, keys: dict[str, str], rows: DataFrame, values: dict[str, Column]) -> moments.MomentTable:
+    """A moment table after three increments of steps, one of them written twice, and merged into one run half way."""
+    grown = moments.MomentTable(spark, fresh_path(spark, name), keys)
+    for part in (0, 1, 1, 2):
+        own = F.coalesce(F.col("step") % 3, F.lit(0)) == part
+        grown.add(rows.where(own), values, f"part-{part}")
+        if part == 1:
+            grown.compact()
+    return grown
+
+
+@register("reward_metrics_by_increment", SQL["reward_function_metrics"])
+def reward_metrics_by_increment(spark: SparkSession, folder: str) -> DataFrame:
+    grown = _grown(spark, "reward-moments", {"step": "bigint"}, sparse_rewards(spark, folder), {n: F.col(n) for n in NAMES})
+    return moments.reward_metrics(grown).select("step", "metric", round6(F.col("value")).alias("value"))
+
+
+@register("group_metrics_by_increment", SQL["mean_group_metrics"])
+def group_metrics_by_increment(spark: SparkSession, folder: str) -> DataFrame:
+    grown = _grown(spark, "group-moments", {"step": "bigint", "group_id": "bigint"}, _lines(spark, folder), {"reward": F.col("reward")})
+    rows = moments.group_reward_metrics(grown, ["step"])
+    return rows.select("step", round6(F.col("reward")).alias("reward"), round6(F.col("reward_std")).alias("reward_std"))
+
+
+@register("log_window_by_increment", SQL["log_window_average"])
+def log_window_by_increment(spark: SparkSession, folder: str) -> DataFrame:
+    points = _event_metrics(spark, folder).withColumn("log_window", F.floor(F.col("step") / 5).cast("bigint"))
+    grown = _grown(spark, "window-moments", {"mode": "string", "metric": "string", "log_window": "bigint"}, points, {"value": F.col("value")})
+    return grown.read().select("mode", "metric", "log_window", F.round("mean", 9).alias("value"), F.col("n").alias("points"))
+
+
+@register("reward_summary_by_increment", SQL["reward_summary"])
+def reward_summary_by_increment(spark: SparkSession, folder: str) -> DataFrame:
+    reward = scorers.tag_count_reward(F.col("completion"))
+    values = {"reward": F.col("reward"), "success": F.when(F.col("reward") > 0, 1.0).otherwise(0.0)}
+    rows = rollouts(spark, folder, heavy=True).select("step", "source", reward.alias("reward"))
+    grown = _grown(spark, "summary-moments", {"step": "bigint", "source": "string"}, rows, values)
+    found = moments.reward_summary(grown, [["step", "source"], ["step"], []])
+    return found.select("step", "source", "rows", round6(F.col("mean_reward")).alias("mean_reward"), round6(F.col("success_rate")).alias("success_rate"))
+
+
 # ---- reflection phrases ---------------------------------------------------------------------------------------
 
 _SAID = {
@@ -351,6 +406,15 @@ def rollout_log_file(spark: SparkSession, folder: str) -> DataFrame:
     return logs.read_text(spark, path, logs.ROLLOUT_MARK)
 
 
+@register("rollout_log_repeated", f"SELECT value FROM ({SQL['rollout_log']}) logged")
+def rollout_log_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """The log in two runs, by the parity of the rollout, each written twice and read once."""
+    path, rows = fresh_path(spark, "rollout-log"), rollout_log(spark, folder)
+    for run in ("0", "1", "0", "1"):
+        logs.write_text(rows.where(F.col("rollout_id") % 2 == int(run)), path, run)
+    return logs.read_text(spark, path, logs.ROLLOUT_MARK)
+
+
 @register(
     "completion_samples",
     f"{WITH_ROLLOUTS} SELECT rollout_id, '<think>' || completion AS value FROM rollouts WHERE {_sampled_sql('rollout_id', 'sample')}",
@@ -427,6 +491,24 @@ def distinct_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("first_id"), F.col("text").alias("prompt")).join(first, "first_id").select("first_id", "rows", "prompt")
 
 
+_RUNS = 3
+
+
+@register(
+    "distinct_prompts_across_runs",
+    "SELECT min(doc_id) AS first_id, sha256(coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS digest FROM documents GROUP BY text",
+)
+def distinct_prompts_across_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts that land in three runs, in order of their ids, the second one twice: every prompt once, with its first row."""
+    docs = table(spark, folder, "documents")
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    run = F.least(F.floor(F.coalesce("doc_id", F.lit(0)) * _RUNS / (last + 1)), F.lit(_RUNS - 1))
+    index = KeyIndex(spark, fresh_path(spark, "prompt-index"), buckets=8)
+    for k in (0, 1, 1, 2):
+        index.add(docs.where(run == k), key_digest(F.col("text")), "doc_id", f"run-{k}")
+    return index.keys().select("first_id", F.lower(F.hex("digest")).alias("digest"))
+
+
 @register(
     "log_blocks",
     f"""{_PROMPTED} SELECT rollout_id, '### Sample ' || CAST(rollout_id % 128 + 1 AS VARCHAR) || chr(10) || chr(10) || '**Prompt**:  ' || chr(10) || prompt

@@ -114,7 +114,8 @@ def render(
     add_generation_prompt: bool = False,
     continue_final_message: bool = False,
 ) -> Column:
-    """Text of a conversation. With ``continue_final_message`` the last turn stays open for the model."""
+    """Text of a conversation. With ``continue_final_message`` the last turn stays open for the model. A turn without
+    content is an empty turn."""
     if add_generation_prompt and continue_final_message:
         raise ValueError("a prompt either opens a new turn or continues the last one")
     known = F.filter(messages, lambda m: m["role"].isin(*template.opening))
@@ -123,7 +124,7 @@ def render(
         closing = _by_role(m["role"], template.closing)
         if last is not None:
             closing = F.when(index == last, F.lit("")).otherwise(closing)
-        return F.concat(_by_role(m["role"], template.opening), m["content"], closing)
+        return F.concat(_by_role(m["role"], template.opening), F.coalesce(m["content"], F.lit("")), closing)
 
     if continue_final_message:
         body = let(known, lambda k: F.array_join(F.transform(k, lambda m, i: turn(m, i, F.size(k) - 1)), ""))

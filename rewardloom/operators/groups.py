@@ -74,8 +74,9 @@ def pair(rollouts: DataFrame, tasks: DataFrame, on: str = "prompt_id", broadcast
 def weighted_reward_long(rewards: DataFrame, weights: dict[str, float], key: str = "rollout_id") -> DataFrame:
     """The weighted sum over a long table ``(key, reward_name, value)``.
 
-    One weight row per reward function; the list comes from the configuration, so it is always small enough to send.
+    One weight row per reward function; the list comes from the configuration, so it is always small enough to send. A
+    reward without a weight adds nothing; a key that has no other keeps its row, with 0.0.
     """
     rows = rewards.sparkSession.createDataFrame(list(weights.items()), "reward_name string, weight double")
-    joined = rewards.join(F.broadcast(rows), "reward_name")
+    joined = rewards.join(F.broadcast(rows), "reward_name", "left")
     return joined.groupBy(key).agg(F.sum(F.coalesce(F.nanvl(F.col("value"), F.lit(None)) * F.col("weight"), F.lit(0.0))).alias("reward"))

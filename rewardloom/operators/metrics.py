@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardloom.functions.text import occurrences, let
-
 STEPS_PER_BLOCK = 4096
 
 # Phrases that mark a model reflecting on its own reasoning.
@@ -85,11 +86,13 @@ def running_total(totals: DataFrame, step: str, value: str, name: str, keys: lis
     over_blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(*keys, "_block", F.coalesce(F.sum("_sum").over(over_blocks), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys, "_block").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    named = [*keys, "_block"]
+    offsets = offsets.select(*[F.col(k).alias(f"_of_{k}") for k in named], "_offset")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in named]
     return (
         blocked.withColumn("_inside", F.sum(value).over(inside))
-        .join(offsets, [*keys, "_block"])
-        .withColumn(name, F.col("_inside") + F.col("_offset"))
-        .drop("_block", "_inside", "_offset")
+        .join(offsets, same)
+        .select(*totals.columns, (F.col("_inside") + F.col("_offset")).alias(name))
     )
 
 
@@ -127,23 +130,47 @@ def plain_phrase(phrase: str) -> str:
     return phrase.lower().replace("’", "'").strip('"').rstrip(".")
 
 
+def phrase_hits(text: Column, phrases: tuple[str, ...]) -> Column:
+    """array<struct<phrase, hits>> of the phrases in a text, Arrow-batched: one automaton over all of them reads it once.
+
+    Hits of one phrase do not overlap, hits of different phrases may.
+    """
+    known = tuple(dict.fromkeys(phrases))
+
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k, phrase in enumerate(known):
+            automaton.add_word(phrase, k)
+        automaton.make_automaton()
+        for texts in batches:
+            out = []
+            for value in texts:
+                hits: dict[int, int] = {}
+                ends: dict[int, int] = {}
+                for end, k in automaton.iter(value) if value else ():
+                    if end - len(known[k]) >= ends.get(k, -1):
+                        hits[k] = hits.get(k, 0) + 1
+                        ends[k] = end
+                out.append([{"phrase": known[k], "hits": n} for k, n in hits.items()])
+            yield pd.Series(out)
+
+    search.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(search, "array<struct<phrase:string,hits:bigint>>")(text)
+
+
 def phrase_counts(df: DataFrame, text: Column, keys: list[str], phrases: tuple[str, ...] = REFLECTION_PHRASES) -> DataFrame:
     """Occurrences of every reflection phrase and the rows holding it, per key.
 
-    The phrase list is fixed and short, so each text is read where it lies and emits one row per phrase found; no
-    join, and counts combine on the map side.
+    The phrases are one automaton, so the cost does not depend on their number. Each text is read where it lies and
+    emits one row per phrase found; no join, and counts combine on the map side.
     """
-    listed = F.array(*[F.lit(plain_phrase(p)) for p in phrases])
     folded = F.replace(F.lower(text), F.lit("’"), F.lit("'"))
-    found = let(
-        folded,
-        lambda t: F.filter(
-            F.transform(listed, lambda p: F.struct(p.alias("phrase"), occurrences(t, p).alias("hits"))),
-            lambda s: s["hits"] > 0,
-        ),
-    )
+    found = phrase_hits(folded, tuple(plain_phrase(p) for p in phrases))
     return (
-        df.select(*keys, F.explode(found).alias("_found"))
+        df.select(*keys, found.alias("_hits"))
+        .select(*keys, F.explode("_hits").alias("_found"))
         .groupBy(*keys, F.col("_found.phrase").alias("phrase"))
         .agg(F.sum("_found.hits").alias("hits"), F.count(F.lit(1)).alias("rows"))
     )

@@ -5,8 +5,8 @@ partitioning, ``id_key`` keeps the order of integer ids. Key columns must identi
 
 * ``with_rank`` numbers every row: rows are counted per key prefix, the small table of offsets is summed, and
   ``row_number`` runs inside a prefix only.
-* ``keep_first`` keeps the first k rows without sorting or moving the table: it narrows the cut key prefix by prefix
-  with map-side combined counts, then filters.
+* ``keep_first`` keeps the first k rows without sorting or moving the table: a mergeable sketch of the keys bounds the
+  cut in one pass, a second one counts below the bounds and looks at the keys inside them, then the table is filtered.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardloom.session import stage
+from rewardloom.session import near_rows, stage
 
-HEX_PER_LEVEL = 4  # 65,536 prefixes per level bound every offset table
+HEX_PER_LEVEL = 4  # 65,536 prefixes bound the offset table
 ID_DIGITS = 16
 ID_STEP = 5  # digits of an id per pass; 1,048,576 counts per part at most
 FEW_ROWS = 1 << 20  # rows of one part that one task may number
-HASH_DIGITS = 8  # after two levels one prefix of a hash holds n / 2**32 rows
+GRID = 2048  # quantiles that a sketch is asked for
+ACCURACY = 10 * GRID  # a sketch's ranks are off by one part in so many, a tenth of the grid's step
 
 
 def hash_key(seed: int, *columns: Column | str) -> Column:
@@ -72,23 +73,69 @@ def _part(key: Column, by: Column | None) -> Column:
 
 def _inside(keys: DataFrame, state: DataFrame) -> DataFrame:
     """Keys below the prefix reached so far. The state has one row per part, and parts are named in a configuration."""
-    return keys.join(F.broadcast(state), "_by").where(F.col("_key").startswith(F.col("_prefix")))
+    return keys.join(near_rows(state), "_by").where(F.col("_key").startswith(F.col("_prefix")))
 
 
-def _level(keys: DataFrame, state: DataFrame | None, level: int, wanted: Column) -> DataFrame:
-    """One level: ``_by, _prefix, _k`` of the prefix the k-th key lies in, k counted inside it."""
-    digit = F.substring("_key", level * HEX_PER_LEVEL + 1, HEX_PER_LEVEL).alias("_digit")
-    if state is None:
-        counts = keys.groupBy("_by", digit).agg(F.count(F.lit(1)).alias("_n"))
-        rows = F.sum("_n").over(Window.partitionBy("_by"))
-        counts = counts.withColumn("_rows", rows).withColumn("_k", wanted.cast("bigint")).withColumn("_prefix", F.lit(""))
-    else:
-        counts = _inside(keys, state).groupBy("_by", "_prefix", "_k", digit).agg(F.count(F.lit(1)).alias("_n"))
-    return _hit(counts).drop("_n")
+def _number(key: Column, hashed: bool) -> Column:
+    """A double that never falls while the key rises: the first 52 bits of a hash, or the key's digits as they are."""
+    digits = F.conv(F.substring(key, 1, 13 if hashed else 16), 16, 10)
+    return digits.cast("decimal(20,0)").cast("double")
 
 
-def _cut_ids(keys: DataFrame, wanted: Column, digits: int) -> DataFrame:
-    """Cut keys of ids, in three passes over the ids as a rule.
+def _cut_by_sketch(keys: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame]:
+    """Cut keys in two passes: ``_by, _cut`` per part, and the parts that have none though k > 0.
+
+    The first pass counts the rows of every part and sketches their keys; the sketches of all tasks merge, a few
+    thousand numbers per part. The k-th key lies between the quantiles around k / rows. While so many rows lie there
+    that one task should not number them, those are sketched again. The last pass counts, per part, the rows below the
+    lower bound as one number and those inside the bounds by key, so a sketch that broke its promise shows: its part has
+    no cut.
+    """
+    points = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+
+    def bounded(parts: DataFrame, k: Column) -> DataFrame:
+        """The bounds of the next pass from a part's rows below, rows inside and grid."""
+        place = F.floor((k - F.col("_below") - 1) / F.greatest(F.col("_inside"), F.lit(1)) * GRID).cast("int")
+        at = lambda i: F.get("_grid", i)
+        low = F.when(place >= 1, at(place - 1))
+        high = F.when(place + 2 <= GRID, at(place + 2))
+        return parts.select("_by", k.cast("bigint").alias("_k"), low.alias("_low"), high.alias("_high"), F.ceil(F.col("_inside") * 3 / GRID).alias("_n"))
+
+    sketch = F.percentile_approx("_num", points, F.lit(ACCURACY)).alias("_grid")
+    first = keys.groupBy("_by").agg(F.count(F.lit(1)).alias("_rows"), sketch)
+    first = first.withColumns({"_inside": F.col("_rows"), "_below": F.lit(0).cast("bigint")})
+    state = stage(bounded(first, wanted).where("_k > 0 AND _by IS NOT NULL"), "cut-bounds")
+    before = None
+    while True:
+        most = state.agg(F.max("_n")).first()[0]
+        if most is None or most <= FEW_ROWS or most == before:
+            break
+        before = most
+        within = F.coalesce(F.col("_num") >= F.col("_low"), F.lit(True)) & F.coalesce(F.col("_num") <= F.col("_high"), F.lit(True))
+        again = _reached(keys, state).groupBy("_by", "_k").agg(
+            F.count_if(F.col("_num") < F.col("_low")).alias("_below"),
+            F.count_if(within).alias("_inside"),
+            F.percentile_approx(F.when(within, F.col("_num")), points, F.lit(ACCURACY)).alias("_grid"),
+        )
+        state = stage(bounded(again, F.col("_k")), "cut-bounds")
+    # Keys inside the bounds, and for all rows below them one group, whose key is null and comes first.
+    key = F.when(F.coalesce(F.col("_num") >= F.col("_low"), F.lit(True)), F.col("_key"))
+    counts = _reached(keys, state).groupBy("_by", "_k", key.alias("_inner")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_by").orderBy("_inner").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("_upto", upto)
+    hit = counts.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")) & F.col("_inner").isNotNull())
+    cuts = stage(hit.select("_by", F.col("_inner").alias("_cut")), "cuts")
+    return cuts, state.select("_by").join(cuts, "_by", "left_anti")
+
+
+def _reached(keys: DataFrame, state: DataFrame) -> DataFrame:
+    """Keys up to the upper bound of their part."""
+    joined = keys.join(near_rows(state), "_by")
+    return joined.where(F.coalesce(F.col("_num") <= F.col("_high"), F.lit(True)))
+
+
+def _cut_by_digits(keys: DataFrame, wanted: Column, digits: int) -> DataFrame:
+    """Cut keys digit run by digit run, for parts whose sketch did not hold; three passes over the ids as a rule.
 
     The first counts the rows of every part and finds its smallest and largest id, whose common leading digits need no
     pass. Each further pass counts by the next ``ID_STEP`` digits; once the digit run that holds the k-th id has few
@@ -133,19 +180,12 @@ def cut_keys(
 
     ``wanted`` is k as an expression over ``_rows`` (rows of the part) and ``_by``.
     """
-    keys = df.select(_part(key, by).alias("_by"), key.alias("_key"))
-    if not hashed:
-        return _cut_ids(keys, wanted, digits)
-    state = None
-    for level in range(HASH_DIGITS // HEX_PER_LEVEL):
-        state = _level(keys, state, level, wanted)
-    last = Window.partitionBy("_by").orderBy("_key")
-    return (
-        _inside(keys, state)
-        .withColumn("_row", F.row_number().over(last))
-        .where(F.col("_row") == F.col("_k"))
-        .select("_by", F.col("_key").alias("_cut"))
-    )
+    keys = df.select(_part(key, by).alias("_by"), key.alias("_key"), _number(key, hashed).alias("_num"))
+    cuts, missing = _cut_by_sketch(keys, wanted)
+    if missing.isEmpty():
+        return cuts
+    rest = keys.join(near_rows(stage(missing, "cut-parts")), "_by", "left_semi").select("_by", "_key")
+    return cuts.unionByName(_cut_by_digits(rest, wanted, 32 if hashed else digits))
 
 
 def flag_first(
@@ -159,7 +199,7 @@ def flag_first(
 ) -> DataFrame:
     """Mark the first k rows of every part; the table is neither sorted nor moved."""
     cuts = cut_keys(df, key, wanted, by, hashed, digits)
-    marked = df.withColumn("_by", _part(key, by)).join(F.broadcast(cuts), "_by", "left")
+    marked = df.withColumn("_by", _part(key, by)).join(near_rows(cuts), "_by", "left")
     return marked.withColumn(name, F.coalesce(key <= F.col("_cut"), F.lit(False))).drop("_by", "_cut")
 
 

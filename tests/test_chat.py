@@ -129,3 +129,9 @@ def test_judge_request(spark):
     assert user.content == "Given answer:\nsaid\n\nReference:\ngold\n\nReply with 1.0 if they agree and 0.0 if they do not."
     _, user = one(df, chat.judge_request(F.col("c"), F.col("s"), layout="{solution}|{completion}"))
     assert user.content == "gold|said"
+
+
+def test_a_turn_without_content_is_an_empty_turn(spark):
+    df = frame(spark, m=[("user", "hi"), ("assistant", None), ("user", "bye")])
+    text = one(df, chat.render(F.col("m"), chat.default_template("</s>")))
+    assert text == "<|user|>\nhi</s>\n<|assistant|>\n</s>\n<|user|>\nbye</s>\n"

@@ -214,3 +214,28 @@ def test_popular_prompt_leaves_texts_in_place(spark):
     assert "BroadcastHashJoin" in pair(rollouts, tasks)._jdf.queryExecution().executedPlan().toString()
     shuffled = pair(rollouts, tasks, broadcast_bytes=0)
     assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, pair(rollouts, tasks).collect()))
+
+
+def test_keys_without_a_weighted_reward_keep_their_row(spark):
+    rows = spark.createDataFrame([(1, "a", 2.0), (1, "b", 3.0), (2, "b", 5.0), (3, "a", None)], "rollout_id bigint, reward_name string, value double")
+    got = {r.rollout_id: r.reward for r in groups.weighted_reward_long(rows, {"a": 10.0}).collect()}
+    assert got == {1: 20.0, 2: 0.0, 3: 0.0}
+
+
+def test_running_total_keeps_null_steps_and_keys(spark):
+    rows = spark.createDataFrame([(None, "x", 5), (0, "x", 1), (5000, "x", 2), (1, None, 7), (2, None, 1)], "step bigint, k string, n bigint")
+    got = {(r.k, r.step): r.total for r in metrics.running_total(rows, "step", "n", "total", ["k"]).collect()}
+    assert got == {("x", None): 5, ("x", 0): 6, ("x", 5000): 8, (None, 1): 7, (None, 2): 8}
+    one = {r.step: r.total for r in metrics.running_total(rows.where("k = 'x'"), "step", "n", "total").collect()}
+    assert one == {None: 5, 0: 6, 5000: 8}
+
+
+def test_phrase_hits_equal_a_scan_per_phrase(spark):
+    import random
+
+    rng = random.Random(6)
+    phrases = ("ab", "aba", "b", "bb", "abab", "a b", "é")
+    texts = ["".join(rng.choice("ab é") for _ in range(rng.randrange(40))) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "i int, text string")
+    got = {r.i: {h.phrase: h.hits for h in r.hits} for r in df.select("i", metrics.phrase_hits(F.col("text"), phrases).alias("hits")).collect()}
+    assert got == {k: {p: t.count(p) for p in phrases if t and p in t} for k, t in enumerate(texts)}

@@ -67,6 +67,31 @@ def test_cut_of_ids_takes_three_passes(spark, monkeypatch, few, spread):
     assert len(passes) <= (2 if spread == 1 else 4)
 
 
+@pytest.mark.parametrize("few", [1 << 20, 3])
+def test_cuts_take_two_passes_wherever_the_mass_lies(spark, monkeypatch, few):
+    """Nearly all ids in one short range, far from the others, and ids that a double cannot tell apart."""
+    staged, passes = rank.stage, []
+    monkeypatch.setattr(rank, "FEW_ROWS", few)
+    monkeypatch.setattr(rank, "stage", lambda df, name: passes.append(name) or staged(df, name))
+    for ids in ([-(2**62), *range(5 * 10**17, 5 * 10**17 + 6000), 2**62], [*range(40), *range(2**60, 2**60 + 3000)]):
+        df = spark.createDataFrame([(i,) for i in ids], "v bigint").repartition(6)
+        for share in (0.0001, 0.3, 0.999, 1.0):
+            passes.clear()
+            got = sorted(r.v for r in keep_first(df, id_key("v"), F.ceil(F.lit(share) * F.col("_rows"))).collect())
+            assert got == ids[: math.ceil(share * len(ids))]
+            assert few == 3 or passes == ["cut-bounds", "cuts"]
+
+
+def test_a_sketch_that_breaks_its_promise_is_noticed(spark, monkeypatch):
+    monkeypatch.setattr(rank, "ACCURACY", 3)  # ranks that are off by a third of the rows, far beyond the grid
+    by_digits, used = rank._cut_by_digits, []
+    monkeypatch.setattr(rank, "_cut_by_digits", lambda *args: used.append(1) or by_digits(*args))
+    df = spark.range(5000).repartition(4)
+    for k in (1234, 2500, 4000):
+        assert sorted(r.id for r in keep_first(df, id_key("id"), F.lit(k).cast("bigint")).collect()) == list(range(k))
+    assert used
+
+
 def test_fraction_head_with_a_dominant_source(spark):
     rows = [("hot" if i % 3 else f"s{i % 30}", i * 7) for i in range(3000)]
     df = spark.createDataFrame(rows, "source string, id bigint").repartition(9)
@@ -212,3 +237,63 @@ def test_prepared_tasks(spark, tmp_path):
     assert all(f"[3, {t.row_id}]" in t.prompt and t.target == t.row_id + 3 for t in tasks)
     assert [t.row_id for t in tasks] != sorted(t.row_id for t in tasks)
     assert prepare_tasks(spark, cfg, "countdown", debug=True).count() == 100
+
+
+def test_filter_words_and_size():
+    assert leak.filter_words(0) == 1024 and leak.filter_words(20_000_000) == 1 << 23
+    assert leak.filter_words(10**12) == leak.MOST_WORDS
+
+
+def test_gram_filter_passes_every_known_gram_and_few_others(spark):
+    known = spark.range(30_000).select(F.xxhash64("id").alias("gram"))
+    others = spark.range(200_000).select(F.lit(1).alias("row"), F.xxhash64(F.col("id") + 10**9).alias("gram"))
+    own = known.select(F.lit(0).alias("row"), "gram")
+    passed = {r.row: r["count"] for r in leak.maybe_known(own.unionAll(others), known, 30_000).groupBy("row").count().collect()}
+    assert passed[0] == 30_000 and passed.get(1, 0) < 200
+    few = leak.maybe_known(own.unionAll(others), known, 30_000, most=1024)  # a filter that is far too small loses nothing
+    assert few.where("row = 0").count() == 30_000
+
+
+def test_leak_check_by_filter_finds_the_same_rows(spark):
+    held = spark.createDataFrame([(f"h{k} " + " ".join(f"w{k}x{j}" for j in range(20)),) for k in range(300)], "text string")
+    rows = []
+    for k in range(600):
+        body = [f"t{k}y{j}" for j in range(40)]
+        if k % 3 == 0:
+            body[10:18] = [f"W{k // 2}x{j}" for j in range(5, 13)]  # eight words of a held-out item, in capitals
+        elif k % 3 == 1:
+            body[10:17] = [f"w{k // 2}x{j}" for j in range(5, 12)]  # only seven
+        rows.append((k, " ".join(body)))
+    train = spark.createDataFrame(rows, "id bigint, text string").repartition(5)
+    wanted = [k for k in range(0, 600, 3)]
+    for near in (None, 0):
+        assert sorted(r.id for r in leak.leaked_ids(train, held, "id", "text", near=near).collect()) == wanted
+
+
+def test_no_training_gram_is_exchanged_by_the_filter(spark):
+    train = spark.createDataFrame([(1, "a b c d e f g h i")], "id bigint, text string")
+    hashes = train.select("id", F.explode(leak.grams(F.col("text"), 8, hashed=True)).alias("gram"))
+    known = spark.range(5_000).select(F.xxhash64("id").alias("gram"))
+    text = leak.maybe_known(hashes, known, 5_000)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
+
+
+def test_mix_problems(spark):
+    from rewardloom.operators.checks import mix_problems, weight_problem
+
+    rows = [(1, "a", 0.5, None), (1, "b", 1.0, None), (2, "a", 0.5, None), (2, "a", 0.5, None), (3, "a", 1.5, None), (4, None, None, None), (5, "a", 0.5, "x"),
+            (5, "b", 0.5, None), (6, "a", 0.5, "x"), (6, "b", 0.0, "y"), (7, "a", None, None), (None, "a", 0.1, None)]
+    df = spark.createDataFrame(rows, "mix_id int, source string, fraction double, config string")
+    got = {r.mix_id: (r.sources, r.problem) for r in mix_problems(df, config="config").collect()}
+    wide, twice, some = "a fraction outside [0, 1]", "a source twice", "configs for some sources only"
+    assert got == {1: (2, None), 2: (2, twice), 3: (1, wide), 4: (0, "no source"), 5: (2, some), 6: (2, None), 7: (1, wide), None: (1, None)}
+    for mix_id, (_, problem) in got.items():  # the same verdict as the configuration's own
+        mine = [r for r in rows if r[0] == mix_id and r[1]]
+        configs = tuple(r[3] for r in mine if r[3]) or None
+        try:
+            MixConfig(tuple(TaskSource(r[1], "x", -1.0 if r[2] is None else r[2]) for r in mine), configs=configs)
+            assert problem is None
+        except ValueError:
+            assert problem is not None
+    counts = spark.createDataFrame([(2, 2), (2, 3), (2, 0), (2, None)], "r int, w int")
+    assert [r.p for r in counts.select(weight_problem(F.col("r"), F.col("w")).alias("p")).collect()] == [None, "3 weights for 2 rewards", None, None]
