@@ -43,3 +43,21 @@ def test_hot_content_is_dealt_to_many_tasks(spark):
     got = contentsort.duplicate_groups(rows)
     assert got.where("group_size = 1000 AND keep_id = 0").count() == 1000
     assert got.where("kept").count() == 2001
+
+
+def test_neighbours_decide_where_no_content_is_hot(spark):
+    """Copies of every number below the bound of a hot content: no group comes from a merge of digests."""
+    rows = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', CAST(floor(sqrt(id)) AS INT)) AS text")
+    runs = contentsort.content_runs(rows)
+    assert runs.where("_hot").isEmpty() and contentsort.merged_heads(runs).isEmpty()
+    got = contentsort.duplicate_groups(rows)
+    assert got.where("kept").count() == 64 and got.agg({"group_size": "max"}).first()[0] == 125  # 62 * 62 .. 63 * 63 - 1
+
+
+def test_runs_of_a_hot_content_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(contentsort, "HOT_COPIES", 10)
+    rows = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 3 = 0, concat('same', repeat(' ', CAST(id % 5 AS INT)), 'text'), concat('text ', id)) AS text")
+    runs = contentsort.content_runs(rows)
+    assert runs.where("_hot").count() == 1000 and [r._runs for r in contentsort.merged_heads(runs).collect()] == [1000]
+    got = contentsort.duplicate_groups(rows)
+    assert got.where("group_size = 1000 AND keep_id = 9").count() == 1000 and got.where("kept").count() == 2001
