@@ -97,9 +97,9 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int) -> tuple[list[tuple[i
                     break
                 items = [j, *others]
                 need = {x: items.count(x) for x in items}
+                # The proof holds for as long as all of these are there: without some of the others, i and b stay the
+                # longest that fit, and no three others begin to fit. So the pattern is taken as often as it can be.
                 times = min(int(counts[x]) // n for x, n in need.items())
-                if len(others) == 2:
-                    times = min(times, 1) if len(need) < 3 else times
                 for x, n in need.items():
                     counts[x] -= n * times
                 fixed.append((times, tuple(need.items())))

@@ -70,6 +70,27 @@ def test_plan_does_not_grow_with_the_counts():
     assert large["sequence"].max() + 1 <= 1.01 * -(-int(items.sum()) * 1000 // 4096)
 
 
+def test_plan_of_few_lengths_is_small():
+    """Two equal items beside each long one, and other small sets of lengths, in any number."""
+    for lengths in ({2100: 100_000, 900: 200_000}, {2100: 100_001, 900: 200_003, 1000: 77}, {1300: 300_000}, {2000: 50_000, 1000: 99_999, 48: 7}):
+        counts = np.zeros(4097, np.int64)
+        for length, n in lengths.items():
+            counts[length] = n
+        places = packing.plan(counts, 4096)
+        assert len(places) < 100
+        assert places["sequence"].max() < 1.4 * sum(k * n for k, n in lengths.items()) / 4096 + 1
+    small = np.zeros(25, np.int64)
+    for capacity, a, b in ((24, 10, 7), (24, 12, 6), (23, 7, 7), (20, 9, 5)):
+        for n, m in ((1, 2), (2, 3), (3, 4), (2, 5)):
+            small[:] = 0
+            small[a] += n
+            small[b] += m
+            items = np.repeat(np.arange(25), small).tolist()
+            fixed, rest = packing.reduce_by_dominance(small[: capacity + 1], capacity)
+            left = np.repeat(np.arange(capacity + 1), rest).tolist()
+            assert sum(t for t, _ in fixed) + (fewest(left, capacity) if left else 0) == fewest(items, capacity)
+
+
 def test_documents(hard, nothing):
     rows, df = hard
     tokenizer = encoder.Encoder(encoder.vocabulary_path("word_bpe_49k.json"), False).tokenizer
