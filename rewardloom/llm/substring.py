@@ -24,7 +24,7 @@ NO_ID = -(1 << 63)  # a null id is smaller than any other
 _ANCHORS = "doc_id long, tie long, place int, anchor long"
 _SEGMENTS = "owner long, owner_tie long, chunk int, copy int, own boolean, doc_id long, tie long, start int, words binary, anchors binary"
 _FOUND = "doc_id long, tie long, start int, stop int, first long, second long"
-_KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+_KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_by_hash long"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -257,7 +257,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, start, stop): word spans that windows of an earlier document cover. ``docs`` as ``_keyed`` gives it.
+    """(doc_id, tie, start, stop, hashed): word spans that windows of an earlier document cover, and whether a window hash
+    found them instead of an automaton. ``docs`` as ``_keyed`` gives it.
 
     Every window of 50 words holds 39 runs of 12 words; the one with the smallest hash is its anchor, so documents that
     share a window share its anchor at the same place in it. (1) Anchors are counted; those of more than one id are
@@ -267,7 +268,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     50 or more mark spans. (4) Windows whose anchor is shared but which the owner does not hold are compared among
     each other by 128-bit hash, with partial minima of the id.
     """
-    found = anchors(docs)
+    found = stage(anchors(docs), "anchors-found")  # 28 bytes an anchor, read twice
     grouped = found.groupBy("anchor").agg(F.min(F.struct("doc_id", "tie", "place")).alias("o"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
     shared = grouped.where(F.col("most") > F.col("o.doc_id"))
     shared = stage(shared.select("anchor", F.col("o.doc_id").alias("owner"), F.col("o.tie").alias("owner_tie"), F.col("o.place").alias("owner_place"), "n"), "anchors")
@@ -283,32 +284,36 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     several = stage(several.select("first", "second", "least"), "windows")
     later = loose.join(several, ["first", "second"]).where("doc_id > least")
     columns = ["doc_id", "tie", "start", "stop"]
-    return matched.where(F.col("first").isNull()).select(*columns).unionByName(later.select(*columns))
+    by_automaton = matched.where(F.col("first").isNull()).select(*columns, F.lit(False).alias("hashed"))
+    return by_automaton.unionByName(later.select(*columns, F.lit(True).alias("hashed")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row.
+    """doc_id, n_words, n_removed, kept_sha256, n_by_hash of every row; the last counts the removed words that no
+    automaton of a reference shard marked, but the comparison of window hashes among documents its owner does not share.
 
     Null or wordless text: no words. Texts under 50 words keep all. A null id counts as the smallest. Rows that share
     an id never remove words of each other. Repeated rows: same values. Empty table: empty result. Other columns are
     ignored.
     """
     rows = _keyed(docs)
-    spans = repeated_spans(rows).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(rows).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "stop", "hashed")).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 words = words_of(row["text"])
-                gone = _merged([(s["start"], s["stop"]) for s in row["spans"] or ()])
+                spans = row["spans"] or ()
+                gone = _merged([(s["start"], s["stop"]) for s in spans])
+                matched = _merged([(s["start"], s["stop"]) for s in spans if not s["hashed"]])
                 kept, at = [], 0
                 for begin, stop in gone:
                     kept += words[at:begin]
                     at = stop
                 kept += words[at:]
                 digest = hashlib.sha256(b" ".join(kept)).hexdigest()
-                out.append((None if row["doc_id"] == NO_ID else row["doc_id"], len(words), len(words) - len(kept), digest))
+                out.append((None if row["doc_id"] == NO_ID else row["doc_id"], len(words), len(words) - len(kept), digest, len(words) - len(kept) - sum(b - a for a, b in matched)))
             yield arrow_batch(out, _KEPT)
 
     return rows.join(stage(spans, "spans"), ["doc_id", "tie"], "left").select("doc_id", "text", "spans").mapInArrow(keep, _KEPT)

@@ -41,7 +41,7 @@ def test_automaton_matches_windows():
 
 def test_awkward_documents(hard, nothing):
     rows, df = hard
-    assert sorted(map(tuple, substring.remove_repeats(df).collect()), key=repr) == plain(rows)
+    assert sorted((tuple(r)[:4] for r in substring.remove_repeats(df).collect()), key=repr) == plain(rows)
     assert substring.remove_repeats(nothing).collect() == []
 
 
@@ -64,4 +64,6 @@ def test_small_vocabulary(spark, monkeypatch, chunk, share):
         rows.append((rng.choice([d, d, 3 * d]), text, None, None, None))
     rows = list({r[0]: r for r in rows}.values())
     rows += [(900, "a " * 300, None, None, None), (901, "a " * 120, None, None, None), (902, "a b " * 90, None, None, None), (903, "b a " * 60, None, None, None)]
-    assert sorted(map(tuple, substring.remove_repeats(frame(spark, rows)).collect()), key=repr) == plain(rows)
+    got = substring.remove_repeats(frame(spark, rows)).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=repr) == plain(rows)
+    assert all(0 <= r.n_by_hash <= r.n_removed for r in got)
