@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from base64 import b32encode
 from collections.abc import Iterator
 from urllib.parse import urljoin
@@ -18,6 +20,10 @@ VERSION = "WARC/1.1"
 EOL = "\r\n"
 #: Elements whose content is no text of the page, and elements that end a line of it. Fixed values of HTML.
 HIDDEN = ("script", "style", "template", "noscript", "textarea", "select")
+TO_THE_END = ("script", "style")  # of these, the ones that hide the rest of a page where they are not closed
+_CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.IGNORECASE)
+_DECLARED = re.compile(rb"<meta[^>]{0,400}?charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.IGNORECASE)
+_LABELS = {"iso-8859-1": "cp1252", "latin1": "cp1252", "latin-1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252"}  # as browsers read them
 BREAKS = frozenset(
     "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr "
     "html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split()
@@ -65,17 +71,110 @@ def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     return out
 
 
-def split_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
-    """Status, headers (lower-case names) and body of an HTTP response. Without a status line all of it is body."""
+def split_http(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
+    """Status, headers (lower-case names, in order, repeated ones too) and body of an HTTP response.
+
+    A line that starts with white space goes on with the value before it. Without a status line all of it is body.
+    """
     if not block.startswith(b"HTTP/"):
-        return None, {}, block
+        return None, [], block
     head, found, body = block.partition(b"\r\n\r\n")
     first, *lines = head.decode("utf-8", "replace").split(EOL)
     words = first.split()
-    fields = {k.strip().lower(): v.strip() for k, has, v in (line.partition(":") for line in lines) if has}
+    fields: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and fields:
+            fields[-1] = fields[-1][0], f"{fields[-1][1]} {line.strip()}".strip()
+        else:
+            name, has, value = line.partition(":")
+            if has:
+                fields.append((name.strip().lower(), value.strip()))
     return (int(words[1]) if len(words) > 1 and words[1].isdigit() else None), fields, body if found else b""
 
 
+def _field(fields: list[tuple[str, str]], name: str) -> str:
+    """All values of a header, as one list."""
+    return ", ".join(v for k, v in fields if k == name)
+
+
+def _without_chunks(body: bytes) -> bytes | None:
+    """The body of a chunked transfer; None where the chunks are broken."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return None
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        if end + 2 + n > len(body):
+            return None
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def _inflated(body: bytes, coding: str) -> bytes | None:
+    """The content of a gzip, deflate or zstd body; None where it is no such body. Members of gzip follow each other."""
+    try:
+        if coding in ("gzip", "x-gzip"):
+            out, rest = [], body
+            while rest.startswith(b"\x1f\x8b"):
+                member = zlib.decompressobj(zlib.MAX_WBITS | 16)
+                out.append(member.decompress(rest) + member.flush())
+                rest = member.unused_data
+            return b"".join(out) if out else None
+        if coding == "deflate":
+            try:
+                return zlib.decompress(body)
+            except zlib.error:
+                return zlib.decompress(body, -zlib.MAX_WBITS)
+        if coding == "zstd":
+            import zstandard
+
+            with zstandard.ZstdDecompressor().stream_reader(body, read_across_frames=True) as reader:
+                return reader.read()
+    except Exception:  # noqa: BLE001  whatever a broken body makes a decoder say
+        return None
+    return None
+
+
+def content_of(fields: list[tuple[str, str]], body: bytes) -> bytes:
+    """The body without transfer and content codings. Codings that are broken or not known are left as they are."""
+    if "chunked" in _field(fields, "transfer-encoding").lower():
+        whole = _without_chunks(body)
+        body = body if whole is None else whole
+    codings = [c.strip().lower() for c in _field(fields, "content-encoding").split(",") if c.strip()]
+    for coding in reversed(codings):
+        if coding != "identity":
+            opened = _inflated(body, coding)
+            if opened is None:
+                break
+            body = opened
+    return body
+
+
+def charset_of(fields: list[tuple[str, str]], content: bytes) -> str:
+    """The charset of a page: a byte order mark, the content type, a declaration in the first 1,024 bytes, or UTF-8."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if content.startswith(mark):
+            return name
+    said = _CHARSET.search(_field(fields, "content-type").encode("utf-8", "replace")) or _DECLARED.search(content[:1024])
+    name = said[1].decode("ascii", "replace").lower() if said else "utf-8"
+    try:
+        name = codecs.lookup(_LABELS.get(name, name)).name
+        b"".decode(name)
+        return name if isinstance(codecs.decode(b"", name), str) else "utf-8"
+    except (LookupError, TypeError, ValueError):
+        return "utf-8"
+
+
+def page_text(fields: list[tuple[str, str]], body: bytes) -> str:
+    """The page as text; bytes that the charset does not have become replacement characters."""
+    content = content_of(fields, body)
+    return content.decode(charset_of(fields, content), "replace")
+
+
 def read_page(page: str, base: str) -> tuple[str, str, list[str]]:
     """Title, plain text and links of an HTML page, in one pass over its tags; broken markup never fails.
 
@@ -131,7 +230,10 @@ def read_page(page: str, base: str) -> tuple[str, str, list[str]]:
                 links.append(_resolved(base, html.unescape(fields["href"]).strip()))
         elif element in HIDDEN and not closing:
             shut = skip("</" + element, at)
-            at = shut if shut >= 0 else size
+            if shut >= 0:
+                at = shut
+            elif element in TO_THE_END:
+                at = size
     lines = (_BLANKS.sub(" ", line).strip() for line in "".join(pieces).replace("\r", "\n").split("\n"))
     text = "\n".join(line for line in lines if line)
     return " ".join((title or "").split()), text, list(dict.fromkeys(link for link in links if link))
@@ -186,7 +288,7 @@ def derive(record: str, headers: dict[str, str], block: bytes) -> list[tuple[str
     status, fields, body = split_http(block)
     target, date = headers.get("WARC-Target-URI", ""), headers.get("WARC-Date", "")
     payload_digest = headers.get("WARC-Payload-Digest") or digest(body)
-    title, text, links = read_page(body.decode("utf-8", "replace"), target)
+    title, text, links = read_page(page_text(fields, body), target)
     shared = {
         "WARC-Date": date,
         "WARC-Target-URI": target,
@@ -195,7 +297,7 @@ def derive(record: str, headers: dict[str, str], block: bytes) -> list[tuple[str
         "WARC-Refers-To-Date": date,
     }
     notes = [("title", header_value(title)), ("http-status", "" if status is None else str(status)), ("source-payload-digest", payload_digest)]
-    notes += [("source-header", f"{k}: {header_value(v)}") for k, v in fields.items()]
+    notes += [("source-header", f"{k}: {header_value(v)}") for k, v in fields]
     notes += [("outlink", header_value(link)) for link in links]
     blocks = [
         ("metadata", "application/warc-fields", "".join(f"{k}: {v}{EOL}" for k, v in notes).encode("utf-8", "surrogatepass")),
@@ -218,10 +320,11 @@ def derivatives(records: DataFrame) -> DataFrame:
 
     Records are built where their response lies; nothing is shuffled. The metadata record lists title, status, the
     response's own HTTP headers, its payload digest and its links, resolved against the target; the conversion record
-    holds the plain text. Both name the response in WARC-Refers-To, with its target and date, and carry a digest of
+    holds the plain text, read without transfer and content codings (chunked; gzip, deflate, zstd) and in the page's own
+    charset. Digests are of the payload as it was sent. Both name the response in WARC-Refers-To, with its target and date, and carry a digest of
     their own block; identifiers follow from the response's, so the two can be found from it.
 
-    Records of other types give nothing. Null block: empty. Null headers: no headers. Empty body: empty text, still two
+    Records of other types give nothing. Codings that are broken or not known: the body as it stands. Null block: empty. Null headers: no headers. Empty body: empty text, still two
     records. Repeated responses: repeated derivatives with the same identifiers. Empty table: empty result. Other
     columns are ignored.
     """
