@@ -206,7 +206,7 @@ def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, windows: int = SAM
     ``size`` bytes from each. Everything else uses all data.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out() & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("count")).collect()}
     if not counts:
         return None
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -215,7 +215,8 @@ def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, windows: int = SAM
     start = lambda k: (F.pmod(F.xxhash64("doc_id", k), last) + 1).cast("int")
     pieces = F.transform(F.sequence(F.lit(1), F.lit(windows)), lambda k: F.substr(F.col("text"), start(k), F.lit(size)))
     rows = labelled.withColumn("_place", place).where(F.col("_place") < F.element_at(share, F.col("lang")))
-    rows = rows.select("lang", "_place", pieces.alias("pieces")).collect()
+    # A row per id: an id that stands many times is one document, and sends one row however often it stands.
+    rows = rows.groupBy("lang", "_place", "doc_id").agg(F.min(pieces).alias("pieces")).collect()
     languages = sorted(counts)
     texts, labels, used = [], [], dict.fromkeys(languages, 0)
     for row in sorted(rows, key=lambda r: (r["_place"], r["lang"], r["pieces"])):
@@ -268,7 +269,8 @@ def predict(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows whose language is recognised with at least ``min_score``, columns unchanged; cases as for ``predict``."""
-    rows = docs.select(packed(docs), F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    tagged = rows.withColumn("_found", language_column(train(rows), F.col("text")))
+    labelled = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(packed(docs))  # the text stands once in a row that waits for its language
+    tagged = rows.withColumn("_found", language_column(train(labelled), F.col("_row.text").cast("string")))
     kept = (F.col("_found.lang") != UNKNOWN) & (F.col("_found.score") >= min_score)
     return tagged.where(kept).select("_row.*")

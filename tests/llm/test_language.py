@@ -80,3 +80,18 @@ def test_labels_of_held_out_documents_are_not_used(spark):
 
 def test_every_byte_has_a_label():
     assert len(lid.ByteTagger(["a", "b"]).labels("é" * 100)) == 200
+
+
+def test_repeated_labelled_ids_send_one_row(spark, monkeypatch):
+    """The sample is bounded by ids: a labelled id that stands thousands of times is one of them."""
+    from rewardloom.llm import language
+
+    texts = {"en": "the cat sat on the mat and then it ran away", "fr": "le chat est sur la table et puis il court"}
+    rows = [(k, f"{texts[lang]} {k}", lang) for k in range(40) for lang in texts]
+    ids = [r[0] for r in rows]
+    rows += [rows[ids.index(3)]] * 3000
+    docs = spark.createDataFrame([(2 * k + (lang == "fr"), t, lang) for k, t, lang in rows], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language.ByteTagger, "fit", lambda self, cut, lengths, labels: seen.append(len(labels)))
+    assert language.train(docs, documents=10) is not None
+    assert seen and seen[0] <= 2 * 10 * language.SAMPLE_WINDOWS
