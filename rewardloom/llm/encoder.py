@@ -11,9 +11,12 @@ from types import ModuleType
 _ODD = re.compile("[\x1c-\x1f]")
 _WITH_SPACE = re.compile(r"\s*\S+|\s+")
 _WITH_SPACE_ODD = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
+#: White space before a space. Texts without it, most of them, are cut at single spaces.
+_ROUGH = tuple(f"{chr(c)} " for c in range(0x3001) if chr(c).isspace())
 _NO_SPACE_ODD = re.compile("[\\S\x1c-\x1f]+")
 MARKS = frozenset(",.;:!?")
-REMEMBERED = 450_000  # chunks whose ids a worker keeps, and as many older ones
+REMEMBERED = 48 << 20  # bytes, about, of the chunks whose ids a worker keeps, and as many of older ones
+COST = 180  # bytes of an entry besides its letters and ids
 LONGEST = 48  # code points of a chunk that is kept
 
 
@@ -25,38 +28,47 @@ def vocabulary_path(name: str) -> str:
 
 
 class _Chunks(dict):
-    """Ids of a chunk as bytes, made the first time it is asked for.
+    """Ids of a chunk as bytes, made the first time it is asked for; ``lead`` stands before every chunk.
 
     A chunk that is one run of letters, perhaps after a space, is one piece for both kinds of tokenizer, and a
     punctuation mark after it is the next piece; such chunks skip the library's pre-tokenizer, whose letters-to-symbols
     table is asked for once per character. Every other chunk goes through the library's own steps.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, lead: str = ""):
         super().__init__()
         self._normalizer, self._pre, self._model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
         self._older: dict[str, bytes] = {}
         self._symbols = _Symbols(tokenizer.pre_tokenizer)
+        self._lead, self._size = lead, 0
 
     def __missing__(self, chunk: str) -> bytes:
         older = self._older
         ids = older.get(chunk)
         if ids is None:
-            if chunk[-1] in MARKS and self._letters(chunk[:-1]):
+            if self._lead and len(chunk.split()) > 1:  # other white space inside: cut there, and keep the parts
+                first, *rest = _WITH_SPACE.findall(chunk)
+                return self[first] + b"".join([self._make(part) for part in rest])
+            if chunk[-1:] in MARKS and chunk[:-1] and self._letters(chunk[:-1]):
                 body = chunk[:-1]
                 seen = body in self or body in older
-                ids = self[body] + self[chunk[-1]]
+                ids = self[body] + self._mark(chunk[-1])
                 if not seen:  # of a word that is met for the first time one form is kept
                     return ids
             else:
-                ids = self._make(chunk)
+                ids = self._make(self._lead + chunk)
         if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            self._size += COST + len(chunk) + len(ids)
+            if self._size > REMEMBERED:
                 self._older = dict(self)
                 self.clear()
+                self._size = COST + len(chunk) + len(ids)
             self[chunk] = ids
         return ids
 
+    def _mark(self, mark: str) -> bytes:
+        return self._make(mark) if self._lead else self[mark]
+
     def _normal(self, text: str) -> str:
         if self._normalizer is None:
             return text
@@ -64,7 +76,7 @@ class _Chunks(dict):
 
     def _letters(self, chunk: str) -> bool:
         """Whether the chunk is a run of letters, perhaps after a space, as the patterns see it."""
-        text = self._normal(chunk)
+        text = self._normal(self._lead + chunk)
         return (text[1:] if text[:1] == " " else text).isalpha()
 
     def _make(self, chunk: str) -> bytes:
@@ -114,6 +126,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self._spaces = spaces
         self._chunks = _Chunks(self.tokenizer)
+        self._spaced = _Chunks(self.tokenizer, " ")
         added = self.tokenizer.get_added_tokens_decoder()
         self._plain = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
         self._added = {t.content: array("I", [k]).tobytes() for k, t in added.items()}
@@ -130,9 +143,17 @@ class Encoder:
 
     def _ordinary(self, text: str) -> bytes:
         odd = _ODD.search(text)
+        if self._spaces and not odd and text and not text.isspace() and text[0] != " " and not any(r in text for r in _ROUGH):
+            # No white space before a space: every space but at the end begins a word.
+            first, *words = text.split(" ")
+            known = self._spaced
+            return self._first(first) + b"".join([known[word] for word in words])
         if self._spaces:
             chunks = (_WITH_SPACE_ODD if odd else _WITH_SPACE).findall(text)
         else:
             chunks = _NO_SPACE_ODD.findall(text) if odd else text.split()
         known = self._chunks
         return b"".join([known[chunk] for chunk in chunks])
+
+    def _first(self, text: str) -> bytes:
+        return b"".join([self._chunks[chunk] for chunk in _WITH_SPACE.findall(text)])

@@ -238,6 +238,5 @@ def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     shards = write_shards(docs, path)
     index, buckets = build_index(shards)
-    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
-    keys = ids.select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("count") - 1).cast("int"))).alias("repeat"))
+    keys = shards.select(F.inline(F.arrays_zip("doc_ids", "repeats"))).toDF("doc_id", "repeat")
     return read_documents(find(keys, index, buckets), shards)

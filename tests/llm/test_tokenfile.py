@@ -34,10 +34,24 @@ def test_added_tokens_have_their_own_ids(tmp_path):
 
 
 def test_encoder_forgets_and_stays_right(monkeypatch):
-    monkeypatch.setattr(encoder, "REMEMBERED", 5)
-    mine = encoder.Encoder(encoder.vocabulary_path("byte_bpe_50k.json"), True)
-    text = " ".join(f"word{k % 23}, and" for k in range(200))
-    assert np.frombuffer(mine.encode(text), "<u4").tolist() == mine.tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(encoder, "REMEMBERED", 1000)
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        mine = encoder.Encoder(encoder.vocabulary_path(name), spaces)
+        for text in (" ".join(f"word{k % 23}, and" for k in range(200)), "\n".join(f"line {k % 19}: it's" for k in range(300))):
+            assert np.frombuffer(mine.encode(text), "<u4").tolist() == mine.tokenizer.encode(text, add_special_tokens=False).ids
+        for kept in (mine._chunks, mine._spaced):
+            assert sum(encoder.COST + len(k) + len(v) for k, v in kept.items()) <= 1000 + encoder.COST + 100
+
+
+def test_encoder_on_single_spaces():
+    """The way of most texts: words at single spaces, with line ends, marks and odd white space inside and at the ends."""
+    rng = random.Random(5)
+    words = ["a", "The", "it's", "end.", "x\ny", "p.\n\nq", "\t", "tab\tz", "ñandú,", "漢字", "12", "3.5%", "--", "😀", "e\u0301", "\n", "(b)", "q\x85r", "\u3000w", "'ll", "<|endoftext|>"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) + rng.choice(["", " ", "\n", " \n"]) for _ in range(3000)]
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        mine = encoder.Encoder(encoder.vocabulary_path(name), spaces)
+        for text, whole in zip(texts, mine.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(mine.encode(text), "<u4").tolist() == whole.ids, ascii(text)
 
 
 def test_perfect_hash_fills_every_slot_once():
