@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardloom.llm import contentsort, language, mixture, nearcopies, packing
+from rewardloom.llm import contentsort, language, mixture, packing, simhash
 from rewardloom.llm.common import documents
 from rewardloom.session import stage
 
@@ -24,8 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: texts of 5-word shingle similarity 0.8, compared exactly."""
-    return nearcopies.keep_one(docs)
+    """One document of each group of near copies stays: fingerprints over 4-word shingles, linked at 4 or fewer bits."""
+    return simhash.keep_representatives(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
