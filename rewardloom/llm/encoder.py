@@ -15,7 +15,7 @@ _WITH_SPACE_ODD = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
 _ROUGH = tuple(f"{chr(c)} " for c in range(0x3001) if chr(c).isspace())
 _NO_SPACE_ODD = re.compile("[\\S\x1c-\x1f]+")
 MARKS = frozenset(",.;:!?")
-REMEMBERED = 48 << 20  # bytes, about, of the chunks whose ids a worker keeps, and as many of older ones
+REMEMBERED = 80 << 20  # bytes, about, of the chunks whose ids a worker keeps, and as many of older ones
 COST = 180  # bytes of an entry besides its letters and ids
 LONGEST = 48  # code points of a chunk that is kept
 
@@ -35,12 +35,14 @@ class _Chunks(dict):
     table is asked for once per character. Every other chunk goes through the library's own steps.
     """
 
-    def __init__(self, tokenizer, lead: str = ""):
+    def __init__(self, tokenizer, lead: str = "", plain: _Chunks | None = None):
         super().__init__()
         self._normalizer, self._pre, self._model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
         self._older: dict[str, bytes] = {}
         self._symbols = _Symbols(tokenizer.pre_tokenizer)
-        self._lead, self._size = lead, 0
+        self._lead, self._plain, self._size = lead, plain, 0
+        self._space = self._symbols[32]
+        self._same = all(self._symbols[ord(c)] == c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
     def __missing__(self, chunk: str) -> bytes:
         older = self._older
@@ -48,27 +50,22 @@ class _Chunks(dict):
         if ids is None:
             if self._lead and len(chunk.split()) > 1:  # other white space inside: cut there, and keep the parts
                 first, *rest = _WITH_SPACE.findall(chunk)
-                return self[first] + b"".join([self._make(part) for part in rest])
+                plain = self._plain
+                return self[first] + b"".join([plain[part] for part in rest])
             if chunk[-1:] in MARKS and chunk[:-1] and self._letters(chunk[:-1]):
-                body = chunk[:-1]
-                seen = body in self or body in older
-                ids = self[body] + self._mark(chunk[-1])
-                if not seen:  # of a word that is met for the first time one form is kept
-                    return ids
+                ids = self[chunk[:-1]] + (self[chunk[-1]] if self._plain is None else self._plain[chunk[-1]])
             else:
                 ids = self._make(self._lead + chunk)
-        if len(chunk) <= LONGEST:
-            self._size += COST + len(chunk) + len(ids)
-            if self._size > REMEMBERED:
-                self._older = dict(self)
-                self.clear()
-                self._size = COST + len(chunk) + len(ids)
-            self[chunk] = ids
+            if len(chunk) > LONGEST:
+                return ids
+        self._size += COST + len(chunk) + len(ids)
+        if self._size > REMEMBERED:
+            self._older = dict(self)
+            self.clear()
+            self._size = COST + len(chunk) + len(ids)
+        self[chunk] = ids
         return ids
 
-    def _mark(self, mark: str) -> bytes:
-        return self._make(mark) if self._lead else self[mark]
-
     def _normal(self, text: str) -> str:
         if self._normalizer is None:
             return text
@@ -82,7 +79,8 @@ class _Chunks(dict):
     def _make(self, chunk: str) -> bytes:
         text = self._normal(chunk)
         if (text[1:] if text[0] == " " else text).isalpha():
-            return array("I", [token.id for token in self._model.tokenize(text.translate(self._symbols))]).tobytes()
+            text = text.replace(" ", self._space) if self._same and text.isascii() else text.translate(self._symbols)
+            return array("I", [token.id for token in self._model.tokenize(text)]).tobytes()
         text = self._normalizer.normalize_str(chunk) if self._normalizer else chunk
         pieces = self._pre.pre_tokenize_str(text)
         return array("I", [token.id for piece, _ in pieces for token in self._model.tokenize(piece)]).tobytes()
@@ -126,7 +124,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self._spaces = spaces
         self._chunks = _Chunks(self.tokenizer)
-        self._spaced = _Chunks(self.tokenizer, " ")
+        self._spaced = _Chunks(self.tokenizer, " ", self._chunks)
         added = self.tokenizer.get_added_tokens_decoder()
         self._plain = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
         self._added = {t.content: array("I", [k]).tobytes() for k, t in added.items()}
