@@ -38,6 +38,8 @@ HEADLINE = (
     "completions_table_unique_prompts",
     "distinct_prompts",
     "leak_free_rows",
+    "leak_check_filtered",
+    "distinct_prompts_across_runs",
     "join_prompt_completion",
     "stream_scores",
 )

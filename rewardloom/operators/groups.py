@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardloom.session import stage
+from rewardloom.session import memory_size, stage
 
-BROADCAST_BYTES = 32 << 20  # of a written, compressed table
+BROADCAST_BYTES = 128 << 20  # of a table in memory
 STD_FLOOR = 1e-4  # fixed value added to the spread of a group
 
 
@@ -59,16 +59,18 @@ def incomplete_groups(df: DataFrame, size: int, group: str = "group_id") -> Data
     return counts.where(F.col("rows") != size)
 
 
-def pair(rollouts: DataFrame, tasks: DataFrame, on: str = "prompt_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def pair(rollouts: DataFrame, tasks: DataFrame, on: str = "prompt_id", broadcast_bytes: int = BROADCAST_BYTES, how: str = "inner") -> DataFrame:
     """Rollouts with their task's columns.
 
-    Tasks are the small side. They are written first, and where the written table is at most ``broadcast_bytes`` it is
+    Tasks are the small side. They are written first, and where they take at most ``broadcast_bytes`` in memory they are
     sent to the rollouts, whose long texts then stay where they are, however popular one prompt is. Larger tables meet
-    the rollouts in a shuffle join, whose hot partitions adaptive execution splits.
+    the rollouts in a shuffle join, whose hot partitions adaptive execution splits. A rollout without a task is left out;
+    with ``how`` 'left' it stays, with nulls.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
     tasks = stage(tasks, "tasks")
-    size = int(tasks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rollouts.join(F.broadcast(tasks) if size <= broadcast_bytes else tasks, on)
+    return rollouts.join(F.broadcast(tasks) if memory_size(tasks)[1] <= broadcast_bytes else tasks, on, how)
 
 
 def weighted_reward_long(rewards: DataFrame, weights: dict[str, float], key: str = "rollout_id") -> DataFrame:

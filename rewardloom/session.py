@@ -8,15 +8,18 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _LOCAL_DIRS: dict[str, str] = {}  # folders of local sessions that name none
 _ONE_MACHINE = re.compile(r"local(\[[^\]]*\])?")  # not local-cluster, whose executors share no folder with the driver
 _RUN: ContextVar[str | None] = ContextVar("run", default=None)  # folder of the run scope that is open
-NEAR_ROWS = 2_000_000  # keys of 16 bytes: about 32 MB per executor
+NEAR_ROWS = 2_000_000  # keys that are sent to every executor
+NEAR_BYTES = 128 << 20  # and their size in memory
+CELL_BYTES = 16  # of a value in a row, besides its letters
 BYTES_PER_TASK = 128 * 1024 * 1024  # Spark's default size of one scan partition
 
 
@@ -91,9 +94,24 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def memory_size(df: DataFrame) -> tuple[int, int]:
+    """Rows of a staged table and about the bytes they take in memory, from the lengths of their texts; files are
+    compressed and several times smaller."""
+    parts = [F.lit(CELL_BYTES * len(df.columns)).cast("bigint")]
+    for field in df.schema.fields:
+        column, kind = F.col("`" + field.name.replace("`", "``") + "`"), field.dataType.typeName()
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(column), F.lit(0)))
+        elif kind in ("array", "map", "struct"):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)))
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(reduce(Column.__add__, parts))).first()
+    return rows, size or 0
+
+
 def near_rows(keys: DataFrame) -> DataFrame:
-    """A staged table of keys, marked to be sent to the other side of a join while it has at most ``NEAR_ROWS`` rows."""
-    return F.broadcast(keys) if keys.count() <= NEAR_ROWS else keys
+    """A staged table of keys, marked to be sent to the other side of a join while it is small in rows and in bytes."""
+    rows, size = memory_size(keys)
+    return F.broadcast(keys) if rows <= NEAR_ROWS and size <= NEAR_BYTES else keys
 
 
 def spread(df: DataFrame) -> DataFrame:

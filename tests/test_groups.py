@@ -239,3 +239,23 @@ def test_phrase_hits_equal_a_scan_per_phrase(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "i int, text string")
     got = {r.i: {h.phrase: h.hits for h in r.hits} for r in df.select("i", metrics.phrase_hits(F.col("text"), phrases).alias("hits")).collect()}
     assert got == {k: {p: t.count(p) for p in phrases if t and p in t} for k, t in enumerate(texts)}
+
+
+def test_size_in_memory_counts_texts(spark):
+    from rewardloom.session import memory_size
+
+    df = spark.createDataFrame([(1, "x" * 1000, ["ab"]), (2, None, None), (None, "é", [])], "id bigint, text string, list array<string>")
+    rows, size = memory_size(df)
+    assert rows == 3 and 1000 + 2 + 3 * 3 * 16 <= size < 1300
+    assert memory_size(df.limit(0)) == (0, 0)
+
+
+def test_unpaired_rollouts_can_be_kept(spark):
+    rollouts = spark.createDataFrame([(1, 10), (2, 11), (3, None)], "rollout_id bigint, prompt_id bigint")
+    tasks = spark.createDataFrame([(10, "t")], "prompt_id bigint, solution string")
+    for limit in (0, 1 << 20):
+        assert [r.rollout_id for r in groups.pair(rollouts, tasks, broadcast_bytes=limit).collect()] == [1]
+        kept = {r.rollout_id: r.solution for r in groups.pair(rollouts, tasks, broadcast_bytes=limit, how="left").collect()}
+        assert kept == {1: "t", 2: None, 3: None}
+    with pytest.raises(ValueError):
+        groups.pair(rollouts, tasks, how="outer")
