@@ -35,12 +35,12 @@ class _Chunks(dict):
     table is asked for once per character. Every other chunk goes through the library's own steps.
     """
 
-    def __init__(self, tokenizer, lead: str = "", plain: _Chunks | None = None):
+    def __init__(self, tokenizer, limit: int, lead: str = "", plain: _Chunks | None = None):
         super().__init__()
         self._normalizer, self._pre, self._model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
         self._older: dict[str, bytes] = {}
         self._symbols = _Symbols(tokenizer.pre_tokenizer)
-        self._lead, self._plain, self._size = lead, plain, 0
+        self._lead, self._plain, self._size, self._limit = lead, plain, 0, limit
         self._space = self._symbols[32]
         self._same = all(self._symbols[ord(c)] == c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -59,7 +59,7 @@ class _Chunks(dict):
             if len(chunk) > LONGEST:
                 return ids
         self._size += COST + len(chunk) + len(ids)
-        if self._size > REMEMBERED:
+        if self._size > self._limit:
             self._older = dict(self)
             self.clear()
             self._size = COST + len(chunk) + len(ids)
@@ -98,12 +98,12 @@ class _Symbols(dict):
         return self[code]
 
 
-def kept_encoder(path: str, spaces: bool) -> Encoder:
+def kept_encoder(path: str, spaces: bool, remembered: int | None = None) -> Encoder:
     """The encoder of this Python worker, so that the tasks it runs one after the other share what they remember."""
     kept = sys.modules.setdefault("_rewardloom_encoders", ModuleType("_rewardloom_encoders")).__dict__
-    key = f"{path}|{spaces}"
+    key = f"{path}|{spaces}|{remembered}"
     if key not in kept:
-        kept[key] = Encoder(path, spaces)
+        kept[key] = Encoder(path, spaces, remembered)
     return kept[key]
 
 
@@ -115,16 +115,17 @@ class Encoder:
     pre-tokenizer and model once, which saves most of the work. The strings of the file's added tokens have ids of
     their own, and the text between them is encoded part by part. A file whose added tokens ask for more than their
     plain string is left to the library. ``spaces``: whether white space belongs to the chunk after it, or is dropped
-    by the tokenizer.
+    by the tokenizer. ``remembered``: bytes of chunks that are kept, and as many of older ones.
     """
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self._spaces = spaces
-        self._chunks = _Chunks(self.tokenizer)
-        self._spaced = _Chunks(self.tokenizer, " ", self._chunks)
+        limit = REMEMBERED if remembered is None else remembered
+        self._chunks = _Chunks(self.tokenizer, limit)
+        self._spaced = _Chunks(self.tokenizer, limit, " ", self._chunks)
         added = self.tokenizer.get_added_tokens_decoder()
         self._plain = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
         self._added = {t.content: array("I", [k]).tobytes() for k, t in added.items()}

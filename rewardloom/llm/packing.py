@@ -25,16 +25,16 @@ _PACKED = _PIECES + ", sequence_id long, offset long"
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it) in one sequence
 
 
-def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int | None = None) -> DataFrame:
     """One row per piece of a document; only documents over ``capacity`` tokens have more than one."""
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, step = kept_encoder(path, spaces=False), 4 * capacity
+        encoder, step = kept_encoder(path, spaces=False, remembered=remembered), 4 * capacity
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encoder.encode(text) + end
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):  # one text at a time
+                ids = encoder.encode(text.as_py()) + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -163,18 +163,18 @@ def plan(counts: np.ndarray, capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["key", "each", "sequence", "offset"]).astype("int64").sort_values("key", ignore_index=True)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece.
 
     Texts are encoded where they lie and never shuffled. Pieces (a few numbers each) are counted by length on the map
     side; the counts of at most ``capacity`` lengths go to the driver, which plans. Each piece takes the place of its
     rank among the pieces of its length. Ranks are taken in fixed sub-buckets, so a length that a third of the pieces
-    share is not one task.
+    share is not one task. ``remembered``: bytes of chunks that a worker keeps, as in ``encoder``.
 
     Null text: one piece that holds the end id. Null ids: allowed. Repeated rows: a piece each. Empty table: empty
     result. Other columns are ignored.
     """
-    pieces = stage(tokenised_pieces(docs, path or vocabulary_path(VOCABULARY), capacity, end_id), "pieces")
+    pieces = stage(tokenised_pieces(docs, path or vocabulary_path(VOCABULARY), capacity, end_id, remembered), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():
         counts[length] = n
