@@ -10,6 +10,8 @@ from rewardloom.llm import contentsort, language, mixture, packing, simhash
 from rewardloom.llm.common import documents
 from rewardloom.session import stage
 
+CHUNK_BYTES = 16 << 20  # of chunks that a worker keeps while packing; earlier stages have left memory in use by then
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -35,7 +37,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all token pieces in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=CHUNK_BYTES)
 
 
 STAGES: list[tuple[str, Stage]] = [
