@@ -51,8 +51,9 @@ class MomentTable:
         return self.spark.read.schema(self.schema).parquet(*folders)
 
     def add(self, df: DataFrame, values: dict[str, Column], run: str) -> None:
-        """Merge in the rows of an increment; the same run again takes its place."""
-        write_run(moments(df, self.keys, values), self.path, run, lambda rows, folder: rows.coalesce(1).write.parquet(folder))
+        """Merge in the rows of an increment; the same run again takes its place. Adaptive execution merges small parts of
+        it, so a small increment is one file and a large one is written by as many tasks as it fills."""
+        write_run(moments(df, self.keys, values), self.path, run, lambda rows, folder: rows.write.parquet(folder))
 
     def read(self, keys: list[str] | None = None) -> DataFrame:
         """Moments by ``keys``, by default those of the table; fewer keys merge further."""

@@ -59,3 +59,17 @@ def test_nothing_added(spark, tmp_path):
     assert moments.reward_metrics(table).collect() == []
     table.compact()
     assert table.read().collect() == []
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_an_increment_is_not_one_task(spark, tmp_path, wide):
+    """Parts below the smallest size are one file; where parts stay apart, each is merged and written by its own task."""
+    table = moments.MomentTable(spark, str(tmp_path / "w"), {"k": "bigint"})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(not wide).lower())
+    try:
+        table.add(spark.range(800).selectExpr("id % 400 AS k"), {"v": F.col("k")}, "one")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = list((tmp_path / "w").glob("attempt=*/*.parquet"))
+    assert len(files) > 1 if wide else len(files) == 1
+    assert table.read().agg(F.sum("n")).first()[0] == 800
