@@ -13,6 +13,7 @@ from rewardloom.config import RewardConfig
 from rewardloom.functions import algebra
 from rewardloom.functions import answers as A
 from rewardloom.functions.text import between, round6
+from rewardloom.operators.verdicts import with_verdicts
 from rewardloom.plans.scoring import score
 
 # ---- the same reading in SQL: one row per candidate, canonical form and number in steps ------------------------
@@ -240,8 +241,7 @@ def answer_equivalence_forms(spark: SparkSession, folder: str) -> DataFrame:
         return "CASE form " + " ".join(f"WHEN {k} THEN {form[index]}" for k, form in enumerate(_FORMS)) + " END"
 
     made = made.selectExpr("l_orderkey", "l_linenumber", "form", f"{side(0)} AS gold", f"{side(1)} AS answer")
-    verdict = A.agree(A.read_answer(F.col("answer")), A.read_answer(F.col("gold"), gold=True))
-    return made.select("l_orderkey", "l_linenumber", "form", verdict.alias("correct"))
+    return with_verdicts(made, "answer", "gold", "correct").select("l_orderkey", "l_linenumber", "form", "correct")
 
 
 # Gold and answer per algebraic form, made from two numbers of the row; the last entry says when they agree.
@@ -277,8 +277,7 @@ def answer_equivalence_algebra(spark: SparkSession, folder: str) -> DataFrame:
         return "CASE form " + " ".join(f"WHEN {k} THEN {form[index]}" for k, form in enumerate(_ALGEBRA)) + " END"
 
     made = made.selectExpr("l_orderkey", "l_linenumber", "form", f"{side(0)} AS gold", f"{side(1)} AS answer")
-    read = made.withColumns({"answer": A.read_answer(F.col("answer")), "gold": A.read_answer(F.col("gold"), gold=True)})
-    return read.select("l_orderkey", "l_linenumber", "form", A.agree(F.col("answer"), F.col("gold")).alias("correct"))
+    return with_verdicts(made, "answer", "gold", "correct").select("l_orderkey", "l_linenumber", "form", "correct")
 
 
 _S = "(rollout_id * 7) % 100"

@@ -164,7 +164,7 @@ def read_answer(text: Column, mode: str = EXPRESSION, gold: bool = False) -> Col
 
 
 def agree(answer: Column, gold: Column) -> Column:
-    """Equality of two readings; false when either is missing."""
+    """Equality of two readings; false when either is missing. They are used many times here: name them in a projection first."""
     near = F.abs(answer["num"] - gold["num"]) <= F.lit(RELATIVE_TOLERANCE) * F.greatest(
         F.lit(1.0), F.abs(gold["num"])
     )

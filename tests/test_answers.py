@@ -6,9 +6,11 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
+from rewardloom.catalog import QUERIES
 from rewardloom.functions.answers import EXPRESSION, LATEX, agree, boxed, read_answer
 from rewardloom.functions.equations import arithmetic, arithmetic_value, countdown_equation_reward, evaluate_distinct
 from rewardloom.functions.scorers import accuracy_reward, countdown_format_reward
+from rewardloom.operators.verdicts import with_verdicts
 
 
 def verdicts(spark, pairs, mode=EXPRESSION):
@@ -156,3 +158,24 @@ def test_refused_equations_are_null(spark):
     df = spark.createDataFrame([("<answer>9**9**9</answer>", 1.0, [9, 9, 9]), ("<answer>9**9-9</answer>", 387420480.0, [9, 9, 9])], "text string, target double, nums array<bigint>")
     got = df.select(countdown_equation_reward(F.col("text"), F.col("target"), F.col("nums")).alias("r")).collect()
     assert [r.r for r in got] == [None, 1.0]
+
+
+def test_verdicts_of_repeated_pairs(spark):
+    """Rows are kept, as often as they come; missing texts do not agree; Python sees no row, only distinct pairs."""
+    pairs = [("It is 3", "$x = 3$"), ("It is 3", "$x = 4$"), (r"\boxed{2x}", "$x+x$"), (None, "3"), ("3", None), (None, None), ("", "")]
+    df = spark.createDataFrame([(i, *pairs[i % 7]) for i in range(70)], "i int, c string, s string")
+    found = with_verdicts(df, "c", "s", "v")
+    assert {(r.i, r.c, r.s, r.v) for r in found.collect()} == {(i, *pairs[i % 7], i % 7 in (0, 2)) for i in range(70)}
+    assert found.count() == 70
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("name", ["answer_equivalence_forms", "answer_equivalence_algebra"])
+def test_spellings_are_read_once_per_pair(spark, tmp_path, name):
+    spark.range(90).selectExpr("id AS l_orderkey", "id % 7 AS l_linenumber", "id % 11 AS l_partkey", "nullif(id % 5, 4) AS l_suppkey").write.parquet(
+        str(tmp_path / "lineitem.parquet")
+    )
+    found = QUERIES[name](spark, str(tmp_path))
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 90 and found.where("correct IS NULL").count() == 0
