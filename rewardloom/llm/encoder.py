@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 from types import ModuleType
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Characters that Python takes for white space and the tokenizers' patterns do not.
 _ODD = re.compile("[\x1c-\x1f]")
 _WITH_SPACE = re.compile(r"\s*\S+|\s+")
@@ -14,10 +20,23 @@ _WITH_SPACE_ODD = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+")
 #: White space before a space. Texts without it, most of them, are cut at single spaces.
 _ROUGH = tuple(f"{chr(c)} " for c in range(0x3001) if chr(c).isspace())
 _NO_SPACE_ODD = re.compile("[\\S\x1c-\x1f]+")
+#: For Arrow's RE2: texts that are not cut at single spaces, and words that do not begin and end with something visible.
+_BLANK = "[" + "".join(f"\\x{{{ord(r[0]):x}}}" for r in _ROUGH) + "]"
+_NOT_CUT = rf"\A(?: |\z)|{_BLANK} |[\x1c-\x1f]"
+_NOT_WORD = rf"\A(?:{_BLANK}|\z)|{_BLANK}\z"
 MARKS = frozenset(",.;:!?")
 REMEMBERED = 80 << 20  # bytes, about, of the chunks whose ids a worker keeps, and as many of older ones
 COST = 180  # bytes of an entry besides its letters and ids
 LONGEST = 48  # code points of a chunk that is kept
+BLOCK = 12 << 20  # bytes, about, of texts whose distinct words are encoded together
+AT_ONCE = 2048  # bytes, about, of words that the library gets as one text
+KEPT = 16 << 20  # bytes of such words and their ids that a worker keeps for the next block
+_NO_WORDS, _NO_IDS = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+
+
+def _lists(ids: np.ndarray, sizes: np.ndarray | list[int]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.uint32()), type=pa.list_(pa.uint32()))
 
 
 def vocabulary_path(name: str) -> str:
@@ -41,7 +60,7 @@ class _Chunks(dict):
         self._older: dict[str, bytes] = {}
         self._symbols = _Symbols(tokenizer.pre_tokenizer)
         self._lead, self._plain, self._size, self._limit = lead, plain, 0, limit
-        self._space = self._symbols[32]
+        self.space = self._symbols[32]
         self._same = all(self._symbols[ord(c)] == c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
     def __missing__(self, chunk: str) -> bytes:
@@ -79,7 +98,7 @@ class _Chunks(dict):
     def _make(self, chunk: str) -> bytes:
         text = self._normal(chunk)
         if (text[1:] if text[0] == " " else text).isalpha():
-            text = text.replace(" ", self._space) if self._same and text.isascii() else text.translate(self._symbols)
+            text = text.replace(" ", self.space) if self._same and text.isascii() else text.translate(self._symbols)
             return array("I", [token.id for token in self._model.tokenize(text)]).tobytes()
         text = self._normalizer.normalize_str(chunk) if self._normalizer else chunk
         pieces = self._pre.pre_tokenize_str(text)
@@ -100,6 +119,7 @@ class _Symbols(dict):
 
 def kept_encoder(path: str, spaces: bool, remembered: int | None = None) -> Encoder:
     """The encoder of this Python worker, so that the tasks it runs one after the other share what they remember."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     kept = sys.modules.setdefault("_rewardloom_encoders", ModuleType("_rewardloom_encoders")).__dict__
     key = f"{path}|{spaces}|{remembered}"
     if key not in kept:
@@ -130,6 +150,93 @@ class Encoder:
         self._plain = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
         self._added = {t.content: array("I", [k]).tobytes() for k, t in added.items()}
         self._cuts = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
+        self._leads = self._begin_words() if spaces else None
+        self._known, self._known_ids = _NO_WORDS, _NO_IDS
+
+    def _begin_words(self) -> np.ndarray | None:
+        """By id, whether a token begins with a space; None where words cannot be told apart by that."""
+        from tokenizers import models, pre_tokenizers
+
+        whole, model, pre = self.tokenizer, self.tokenizer.model, self.tokenizer.pre_tokenizer
+        if not isinstance(model, models.BPE) or not isinstance(pre, pre_tokenizers.ByteLevel) or pre.add_prefix_space or not pre.use_regex:
+            return None
+        if model.dropout or model.unk_token or model.continuing_subword_prefix or model.end_of_word_suffix:
+            return None
+        if whole.normalizer or whole.truncation or whole.padding or not self._plain or any(" " in string for string in self._added):
+            return None
+        vocabulary, space = whole.get_vocab(with_added_tokens=False), self._spaced.space
+        leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        leads[[k for token, k in vocabulary.items() if token.startswith(space)]] = True
+        return leads if space in vocabulary else None
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, none of them null, the same as from ``encode``.
+
+        With a byte-level file, words of many texts are cut and numbered by Arrow, each distinct one goes through the
+        library once, many in one call, and the ids are gathered by number. Words of earlier blocks are known, within
+        ``KEPT`` bytes.
+        """
+        if self._leads is None or not len(texts):
+            yield from (np.frombuffer(self.encode(text), "<u4") for text in texts.to_pylist())
+            return
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        blocks = int(sizes[-1]) // BLOCK + 1
+        edges = [0, *np.searchsorted(sizes, sizes[-1] * np.arange(1, blocks) / blocks).tolist(), len(texts)]
+        for begin, end in zip(edges, edges[1:]):
+            block = texts.slice(begin, end - begin).cast(pa.string())
+            other = pc.match_substring_regex(block, _NOT_CUT)
+            for string in self._added:
+                other = pc.or_(other, pc.match_substring(block, string))
+            coded = self._block(block.filter(pc.invert(other)))
+            for text, alone in zip(block, other.to_pylist()):
+                yield np.frombuffer(self.encode(text.as_py()), "<u4") if alone else next(coded)
+            del block, coded
+            pa.default_memory_pool().release_unused()  # else the peak of a block stays with the worker
+
+    def _block(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of texts in which every space but at the end begins a word."""
+        if not len(texts):
+            return
+        words = pc.split_pattern(texts, " ")
+        begins = words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
+        numbered = words.flatten().dictionary_encode()
+        first = words.flatten().take(pa.array(begins)).dictionary_encode()
+        odd = pc.match_substring_regex(numbered.dictionary, _NOT_WORD).to_numpy(zero_copy_only=False)
+        plain = numbered.dictionary.filter(pa.array(~odd))
+        places = self._places(plain)
+        alone = [self._spaced[word] for word in numbered.dictionary.filter(pa.array(odd)).to_pylist()]
+        alone += [self._first(word) for word in first.dictionary.to_pylist()]
+        ids = pa.concat_arrays([self._known_ids, _lists(np.frombuffer(b"".join(alone), "<u4"), [len(a) // 4 for a in alone])])
+        number, known = np.empty(len(odd), np.int64), len(self._known)
+        number[~odd], number[odd] = places, np.arange(known, known + odd.sum())
+        chosen = number[numbered.indices.to_numpy()]
+        chosen[begins] = known + odd.sum() + first.indices.to_numpy()
+        if self._known.nbytes + self._known_ids.nbytes > KEPT:
+            self._known, self._known_ids = plain, self._known_ids.take(pa.array(places))
+            if self._known.nbytes + self._known_ids.nbytes > KEPT:
+                self._known, self._known_ids = _NO_WORDS, _NO_IDS
+        counts = np.add.reduceat(pc.list_value_length(ids).to_numpy()[chosen], begins, dtype=np.int64)
+        yield from np.split(ids.take(pa.array(chosen)).flatten().to_numpy(), np.cumsum(counts)[:-1])
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where distinct words are among the known ones; those that are not there are added."""
+        places = pc.fill_null(pc.index_in(words, self._known), -1).to_numpy().astype(np.int64)
+        new = words.filter(pa.array(places < 0))
+        places[places < 0] = np.arange(len(self._known), len(self._known) + len(new))
+        self._known, self._known_ids = pa.concat_arrays([self._known, new]), pa.concat_arrays([self._known_ids, self._together(new)])
+        return places
+
+    def _together(self, words: pa.Array) -> pa.Array:
+        """Ids of each word with a space before it, many words to a call of the library."""
+        group = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False), dtype=np.int64) // AT_ONCE
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(words)]]).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), words), " ").to_pylist()
+        coded = [self.tokenizer.encode_batch_fast([" " + some], add_special_tokens=False)[0].ids for some in joined if some]
+        ids = np.concatenate([np.empty(0, "<u4"), *[np.array(c, "<u4") for c in coded]])
+        begins = np.flatnonzero(self._leads[ids])
+        if len(begins) != len(words):
+            raise ValueError("tokens do not begin where words do")
+        return _lists(ids, np.diff(begins, append=len(ids)))
 
     def encode(self, text: str) -> bytes:
         if not self._plain:

@@ -46,15 +46,14 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
 
         encoder = kept_encoder(vocabulary, spaces=True)
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], kind).tobytes()
         ids, repeats, counts, payload = [], [], [], bytearray()
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                coded = np.frombuffer(encoder.encode(text) + end, "<u4")
+            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text"))):
                 repeats.append(repeats[-1] + 1 if ids and doc_id == ids[-1] else 0)
                 ids.append(doc_id)
-                counts.append(len(coded))
-                payload += coded.astype(kind).tobytes()
+                counts.append(len(coded) + 1)
+                payload += coded.astype(kind).tobytes() + end
         if ids:
             part = TaskContext.get().partitionId()
             columns = [pa.array([part], pa.int32()), pa.array([int(kind[-1])], pa.int32()), pa.array([bytes(payload)], pa.binary())]

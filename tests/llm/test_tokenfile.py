@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hard import smallest
 
 from rewardloom.llm import encoder, tokenfile
@@ -54,6 +55,35 @@ def test_encoder_on_single_spaces():
             assert np.frombuffer(mine.encode(text), "<u4").tolist() == whole.ids, ascii(text)
 
 
+def test_many_texts_at_once_have_the_ids_of_the_library(monkeypatch):
+    rng = random.Random(7)
+    words = ["a", "The", "it's", "end.", "x\ny", "p.\n\nq", "\t", "tab\tz", "\nz", "z\n", "", " ", "ñandú,", "漢字", "12", "😀", "e\u0301", "\x1c", "q\x85r", "\u3000w", "Ġ", "\xa0", "'ll", "<|endoftext|>", "\x00"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(12))) + rng.choice(["", " ", "\n", " \n"]) for _ in range(3000)]
+    plain = [" ".join(rng.choice(words[:6] + words[12:17]) for _ in range(rng.randrange(1, 300))) for _ in range(300)]
+    for block, kept in ((encoder.BLOCK, encoder.KEPT), (5000, encoder.KEPT), (5000, 3000), (5000, 100)):
+        monkeypatch.setattr(encoder, "BLOCK", block)
+        monkeypatch.setattr(encoder, "KEPT", kept)
+        for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+            mine = encoder.Encoder(encoder.vocabulary_path(name), spaces)
+            for some in (texts, plain, ["", " ", "\n"], ["x" * 9000, "", "a b"], []):
+                whole = mine.tokenizer.encode_batch(some, add_special_tokens=False)
+                for kind in (pa.string(), pa.large_string()):
+                    got = [ids.tolist() for ids in mine.encode_all(pa.array(["dropped", *some], kind)[1:])]
+                    assert got == [w.ids for w in whole]
+                    assert mine._known.nbytes + mine._known_ids.nbytes <= kept
+
+
+def test_words_met_for_the_first_time_go_through_the_library_together(monkeypatch):
+    """One call of the model for each new word was most of the time of op4."""
+    made, make = [], encoder._Chunks._make
+    monkeypatch.setattr(encoder._Chunks, "_make", lambda self, chunk: made.append(chunk) or make(self, chunk))
+    mine = encoder.Encoder(encoder.vocabulary_path("byte_bpe_50k.json"), True)
+    texts = [" ".join("".join(chr(97 + (k * 31 + j * 7 + i * i) % 26) for i in range(3 + (k + j) % 9)) + ",."[j % 2] for j in range(200)) for k in range(40)]
+    got = [ids.tolist() for ids in mine.encode_all(pa.array(texts))]
+    assert got == [w.ids for w in mine.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(made) <= 2 * len(texts)  # of first words, which have no space before them
+
+
 def test_perfect_hash_fills_every_slot_once():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 1000, 4097):
