@@ -33,8 +33,8 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
         encoder, step = kept_encoder(path, spaces=False, remembered=remembered), 4 * capacity
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):  # one text at a time
-                ids = encoder.encode(text.as_py()) + end
+            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text"))):
+                ids = coded.tobytes() + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hard import smallest
 
 from rewardloom.llm import encoder, packing
@@ -91,6 +93,33 @@ def test_plan_of_few_lengths_is_small():
             assert sum(t for t, _ in fixed) + (fewest(left, capacity) if left else 0) == fewest(items, capacity)
 
 
+def test_new_words_of_letters_and_marks_go_through_the_library_together(monkeypatch):
+    """One call of the model for each new word was most of the time of op9."""
+    made, make = [], encoder._Chunks._make
+    monkeypatch.setattr(encoder._Chunks, "_make", lambda self, chunk: made.append(chunk) or make(self, chunk))
+    mine = encoder.Encoder(encoder.vocabulary_path("word_bpe_49k.json"), False)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeinrstTHÉßÿü") for _ in range(rng.randrange(1, 14))) + rng.choice(["", "", ",", ".", "!!", "***", "'"])
+    texts = [rng.choice([" ", "\n", "  "]).join(word() for _ in range(rng.randrange(200))) for _ in range(60)]
+    got = [ids.tolist() for ids in mine.encode_all(pa.array(texts))]
+    assert got == [w.ids for w in mine.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert not made
+
+
+def test_pieces_at_odd_characters_and_block_ends(monkeypatch):
+    rng = random.Random(12)
+    parts = ["a", "B", "é", "É", "Þ", "×", "ª", "µ", " ", " ", "\n", "\r\n", "\t", "\xa0", "\u3000", "\x1c", "\u0301", "\u0331", "\u0338", "'", "'s", "'T"]
+    parts += ["l", "12", "<", "=", "</w>", "<|endoftext|>", "<|endof", "_", "İ", "Σ", "ſ", "ﬁ", "漢", "😀", "\x00", "H", "-", "..."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 3, 30]))) for _ in range(2000)] + ["é" * 20_000 + "." * 900, "", " ", "\n"]
+    for block, kept in ((encoder.BLOCK, encoder.KEPT), (300, 2000), (1, 0)):
+        monkeypatch.setattr(encoder, "BLOCK", block)
+        monkeypatch.setattr(encoder, "KEPT", kept)
+        mine = encoder.Encoder(encoder.vocabulary_path("word_bpe_49k.json"), False)
+        some = texts if block > 1 else texts[:200]
+        got = [ids.tolist() for ids in mine.encode_all(pa.array(some))]
+        assert got == [w.ids for w in mine.tokenizer.encode_batch(some, add_special_tokens=False)]
+
+
 def test_documents(hard, nothing):
     rows, df = hard
     tokenizer = encoder.Encoder(encoder.vocabulary_path("word_bpe_49k.json"), False).tokenizer
